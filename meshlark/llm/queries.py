@@ -3,22 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import pii, simhash, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that remain when later copies of 20-word windows go."""
+    out = substring.remove_repeats(_documents(spark, sf_dir), width=20, keep_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents: 3-word shingles, at most 3 differing bits."""
     classes = simhash.near_classes(_documents(spark, sf_dir), shingle=3, radius=3)
     return classes.select("doc_id", simhash.hex16(classes["fp"]).alias("fingerprint"), "component_id")
 
 
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents: the base patterns, and what the span classifier adds."""
+    out = pii.find(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict:
     return {
+        "op7_substring_dedup": op7_substring_dedup,
+        "op10_pii_spans": op10_pii_spans,
         "op8_simhash_components": op8_simhash_components,
     }
 
