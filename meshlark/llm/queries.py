@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, simhash, substring
+from . import pii, simhash, substring, tokens, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents, against their edited texts and their successors."""
+    return winnow.compare_with_next(_documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that remain when later copies of 20-word windows go."""
     out = substring.remove_repeats(_documents(spark, sf_dir), width=20, keep_text=False)
@@ -24,6 +29,11 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash.hex16(classes["fp"]).alias("fingerprint"), "component_id")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of documents."""
+    return tokens.count_tokens(_documents(spark, sf_dir))
+
+
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in documents: the base patterns, and what the span classifier adds."""
     out = pii.find(_documents(spark, sf_dir))
@@ -32,7 +42,9 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op6_winnowing": op6_winnowing,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_token_counts": op9_token_counts,
         "op10_pii_spans": op10_pii_spans,
         "op8_simhash_components": op8_simhash_components,
     }
