@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, simhash, substring, tokens, winnow
+from . import langid, pii, simhash, substring, tokens, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents, learned from those that are not held out."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of documents, against their edited texts and their successors."""
     return winnow.compare_with_next(_documents(spark, sf_dir))
@@ -42,6 +49,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_language_id": op3_language_id,
         "op6_winnowing": op6_winnowing,
         "op7_substring_dedup": op7_substring_dedup,
         "op9_token_counts": op9_token_counts,
