@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, simhash, substring, tokens, winnow
+from . import decontam, langid, mixing, pii, sharding, simhash, substring, tokens, urlfilter, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents on 24 shards, copies together, counts at most one apart."""
+    return sharding.assign_shards(_documents(spark, sf_dir), shards=24)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on page urls by rules, else by trust and distrust of their hosts."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    return urlfilter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of documents, learned from those that are not held out."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
@@ -19,6 +31,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, its numbers, names and units changed or not."""
+    return decontam.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents replicated so that sources weigh the square root of their size."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars")
+    mixed = mixing.replicate(docs, mixing.source_rates(docs))
+    return mixed.select("doc_id", "text", "lang", "source", "n_chars", F.col("_copy").alias("copy"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of documents, against their edited texts and their successors."""
     return winnow.compare_with_next(_documents(spark, sf_dir))
@@ -49,7 +73,11 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_balanced_shards": op1_balanced_shards,
+        "op2_url_filter": op2_url_filter,
         "op3_language_id": op3_language_id,
+        "op4_benchmark_leaks": op4_benchmark_leaks,
+        "op5_source_mix": op5_source_mix,
         "op6_winnowing": op6_winnowing,
         "op7_substring_dedup": op7_substring_dedup,
         "op9_token_counts": op9_token_counts,
@@ -58,5 +86,59 @@ def queries() -> dict:
     }
 
 
+OP5_SQL = f"""
+WITH s AS (SELECT source, count(*)::DOUBLE AS size FROM documents GROUP BY source),
+r AS (SELECT source, sqrt(size) / sum(sqrt(size)) OVER () * sum(size) OVER () / size AS rate FROM s),
+k AS (SELECT source, rate, unnest(range(0, (ceil(rate + 12 * sqrt(rate) + 24))::BIGINT + 1)) AS k FROM r),
+c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
+u AS (SELECT *, (('0x' || substr(md5('{mixing.SEED}:copies:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) AS n FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n))::INTEGER AS copy FROM n
+"""
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+i AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(words[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM i),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM k WHERE nth > 1),
+t AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+s AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.i) AS kept, count(*) AS n FROM t ANTI JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN s ON s.doc_id = w.doc_id
+"""
+
+
+def _op2_sql() -> str:
+    d, upper, lower = urlfilter.DAMPING, urlfilter.UPPER, urlfilter.LOWER
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
+    links = urlfilter.LINK.replace("'", "''")
+    steps = []
+    for turn in range(urlfilter.ROUNDS):
+        was = f"s{turn}"
+        steps.append(
+            f"""s{turn + 1} AS MATERIALIZED (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+SELECT host, trust, distrust FROM s0 UNION ALL
+SELECT e.dst, {d} * x.trust * e.forward, 0 FROM {was} x JOIN e ON e.src = x.host UNION ALL
+SELECT e.src, 0, {d} * x.distrust * e.back FROM {was} x JOIN e ON e.dst = x.host) GROUP BY host)"""
+        )
+    return f"""
+WITH p AS MATERIALIZED (SELECT page_id, html, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{upper}', '{lower}') ELSE '' END AS host,
+ CASE WHEN contains(url, '://') THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+rules(rhost, rpath, rverdict) AS (VALUES {rules}),
+m AS (SELECT page_id, max_by({{'rule': rhost || rpath, 'verdict': rverdict}}, length(rhost || rpath)) AS won FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+r AS MATERIALIZED (SELECT p.page_id, p.host, p.path, m.won.rule AS rule, m.won.verdict AS verdict FROM p LEFT JOIN m USING (page_id)),
+f AS (SELECT host AS src, unnest(regexp_extract_all(html, '{links}', 1)) AS link FROM p WHERE host <> ''),
+f2 AS (SELECT src, translate(regexp_extract(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END, '://([^/?#]*)', 1), '{upper}', '{lower}') AS dst FROM f),
+up AS (SELECT DISTINCT p.host AS src, q.host AS dst FROM p JOIN (SELECT DISTINCT host FROM p WHERE host <> '') q ON q.host = regexp_extract(p.host, '^[^.]*[.](.+)$', 1)),
+l AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, count(*) AS n FROM f2 WHERE dst <> '' AND src <> dst GROUP BY ALL UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY ALL),
+e AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forward, n / sum(n) OVER (PARTITION BY dst) AS back FROM l),
+h AS (SELECT host, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM r WHERE rule IS NOT NULL GROUP BY host),
+s0 AS MATERIALIZED (SELECT host, coalesce({1 - d} * a / nullif(sum(a) OVER (), 0), 0) AS trust, coalesce({1 - d} * b / nullif(sum(b) OVER (), 0), 0) AS distrust FROM h),
+{", ".join(steps)}
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.verdict, CASE WHEN coalesce(x.distrust, 0) > coalesce(x.trust, 0) * {urlfilter.EXCESS} THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN s{urlfilter.ROUNDS} x ON x.host = r.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": _op2_sql(), "op5_source_mix": OP5_SQL, "op7_substring_dedup": OP7_SQL}
