@@ -1,15 +1,71 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by the caller."""
+"""The corpus pipeline: stages over ``documents``, each written and read again by the caller.
+
+Each stage works on all rows that its predecessor kept and, but for the last, returns
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshlark.llm import decontam, langid, mixing, sharding, simhash
+from meshlark.llm.common import store
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text whose language is less likely than this, or which has none, goes.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose text has a language; learned from labelled rows that are not held out."""
+    docs = docs.select(*COLUMNS)
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, model, COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate class; of rows that repeat it, one."""
+    docs = docs.select(*COLUMNS)
+    classes = simhash.near_classes(docs, shingle=3, radius=3)
+    rest = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(rest, docs["doc_id"].eqNullSafe(rest["_gone"]), "left_anti")
+    unique = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return kept if unique else kept.dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no benchmark item."""
+    docs = docs.select(*COLUMNS)
+    leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replicates documents so that sources weigh the square root of their size, in shuffled order."""
+    docs = docs.select(*COLUMNS)
+    return mixing.replicate(docs, mixing.source_rates(docs)).select(*COLUMNS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places all rows on shards of even counts, equal texts together."""
+    return sharding.assign_shards(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix),
+    ("sharding", shard),
+]
+#: Fingerprints and learned probabilities have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``; what one returns is stored before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, store(docs) if i else docs, sf_dir)
     return docs
