@@ -25,14 +25,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, byte_values, mix, partitions, prefix_hash, span_hash, text_buffer, word_spans
+from .common import byte_values, chunks, cut, mix, partitions, prefix_hash, span_hash, text_buffer, word_spans
 
 HOT = 1 / 2000
+#: Bytes of text whose copies of a window a map task compares before it sends anything.
+BLOCK_BYTES = 6 << 20
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 TOP = np.uint64(1 << 63)
 VALUES = byte_values(20)
-#: What one blob of super-k-mers holds for each: document id, text hash, whether the id is null, first word, bytes.
-HEAD = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("null", "u1"), ("start", "<i4"), ("size", "<i4")])
+#: What a blob holds for each super-k-mer: document id, text hash, whether the id is null, first word, bytes.
+HEAD = (("doc", "<i8"), ("hash", "<i8"), ("null", "u1"), ("start", "<i4"), ("size", "<i4"))
 SCHEMA = "bucket int, blob binary, doc_id long, h long, starts array<int>, counts array<int>"
 
 
@@ -103,6 +105,7 @@ def hot_minimisers(docs: DataFrame, width: int, mmer: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["key", "n"])
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
     total = counts.where("key = -1").first()
     if not total or not total["n"]:
         return np.zeros(0, np.uint64)
@@ -128,6 +131,8 @@ def _repeats(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _checked(later: np.ndarray, first: np.ndarray, hashes: np.ndarray, words_of, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Keeps what is equal word by word; where a hash lied, pairs the true copies."""
+    if not len(later):
+        return later, first
     order = np.argsort(later)
     later, first = later[order], first[order]
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(later) != 1) | (np.diff(first) != 1), [True]]))
@@ -186,79 +191,83 @@ def _map_side(width: int, mmer: int, parts: int, hot: np.ndarray):
     """(doc_id, h, text) -> blobs of super-k-mers by bucket, and hits of copies within a batch."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1)
-        for whole in batches:
-            ids = whole.column(0)
-            null = np.asarray(ids.is_null())
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            ids = batch.column(0)
+            null = np.asarray(ids.is_null()).astype(np.uint8)
             doc = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            text_hash = whole.column(1).to_numpy(zero_copy_only=False)
-            order = np.lexsort((text_hash, doc, null))
-            batch = whole.take(pa.array(order))
-            doc, null, text_hash = doc[order], null[order].astype(np.uint8), text_hash[order]
+            text_hash = batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = text_buffer(batch.column(2))
-            out: dict[int, tuple[list, list]] = {}
-            windows, where, raws = [], [], []
-            for a, b in chunks(offsets):
-                base = int(offsets[a])
-                starts, ends, rows, hashes = _words(data, offsets[a : b + 1])
-                fits = np.flatnonzero(_fits(rows, len(hashes), width))
-                if not len(fits):
-                    continue
-                row = a + np.searchsorted(rows, fits, side="right") - 1
-                least = _minimisers(hashes, rows, width, mmer, hot)[fits]
-                windows.append(_runs(hashes, width)[fits])
-                where.append((base + starts[fits], base + ends[fits + width - 1], row, (fits - rows[row - a]).astype(np.int32), least))
-            if not windows:
-                continue
-            window = np.concatenate(windows)
-            begin, end, row, start, least = (np.concatenate(x) for x in zip(*where, strict=True))
-            raw = data.tobytes() if len(data) == int(offsets[-1]) and not offsets[0] else data[: int(offsets[-1])].tobytes()
-
-            def words_of(at, n, begin=begin, end=end, raw=raw):
-                return raw[begin[at] : end[at + n - width]].split()
-
-            later, first = _checked(*_repeats(window), window, words_of, width)
-            own = (doc[row[later]] == doc[row[first]]) & (text_hash[row[later]] == text_hash[row[first]]) & (null[row[later]] == null[row[first]]) & (start[later] == start[first])
-            again = later[~own]  # a repeated row is not a copy of itself
-            fresh = np.ones(len(window), dtype=bool)
-            fresh[later] = False
-            if len(again):
-                r = row[again]
-                yield _hits((doc[r] % parts).astype(np.int32), doc[r], null[r], text_hash[r], start[again])
-            at = np.flatnonzero(fresh)
-            if not len(at):
-                continue
-            edge = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (row[at[1:]] != row[at[:-1]]) | (start[at[1:]] - start[at[:-1]] != 1) | (least[at[1:]] != least[at[:-1]]), [True]]))
-            i, j = at[edge[:-1]], at[edge[1:] - 1]
-            head = np.zeros(len(i), dtype=HEAD)
-            head["doc"], head["hash"], head["null"], head["start"], head["size"] = doc[row[i]], text_hash[row[i]], null[row[i]], start[i], end[j] - begin[i]
-            bucket = (mix(least[i]) % np.uint64(parts)).astype(np.int32)
-            ready, size = [], 0
-            for p, members in _by_bucket(bucket, parts):
-                body = b"".join([raw[x:y] for x, y in zip(begin[i[members]].tolist(), end[j[members]].tolist(), strict=True)])
-                blob = pack.compress(len(members).to_bytes(8, "little") + head[members].tobytes() + body)
-                ready.append((p, blob))
-                size += len(blob)
-                if size > 8 << 20:
-                    yield _blobs(ready)
-                    ready, size = [], 0
-            if ready:
-                yield _blobs(ready)
+            for a, b in chunks(offsets, BLOCK_BYTES):
+                order = a + np.lexsort((text_hash[a:b], doc[a:b], null[a:b]))
+                texts = [data[offsets[i] : offsets[i + 1]] for i in order.tolist()]
+                ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+                yield from _pack_block(np.concatenate(texts), ends, doc[order], null[order], text_hash[order], width, mmer, parts, hot, pack)
 
     return run
 
 
+def _pack_block(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, null: np.ndarray, text_hash: np.ndarray, width: int, mmer: int, parts: int, hot: np.ndarray, pack):
+    """Hits and blobs of a block of rows, which are in the order of their documents."""
+    windows, where = [], []
+    for a, b in chunks(offsets):
+        base = int(offsets[a])
+        starts, ends, rows, hashes = _words(data, offsets[a : b + 1])
+        fits = np.flatnonzero(_fits(rows, len(hashes), width))
+        if not len(fits):
+            continue
+        row = np.searchsorted(rows, fits, side="right") - 1
+        least = _minimisers(hashes, rows, width, mmer, hot)[fits]
+        windows.append(_runs(hashes, width)[fits])
+        where.append((base + starts[fits], base + ends[fits + width - 1], (a + row).astype(np.int32), (fits - rows[row]).astype(np.int32), least))
+    if not windows:
+        return
+    window = np.concatenate(windows)
+    begin, end, row, start, least = (np.concatenate(x) for x in zip(*where, strict=True))
+    del windows, where
+    raw = data.tobytes()
+    later, first = _checked(*_repeats(window), window, lambda at, n: raw[begin[at] : end[at + n - width]].split(), width)
+    own = (doc[row[later]] == doc[row[first]]) & (text_hash[row[later]] == text_hash[row[first]]) & (null[row[later]] == null[row[first]]) & (start[later] == start[first])
+    again = later[~own]  # a repeated row is not a copy of itself
+    fresh = np.ones(len(window), dtype=bool)
+    fresh[later] = False
+    if len(again):
+        r = row[again]
+        yield _hits((doc[r] % parts).astype(np.int32), doc[r], null[r], text_hash[r], start[again])
+    at = np.flatnonzero(fresh)
+    if not len(at):
+        return
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (row[at[1:]] != row[at[:-1]]) | (start[at[1:]] - start[at[:-1]] != 1) | (least[at[1:]] != least[at[:-1]]), [True]]))
+    i, j = at[edge[:-1]], at[edge[1:] - 1]
+    head = [doc[row[i]], text_hash[row[i]], null[row[i]], start[i], end[j] - begin[i]]
+    ready, size = [], 0
+    for p, members in _by_bucket((mix(least[i]) % np.uint64(parts)).astype(np.int32), parts):
+        body = b"".join([raw[x:y] for x, y in zip(begin[i[members]].tolist(), end[j[members]].tolist(), strict=True)])
+        columns = (np.diff(c[members].astype(kind), prepend=c.dtype.type(0)).astype(kind).tobytes() for c, (_, kind) in zip(head, HEAD, strict=True))
+        blob = pack.compress(b"".join([len(members).to_bytes(8, "little"), *columns, body]))
+        ready.append((p, blob))
+        size += len(blob)
+        if size > 4 << 20:
+            yield _blobs(ready)
+            ready, size = [], 0
+    if ready:
+        yield _blobs(ready)
+
+
 def _count_bucket(blobs: list[bytes], width: int, bucket: int):
     """The hits among the super-k-mers of one bucket."""
     unpack = zstandard.ZstdDecompressor()
-    heads, bodies = [], []
+    columns: list[list] = [[] for _ in HEAD]
+    bodies = []
     for blob in blobs:
         raw = unpack.decompress(blob)
-        n = int.from_bytes(raw[:8], "little")
-        heads.append(np.frombuffer(raw, dtype=HEAD, count=n, offset=8))
-        bodies.append(raw[8 + n * HEAD.itemsize :])
-    head, body = np.concatenate(heads), b"".join(bodies)
-    del heads, bodies
+        n, at = int.from_bytes(raw[:8], "little"), 8
+        for column, (_, kind) in zip(columns, HEAD, strict=True):
+            column.append(np.cumsum(np.frombuffer(raw, kind, n, at), dtype=kind))
+            at += n * np.dtype(kind).itemsize
+        bodies.append(raw[at:])
+    head, body = {name: np.concatenate(c) for (name, _), c in zip(HEAD, columns, strict=True)}, b"".join(bodies)
+    del columns, bodies
     at = np.concatenate([[0], np.cumsum(head["size"], dtype=np.int64)])
     order = np.lexsort((head["start"], head["hash"], head["doc"], head["null"]))
     data = np.frombuffer(body, dtype=np.uint8)
@@ -274,21 +283,21 @@ def _count_bucket(blobs: list[bytes], width: int, bucket: int):
         firsts.append((fits - rows[row]).astype(np.int32))
     window, begin, end, owner, offset = (np.concatenate(x) for x in (windows, begins, ends, owners, firsts))
     # windows in the order of their place: by super-k-mer, then by start
-    rank = np.empty(len(head), dtype=np.int64)
-    rank[order] = np.arange(len(head))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
     line = np.argsort(rank[owner], kind="stable")
     window, begin, end, owner, offset = window[line], begin[line], end[line], owner[line], offset[line]
     later, first = _repeats(window)
     if not len(later):
         return None
     later, first = _checked(later, first, window, lambda k, n: body[begin[k] : end[k + n - width]].split(), width)
-    x, y = head[owner[later]], head[owner[first]]
+    x, y = ({k: c[owner[at]] for k, c in head.items()} for at in (later, first))
     start, start_first = x["start"] + offset[later], y["start"] + offset[first]
     other = (x["doc"] != y["doc"]) | (x["hash"] != y["hash"]) | (x["null"] != y["null"]) | (start != start_first)
     if not other.any():
         return None
-    x = x[other]
-    return _hits(np.full(len(x), bucket, np.int32), x["doc"], x["null"], x["hash"], start[other])
+    x = {k: c[other] for k, c in x.items()}
+    return _hits(np.full(other.sum(), bucket, np.int32), x["doc"], x["null"], x["hash"], start[other])
 
 
 def _reduce_side(width: int):
@@ -317,15 +326,27 @@ def _reduce_side(width: int):
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text): h tells rows of equal id apart; it is 0 throughout where no id repeats, as it costs bytes."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    unique = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    h = F.lit(0).cast("long") if unique else F.xxhash64("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"), F.col("text").cast("string").alias("text"))
+
+
 def repeated_windows(docs: DataFrame, width: int = 20, mmer: int = 5, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, h, starts, counts): windows that also start earlier, as runs of starts.
 
     Earlier means a smaller doc_id (null ids come last; equal ids go by the hash h
-    of their text), or the same document and an earlier start.  Rows that repeat
+    of their text, which is 0 where no id repeats), or the same document and an earlier start.  Rows that repeat
     both id and text are one document.  A document may have several rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).where("text is not null")
-    parts = partitions(docs)
+    return _repeated(_keyed(docs), width, mmer, buckets)
+
+
+def _repeated(keyed: DataFrame, width: int, mmer: int, buckets: int | None) -> DataFrame:
+    rows = keyed.where("text is not null")
+    parts = partitions(keyed)
     buckets = buckets or max(256, 2 * parts)
     hot = hot_minimisers(rows, width, mmer)
     packed = rows.mapInArrow(_map_side(width, mmer, buckets, hot), SCHEMA)
@@ -341,9 +362,9 @@ def remove_repeats(docs: DataFrame, width: int = 20, mmer: int = 5, keep_text: b
     null or blank text, or one shorter than a window, loses nothing.  Other columns
     are ignored.
     """
-    hits = repeated_windows(docs, width, mmer).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("counts")).alias("counts"))
+    rows = _keyed(docs)
+    hits = _repeated(rows, width, mmer, None).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("counts")).alias("counts"))
     hits = hits.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "starts", "counts")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     joined = rows.join(hits.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(hits["_d"]) & (rows["h"] == hits["_h"]), "left").select("doc_id", "text", "starts", "counts")
 
     def run(batches):
