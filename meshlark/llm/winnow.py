@@ -21,6 +21,8 @@ K = WINDOW = 24
 #: A key is 40 bits of hash above 24 bits of reversed place; a longer text goes piece by piece.
 PLACE_BITS = 24
 PIECE = 1 << 20
+#: Bytes of text handled at once; a code point takes some 100 bytes while its text is worked on.
+BLOCK_BYTES = 1 << 19
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -206,7 +208,7 @@ def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             every = batch.column(0).to_pylist()
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, BLOCK_BYTES):
                 ids = every[a:b]
                 texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(a, b)]
                 if first:
