@@ -1 +1 @@
-
+"""Column functions: address algebra, geometry, text and scores."""
