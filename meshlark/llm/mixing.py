@@ -62,16 +62,19 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, power: float
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED, shuffle: bool = True) -> DataFrame:
     """docs (doc_id, source, ...) -> all its columns, then _copy (from 0) and _key, a row for each copy.
 
+    Columns that are called _copy or _key already are replaced.
     The number of copies depends on the seed and doc_id alone, given the rate; rows
     that repeat an id are repeated alike.  Copies are ordered by _key, a hash of seed,
     id and copy, within and across partitions, so the order is the same however the
     input was laid out.
     """
+    # the row travels as one struct, so that no column of its own can clash with the ones used here
+    names = [c for c in docs.columns if c not in ("_copy", "_key")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_from"))
     cdf = rates.select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
-    rows = docs.join(cdf, docs["source"].eqNullSafe(cdf["_source"])).drop("_source")
-    u = uniform(F.lit(seed), F.lit("copies"), F.col("doc_id"))
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    rows = rows.withColumn("_u", u).withColumn("_n", count).drop("_cdf", "_u").where("_n > 0")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "_copy"))
+    rows = rows.join(cdf, rows["_from"].eqNullSafe(cdf["_source"]))
+    u = uniform(F.lit(seed), F.lit("copies"), F.col("_id"))
+    rows = rows.withColumn("_u", u).withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("_n > 0")
+    rows = rows.select("_row", "_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
+    rows = rows.select(*[F.col("_row")[c].alias(c) for c in names], "_copy", F.xxhash64(F.lit(seed), "_id", "_copy").alias("_key"))
     return rows.repartitionByRange(partitions(docs), "_key").sortWithinPartitions("_key") if shuffle else rows

@@ -261,7 +261,7 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def find(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans), a row for each row.
 
     The counts and ``base_spans`` are the base's; ``spans`` adds candidates that the

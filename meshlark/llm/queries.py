@@ -129,7 +129,7 @@ m AS (SELECT page_id, max_by({{'rule': rhost || rpath, 'verdict': rverdict}}, le
 r AS MATERIALIZED (SELECT p.page_id, p.host, p.path, m.won.rule AS rule, m.won.verdict AS verdict FROM p LEFT JOIN m USING (page_id)),
 f AS (SELECT host AS src, unnest(regexp_extract_all(html, '{links}', 1)) AS link FROM p WHERE host <> ''),
 f2 AS (SELECT src, translate(regexp_extract(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END, '://([^/?#]*)', 1), '{upper}', '{lower}') AS dst FROM f),
-up AS (SELECT DISTINCT p.host AS src, q.host AS dst FROM p JOIN (SELECT DISTINCT host FROM p WHERE host <> '') q ON q.host = regexp_extract(p.host, '^[^.]*[.](.+)$', 1)),
+up AS (SELECT DISTINCT p.host AS src, q.host AS dst FROM p JOIN (SELECT DISTINCT host FROM p WHERE host <> '') q ON q.host = regexp_extract(p.host, '^[^.]*[.](.+[.].+)$', 1)),
 l AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, count(*) AS n FROM f2 WHERE dst <> '' AND src <> dst GROUP BY ALL UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY ALL),
 e AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forward, n / sum(n) OVER (PARTITION BY dst) AS back FROM l),
 h AS (SELECT host, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM r WHERE rule IS NOT NULL GROUP BY host),

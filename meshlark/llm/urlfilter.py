@@ -58,12 +58,12 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """pages (host, html) -> (src, dst, n): absolute links between hosts, and host to parent domain and back where both have pages."""
+    """pages (host, html) -> (src, dst, n): absolute links between hosts, and host to parent domain (of two labels or more) and back where both have pages."""
     found = pages.where("host <> ''").select("host", F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(LINK), F.lit(1))).alias("link"))
     found = found.select(F.col("host").alias("src"), host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))).alias("dst"))
     links = found.where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     hosts = pages.where("host <> ''").select("host").distinct()
-    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"(?s)^[^.]*\.(.+)$", 1).alias("dst"))
+    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"(?s)^[^.]*\.(.+\..+)$", 1).alias("dst"))
     up = up.join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst")
     family = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(1).cast("long"))
     return links.unionByName(family).groupBy("src", "dst").agg(F.sum("n").alias("n"))
