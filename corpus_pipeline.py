@@ -25,7 +25,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class; of rows that repeat it, one."""
+    """Keeps the document with the smallest id of each near-duplicate class; of rows that repeat it, one.
+
+    An id names a document: rows that share one go together if any of them is a copy of another document.
+    """
     docs = docs.select(*COLUMNS)
     classes = simhash.near_classes(docs, shingle=3, radius=3)
     rest = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
