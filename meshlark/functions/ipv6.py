@@ -90,3 +90,19 @@ def resolve_suffix(network: pd.Series, prefix: pd.Series, value: pd.Series) -> p
         return str(ipaddress.IPv6Address(int(ip) | int(v))), "resolved"
 
     return pd.DataFrame([one(*x) for x in zip(network, prefix, value, strict=True)], columns=["address", "reason"])
+
+
+@F.pandas_udf(T.StructType([T.StructField("lo", T.StringType()), T.StructField("hi", T.StringType()), T.StructField("text", T.StringType())]))
+def network_range(base: pd.Series, prefix: pd.Series) -> pd.DataFrame:
+    """First and last address of a network as 32 hex digits, and its text; NULL if the base has host bits set."""
+
+    def one(t, p):
+        ip = parse(t)
+        if ip is None or pd.isna(p) or not 0 <= p <= ip.max_prefixlen:
+            return None, None, None
+        net = ipaddress.ip_network((ip, int(p)), strict=False)
+        if net.network_address != ip:
+            return None, None, None
+        return f"{int(net[0]):032x}", f"{int(net[-1]):032x}", str(net)
+
+    return pd.DataFrame([one(*x) for x in zip(base, prefix, strict=True)], columns=["lo", "hi", "text"])

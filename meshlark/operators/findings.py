@@ -21,8 +21,8 @@ def finding(when: Column, seq: int, code, path: Column, message: Column, subject
         lit(message).alias("message"),
         (subject if subject is not None else text).cast("string").alias("subject"),
         (value if value is not None else text).cast("string").alias("value"),
-        (related if related is not None else F.array().cast("array<string>")).alias("related"),
-        (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("hint"),
+        (related if related is not None else F.lit(None).cast("array<string>")).alias("related"),
+        (F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")).alias("hint"),
     )
     return F.when(when, row)
 
@@ -30,7 +30,9 @@ def finding(when: Column, seq: int, code, path: Column, message: Column, subject
 def explode_findings(df: DataFrame, stage: int, pos: Column, rules: list[Column]) -> DataFrame:
     """One narrow pass: all rules on a row, and a row for each that holds."""
     rows = df.select("arch_id", pos.cast("int").alias("pos"), F.explode(F.array_compact(F.array(*rules))).alias("f"))
-    return rows.select("arch_id", F.lit(stage).alias("stage"), "pos", "f.*").select(*COLUMNS)
+    rows = rows.select("arch_id", F.lit(stage).alias("stage"), "pos", "f.*")
+    empty = {"related": F.coalesce("related", F.array().cast("array<string>")), "hint": F.coalesce("hint", F.create_map().cast("map<string,string>"))}
+    return rows.withColumns(empty).select(*COLUMNS)
 
 
 def gather(*parts: DataFrame) -> DataFrame:
