@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import card_field
 
 MOST_CHARS = 1800
+#: The field that names a card.
+ID = "Rule-ID"
 MODES, PHASES = ("all", "behavioral_lab", "cloud_native"), ("topology", "configuration")
 CHUNKS = "source string, chunk int, heading string, text string"
 
@@ -58,7 +60,7 @@ def chunks(files: DataFrame, most: int = MOST_CHARS) -> DataFrame:
 def records(chunks: DataFrame) -> DataFrame:
     """Chunks that carry a rule: (rule_id, source, heading, text, mode, phase)."""
     text = F.col("text")
-    rows = chunks.select(card_field(text, "Rule ID").alias("rule_id"), "source", "heading", "text", card_field(text, "Mode").alias("mode"), card_field(text, "Phase").alias("phase"))
+    rows = chunks.select(card_field(text, ID).alias("rule_id"), "source", "heading", "text", card_field(text, "Mode").alias("mode"), card_field(text, "Phase").alias("phase"))
     return rows.where("rule_id <> ''")
 
 
@@ -75,8 +77,8 @@ def record_problems(records: DataFrame, required: list[str]) -> DataFrame:
 
 def lint(chunks: DataFrame, fields: list[str], heading: str, sources: DataFrame) -> DataFrame:
     """(rule_id, problem) for authored cards: exactly the given fields, a well-formed heading, known related rules and registered sources (source_id)."""
-    names = F.expr(r"regexp_extract_all(text, '(?m)^([A-Z][A-Za-z ]+): .+$', 1)")
-    cards = chunks.withColumn("rule_id", card_field(F.col("text"), "Rule ID")).where("rule_id <> ''").withColumn("names", names)
+    names = F.expr(r"regexp_extract_all(text, '(?m)^([A-Z][A-Za-z -]+): .+$', 1)")
+    cards = chunks.withColumn("rule_id", card_field(F.col("text"), ID)).where("rule_id <> ''").withColumn("names", names)
     want = F.array(*[F.lit(f) for f in fields])
     missing = cards.select("rule_id", F.explode(F.array_except(want, "names")).alias("f")).select("rule_id", F.concat(F.lit("missing_field "), "f").alias("problem"))
     extra = cards.select("rule_id", F.explode(F.array_except("names", want)).alias("f")).select("rule_id", F.concat(F.lit("unexpected_field "), "f").alias("problem"))

@@ -34,7 +34,7 @@ def test_detector_documents(spark):
 
 
 def test_cards(spark):
-    body = "# A\nRule ID: R-1\nMode: all\nPhase: topology\nRelated: R-2, R-9\nSources: s1, s2\n" + "# B\nRule ID: R-2\nMode: odd\nPhase: topology\nRelated: none\nSources: s1\n"
+    body = "# A\nRule-ID: R-1\nMode: all\nPhase: topology\nRelated: R-2, R-9\nSources: s1, s2\n" + "# B\nRule-ID: R-2\nMode: odd\nPhase: topology\nRelated: none\nSources: s1\n"
     files = spark.createDataFrame([("f.md", body), ("g.md", "intro\n# Long\n" + "\n".join(["x" * 99] * 40))], "source string, content string")
     chunks = cards.chunks(files)
     long = [r["text"] for r in chunks.where("heading = '# Long'").collect()]
@@ -43,7 +43,7 @@ def test_cards(spark):
     assert records.count() == 2
     assert sorted((r["rule_id"], r["problem"]) for r in cards.record_problems(records, ["R-1", "R-3"]).collect()) == [("R-2", "unknown_mode"), ("R-3", "missing_rule")]
     sources = spark.createDataFrame([("s1",)], "source_id string")
-    lint = cards.lint(chunks, ["Rule ID", "Mode", "Phase", "Related", "Sources"], r"^# [A-Z]$", sources)
+    lint = cards.lint(chunks, ["Rule-ID", "Mode", "Phase", "Related", "Sources"], r"^# [A-Z]$", sources)
     assert sorted((r["rule_id"], r["problem"]) for r in lint.collect()) == [("R-1", "unknown_related R-9"), ("R-1", "unknown_source s2")]
     assert cards.manifest(files, records).count() == 2
 
