@@ -102,3 +102,15 @@ def manifest(files: DataFrame, records: DataFrame) -> DataFrame:
 def token_count(text: str) -> int:
     """A stand-in for a model's tokenizer: a token for every four bytes."""
     return -(-len(re.sub(r"\s+", " ", text).encode()) // 4)
+
+
+def cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Evaluation cases from JSON lines, or from a JSON list in one file."""
+    reader = spark.read.schema(schema)
+    return reader.json(path) if path.endswith(".jsonl") else reader.json(path, multiLine=True)
+
+
+def fresh(stored: DataFrame, files: DataFrame) -> DataFrame:
+    """Files whose fingerprint is not stored (source, sha256): what a cache has to build anew."""
+    now = files.withColumn("sha256", F.sha2("content", 256))
+    return now.join(stored.select("source", "sha256"), ["source", "sha256"], "left_anti")
