@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ipaddress
+import itertools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import addr
+from ..functions import addr, ipv6
 from .graph import segments
 
 # Who gets the first addresses of a segment.
@@ -53,3 +57,43 @@ def autoaddress(devices: DataFrame, links: DataFrame, base: str = "192.168.0.0",
         "arch_id", "segment", addr.int_to_ip(F.col("network")).alias("network"), "prefix", addr.prefix_to_mask(F.col("prefix")).alias("mask"), addr.usable_hosts(F.col("prefix")).alias("usable"), "hosts", "fits"
     )
     return plan, given
+
+
+def vlsm6(needs: DataFrame, base: str, prefix: int) -> DataFrame:
+    """needs (arch_id, segment_no, prefix) -> with ``network`` (canonical text) and ``fits``: IPv6 blocks, packed like IPv4's.
+
+    Offsets have 128 bits, which no Spark number holds, so they are summed in Arrow
+    batches, a document at a time.
+    """
+    space = ipaddress.IPv6Network((base, prefix))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["prefix", "segment_no"])
+        sizes = [1 << (128 - int(p)) for p in rows["prefix"]]
+        starts = list(itertools.accumulate([0, *sizes]))
+        fits = starts[-1] <= space.num_addresses
+        rows["fits"] = fits
+        rows["network"] = [str(space[s]) if fits else None for s in starts[:-1]]
+        return rows[["arch_id", "segment_no", "prefix", "network", "fits"]]
+
+    kind = dict(needs.dtypes)
+    rows = needs.select("arch_id", "segment_no", F.col("prefix").cast("int").alias("prefix"))
+    return rows.groupBy("arch_id").applyInPandas(run, f"arch_id {kind['arch_id']}, segment_no {kind['segment_no']}, prefix int, network string, fits boolean")
+
+
+def autoaddress6(devices: DataFrame, links: DataFrame, base: str = "2001:db8::", prefix: int = 48, segment_prefix: int | None = 64) -> tuple[DataFrame, DataFrame]:
+    """A fresh IPv6 plan, a /64 for each segment, or with ``segment_prefix`` None the smallest block that fits.
+
+    Returns (arch_id, segment, network, prefix, hosts, fits) and (arch_id, segment, device, address).
+    """
+    _, seg_devices = segments(devices, links)
+    needs = seg_devices.groupBy("arch_id", "segment", "segment_no").agg(F.count_if("is_host").alias("hosts"))
+    tight = F.lit(None).cast("int")
+    for p in range(64, 127):  # the longest prefix that holds the hosts and the anycast address
+        tight = F.when(F.col("hosts") <= F.lit(float((1 << (128 - p)) - 1)), F.lit(p)).otherwise(tight)
+    needs = needs.withColumn("prefix", F.lit(segment_prefix) if segment_prefix is not None else tight)
+    blocks = vlsm6(needs, base, prefix).drop("prefix").join(needs, ["arch_id", "segment_no"])
+    rank = F.row_number().over(Window.partitionBy("arch_id", "segment").orderBy(role_order(F.col("type")), "device_pos"))
+    hosts = seg_devices.where("is_host").withColumn("n", rank).join(blocks.select("arch_id", "segment", "network", "prefix"), ["arch_id", "segment"])
+    given = hosts.select("arch_id", "segment", "device", ipv6.resolve_suffix("network", "prefix", F.col("n").cast("long"))["address"].alias("address"))
+    return blocks.select("arch_id", "segment", "network", "prefix", "hosts", "fits"), given

@@ -152,6 +152,17 @@ def test_vlsm_exercise(spark):
     assert all(not r["fits"] and r["network"] is None for r in small.collect())
 
 
+def test_ipv6_blocks(spark):
+    two = rows(spark, [("r", "router"), ("s", "switch"), ("p", "pc"), ("q", "pc"), ("x", "router")], [("r", "s"), ("s", "p"), ("s", "q"), ("r", "x")])
+    blocks, hosts = allocation.autoaddress6(*two)
+    assert sorted((r["network"], r["prefix"]) for r in blocks.collect()) == [("2001:db8:0:1::", 64), ("2001:db8::", 64)]
+    assert {(r["segment"], r["device"]): r["address"] for r in hosts.collect()}[("segment_2", "x")] == "2001:db8:0:1::2"
+    tight, _ = allocation.autoaddress6(*two, segment_prefix=None)
+    assert sorted((r["network"], r["prefix"]) for r in tight.collect()) == [("2001:db8::", 126), ("2001:db8::4", 126)]
+    small, _ = allocation.autoaddress6(*two, prefix=64)
+    assert all(not r["fits"] and r["network"] is None for r in small.collect())
+
+
 def test_limitations_and_hosting(spark):
     devices, links = rows(spark, [("a", "switch"), ("b", "switch"), ("p", "pc")], [("a", "b"), ("a", "b"), ("p", "a")])
     lines = plan.limitations(devices, links).first()["limitations"]
