@@ -173,7 +173,7 @@ def _device_shape(devices: DataFrame, require_ipv4: bool) -> DataFrame:
     return explode_findings(first_ids(devices), DEVICES, F.col("pos"), rules)
 
 
-def _duplicate_names(known: DataFrame) -> DataFrame:
+def duplicate_names(known: DataFrame) -> DataFrame:
     """Names that several devices share, whatever their case: a finding for each."""
     trimmed = known.where(named(F.col("name"))).withColumn("_key", F.lower(F.regexp_replace("name", r"(?U)^\s+|\s+$", "")))
     ids = trimmed.groupBy("arch_id", "_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids")).where(F.size("ids") > 1)
@@ -292,7 +292,7 @@ def _connectivity(known: DataFrame, good: DataFrame, own: DataFrame, used: DataF
     return alone.unionByName(explode_findings(both, GRAPH, F.col("pos"), [rule]))
 
 
-def _duplicate_addresses(uses: DataFrame) -> DataFrame:
+def duplicate_addresses(uses: DataFrame) -> DataFrame:
     """uses (arch_id, fam, ip, id, pos, path): every use of an address that two devices or more have."""
     owners = uses.groupBy("arch_id", "fam", "ip").agg(F.array_sort(F.collect_set("id")).alias("owners")).where(F.size("owners") > 1)
     rows = uses.join(owners, ["arch_id", "fam", "ip"])
@@ -337,7 +337,7 @@ def check(devices: DataFrame, links: DataFrame, headers: DataFrame | None = None
     known = cut(_known(devices))
     good = cut(valid_links(links, known))
     parts = [document_findings(headers)] if headers is not None else []
-    parts += [_device_shape(devices, require_ipv4), _duplicate_names(known), _link_shape(links, known)]
+    parts += [_device_shape(devices, require_ipv4), duplicate_names(known), _link_shape(links, known)]
     uses, own, used, nets = [], [], [], {}
     for fam in families:
         # parsed once: the rules and all whole-document checks below read these tables
@@ -358,7 +358,7 @@ def check(devices: DataFrame, links: DataFrame, headers: DataFrame | None = None
         nets[fam] = ends.where("side = 'source' and nth = 0 and _net is not null").select("arch_id", "pos", F.col("_net").alias("net"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_p").alias("p"))
     every = gather(*uses)
     parts.append(_connectivity(known, good, gather(*own), gather(*used)))
-    parts.append(_duplicate_addresses(every))
+    parts.append(duplicate_addresses(every))
     routed = graph.routing_layer2(graph.link_ends(known, good))
     text = F.concat(F.col("id"), F.lit(" is a "), F.col("type"), F.lit(" but holds addresses in several networks, so it is treated as a layer-3 switch that routes between them."))
     rows = known.join(routed.withColumnRenamed("device", "id"), ["arch_id", "id"], "left_semi")

@@ -9,7 +9,7 @@ from ..functions import addr
 from ..functions import geometry as G
 from ..functions.scores import combine, tier
 from ..functions.text import classify
-from ..operators import allocation, findings, graph, matching, plan, readiness, search
+from ..operators import allocation, findings, graph, matching, plan, readiness, search, validation
 from . import views
 from .views import with_more, with_views
 
@@ -392,6 +392,50 @@ b AS (SELECT n.*, (SELECT min((p, t)) FROM o WHERE m >= required_mib AND p <= 0.
 SELECT arch_id, required_mib, CASE WHEN bad = 0 AND devices <= 16 AND links <= 24 THEN o[2] END AS instance_type, CASE WHEN bad = 0 AND devices <= 16 AND links <= 24 THEN o[1]::DOUBLE END AS hourly_compute_usd,
  CASE WHEN bad > 0 THEN 'unsupported_type' WHEN devices > 16 OR links > 24 THEN 'too_large' WHEN o IS NULL THEN 'no_offer' END AS refused FROM b"""
 
+
+def device_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    devices, links = views.documents(spark, sf_dir)
+    return graph.neighbours(devices, links)
+
+
+NEIGHBOURS_SQL = with_views("SELECT arch_id, source AS id, target AS other FROM links UNION SELECT arch_id, target, source FROM links")
+
+
+def duplicate_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every device address that another device of the document has too."""
+    d, _ = views.plain(spark, sf_dir)
+    path = F.concat(F.lit("/devices/"), F.col("pos").cast("string"), F.lit("/network/ip_address"))
+    uses = d.where("ip is not null").select("arch_id", F.lit(4).alias("fam"), "ip", "id", "pos", path.alias("path"))
+    return validation.duplicate_addresses(uses).select("arch_id", "path", "subject", "value", F.array_join("related", ",").alias("related"))
+
+
+DUPLICATE_SQL = with_views("""
+SELECT d.arch_id, concat('/devices/', d.pos, '/network/ip_address') AS path, d.id AS subject, d.ip AS value, string_agg(o.id, ',' ORDER BY o.id) AS related
+FROM devices d JOIN devices o ON o.arch_id = d.arch_id AND o.ip = d.ip AND o.id <> d.id GROUP BY ALL""")
+
+
+def name_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders claim their customer by a score: the best keeps it, unless the second is close."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select(F.pmod("o_custkey", F.lit(7)).alias("image_id"), "o_custkey", "o_orderkey", (F.pmod(F.col("o_orderkey") * 37, F.lit(101)) / 100.0).alias("score"))
+    return matching.claims(rows, "o_custkey", "o_orderkey", "score")
+
+
+CLAIMS_SQL = """
+WITH x AS (SELECT o_custkey % 7 AS image_id, o_custkey, o_orderkey, (o_orderkey * 37 % 101) / 100.0::DOUBLE AS score FROM orders),
+r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM x WINDOW w AS (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey)),
+t AS (SELECT *, max(CASE WHEN rn = 1 AND second IS NOT NULL AND score - second < 0.08 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey) AS tie FROM r)
+SELECT image_id, o_custkey, o_orderkey, score, CASE WHEN tie = 1 THEN 'tied' WHEN rn = 1 THEN 'kept' ELSE 'lost' END AS claim FROM t"""
+
+
+def pinned_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    devices, links = views.documents(spark, sf_dir)
+    return search.feature_queries(graph.facts(devices, links)).select("arch_id", F.array_join("queries", "; ").alias("queries"))
+
+
+FEATURES_SQL = with_views("""
+SELECT DISTINCT arch_id, 'device mapping pc router server switch; switch chain bridge STP loop switching paths; same switch same VLAN local ping ARP' AS queries FROM devices""")
+
 CATALOGUE: dict[str, tuple] = {
     "readiness_report": (readiness_report, with_more(FINDINGS_SQL.strip(), "SELECT arch_id, code, count(*) AS n FROM f GROUP BY ALL")),
     "readiness_findings": (readiness_findings, with_more(FINDINGS_SQL.strip(), "SELECT arch_id, code, path, message FROM f")),
@@ -406,6 +450,10 @@ CATALOGUE: dict[str, tuple] = {
     "vlsm_blocks": (vlsm_blocks, VLSM_SQL),
     "autoaddress_hosts": (autoaddress_hosts, AUTO_SQL),
     "duplicate_lan_addresses": (duplicate_lan_addresses, LAN_SQL),
+    "device_neighbours": (device_neighbours, NEIGHBOURS_SQL),
+    "duplicate_ips": (duplicate_ips, DUPLICATE_SQL),
+    "name_claims": (name_claims, CLAIMS_SQL),
+    "pinned_features": (pinned_features, FEATURES_SQL),
     "bm25_topk": (bm25_topk, BM25_SQL),
     "dense_topk": (dense_topk, DENSE_SQL),
     "rank_fusion": (rank_fusion, RRF_SQL),
