@@ -47,28 +47,37 @@ class Counter:
         self.known: dict[str, tuple[float, int, int]] = {}
 
     def word(self, word: str) -> tuple[float, int, int]:
-        """(score, pieces, pieces that are bytes)."""
-        n = len(word)
-        best: list = [None] * (n + 1)
-        best[0] = (0.0, 0, 0)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, found in self.machine.iter(word):
-            ends[end].append(found)
-        for j, char in enumerate(word):
-            top = None
-            for size, score in sorted(ends[j], key=_by_length):  # the earliest start first
-                score_before, count, raw = best[j + 1 - size]
-                score += score_before
-                if top is None or score > top[0]:
-                    top = (score, count + 1, raw)
-            if char not in self.single:
-                score_before, count, raw = best[j]
-                score = self.unknown + score_before
-                if top is None or score > top[0]:
-                    size = len(char.encode("utf-8", "surrogatepass"))
-                    top = (score, count + size, raw + size)
-            best[j + 1] = top
-        return best[n]
+        """(score, pieces, pieces that are bytes).
+
+        The automaton lists matches by their ends, and for one end the longest, so the
+        earliest start, first; a strictly better score is needed to replace it.
+        """
+        n, single = len(word), self.single
+        scores: list = [None] * (n + 1)
+        counts, raws = [0] * (n + 1), [0] * (n + 1)
+        scores[0] = 0.0
+        done = 0  # ends up to here have had their character's own fallback
+        for end, (size, score) in self.machine.iter(word):
+            while done < end:
+                done += 1
+                if word[done - 1] not in single:
+                    self._fallback(word, done, scores, counts, raws)
+            start, end = end + 1 - size, end + 1
+            score += scores[start]
+            if scores[end] is None or score > scores[end]:
+                scores[end], counts[end], raws[end] = score, counts[start] + 1, raws[start]
+        while done < n:
+            done += 1
+            if word[done - 1] not in single:
+                self._fallback(word, done, scores, counts, raws)
+        return scores[n], counts[n], raws[n]
+
+    def _fallback(self, word: str, end: int, scores: list, counts: list, raws: list) -> None:
+        """The character before ``end`` as its UTF-8 bytes, if that is better than what ends there."""
+        score = self.unknown + scores[end - 1]
+        if scores[end] is None or score > scores[end]:
+            size = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            scores[end], counts[end], raws[end] = score, counts[end - 1] + size, raws[end - 1] + size
 
     def text(self, text: str) -> tuple[int, int, float]:
         """(pieces, byte pieces, score) of a whole text."""
@@ -93,10 +102,6 @@ class Counter:
         return pieces, raw, total
 
 
-def _by_length(found: tuple[int, float]) -> int:
-    return -found[0]
-
-
 @functools.cache
 def _counter(pieces: tuple[tuple[str, float], ...]) -> Counter:
     return Counter(list(pieces))
