@@ -271,7 +271,8 @@ RULES_SQL = with_views(f"""
 SELECT arch_id, (row_number() OVER (PARTITION BY arch_id ORDER BY o) - 1)::INTEGER AS ord, rule_id FROM (
  SELECT arch_id, o, rule_id FROM (SELECT DISTINCT arch_id FROM devices) CROSS JOIN (SELECT unnest(range(0, 16)) AS o, unnest({[*search.ALWAYS, "L2-001", "L2-003", "ROUTE-001", "EX-LAN"]}) AS rule_id)
  UNION ALL SELECT DISTINCT arch_id, 20, 'EX-STANDALONE' FROM devices d ANTI JOIN (SELECT arch_id, source AS id FROM links UNION SELECT arch_id, target FROM links) l USING (arch_id, id)
- UNION ALL SELECT DISTINCT arch_id, 21, 'EX-ISOLATED' FROM devices d ANTI JOIN (SELECT arch_id, source AS id FROM links UNION SELECT arch_id, target FROM links) l USING (arch_id, id))""")
+ UNION ALL SELECT arch_id, 21, 'EX-ISOLATED' FROM (SELECT arch_id FROM devices d ANTI JOIN (SELECT arch_id, source AS id FROM links UNION SELECT arch_id, target FROM links) l USING (arch_id, id)
+  UNION SELECT arch_id FROM devices WHERE type = 'switch' AND (pos - 1) % 7 = 0))""")
 
 # ------------------------------------------------------------------ spatial
 BOXES = """SELECT {cast} AS image_id, p_partkey AS id, p_partkey % 97 * 9.0 AS x1, p_partkey * 31 % 23 * 7.0 AS y1, p_partkey % 97 * 9.0 + 20 + p_size AS x2, p_partkey * 31 % 23 * 7.0 + 12 + p_size % 7 AS y2,
