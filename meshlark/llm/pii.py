@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -155,16 +156,20 @@ def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
     for _, e in taken:
         top = max(top, e)
         reach.append(top)
-    out, last = [], {}
+    out: list[tuple[int, int, int]] = []
+    own: list[tuple[list[int], list[int]]] = [([], []) for _ in KINDS]  # starts and ends of what a kind has, in order
     for kind, pattern in WIDE:
+        begins, ends = own[kind]
         for m in pattern.finditer(text):
             s, e = m.span()
             at = int(np.searchsorted(starts, e, side="left")) if starts else 0
-            if (at and reach[at - 1] > s) or s < last.get(kind, 0):
+            i = bisect_left(begins, e)
+            if (at and reach[at - 1] > s) or (i and ends[i - 1] > s):
                 continue
-            last[kind] = e
+            begins.insert(i, s)
+            ends.insert(i, e)
             out.append((s, kind, e))
-    return sorted(set(out))
+    return sorted(out)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -468,6 +468,21 @@ def test_the_classifier_adds_spans_and_spares_clean_text(spark):
     assert got[3000].count("card") == 2
 
 
+def test_candidates_stand_before_those_of_earlier_patterns():
+    pairs = [
+        ("bob at mail dot org", "alice [at] corp.com", "email"),
+        ("2001:db8:0:1:2:3:4:5", "10[.]0[.]3[.]44", "ip"),
+        ("4111111111111112", "4111.1111.1111.1112", "card"),
+        ("(555) 555-6503", "+1 499-555-6503", "phone"),
+    ]
+    for first, later, kind in pairs:
+        text = f"Write to {first} today. Later: {later} is there."
+        got = pii.candidate_spans(text, [])
+        assert [text[s:e] for s, k, e in got if pii.KINDS[k] == kind] == [first, later]
+    # what overlaps an earlier pattern's match still goes
+    assert [e - s for s, _, e in pii.candidate_spans("x [at] y.com @ z.com", [])] == [len("x [at] y.com")]
+
+
 def test_em_learns_which_labelers_to_trust():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.5
