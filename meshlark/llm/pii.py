@@ -45,8 +45,8 @@ WIDE = (
     (3, re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+])(?:00[ .-]?[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ ./-][0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9.-]?[0-9])")),
 )
-#: What tells that a text may hold something of the wider net.
-HINT = re.compile(r"[0-9]{14}|[0-9][ ./()_ \[-]{1,2}[(]?[0-9]|[\[({]at[\])}]| at [A-Za-z0-9-]{1,63} dot |@|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:", re.I)
+#: What tells that a text may hold something of the wider net: each of its patterns needs one of these.
+HINT = re.compile(r"[0-9]{14}|[0-9](?:[ ./()_ \[-]{1,2}[(]?|\[\.\]|\(\.\)|\[dot\]| dot )[0-9]|[\[({]at[\])}]| at [A-Za-z0-9-]{1,63} dot |@|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:", re.I)
 #: Gazetteers.
 TLDS = frozenset("com org net edu gov int info biz io de fr es it uk us eu ch at be nl pl pt se no dk fi ie ca au nz jp cn kr in br mx ru".split())
 WORDS = (

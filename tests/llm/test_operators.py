@@ -483,6 +483,27 @@ def test_candidates_stand_before_those_of_earlier_patterns():
     assert [e - s for s, _, e in pii.candidate_spans("x [at] y.com @ z.com", [])] == [len("x [at] y.com")]
 
 
+ALONE = [
+    ("ann [at] corp.com", "bob(at)corp (dot) com", "eve {at} corp dot com"),
+    ("bob at mail dot org", "bob @ mail dot org"),
+    ("bob @ corp.com",),
+    ("192[.]168[.]7[.]21", "10(.)0(.)3(.)44", "10[dot]0[dot]3[dot]44", "10 dot 0 dot 3 dot 44", "10[DOT]0[.]3 Dot 44"),
+    ("fe80:0:0:1:a:b:c:d", "a:b:c:d:e"),
+    ("4111.1111.1111.1112", "4111_1111_1111_11", "4111\u00a01111\u00a01111\u00a01112"),
+    ("41111111111111", "4111-1111-1111-1112"),
+    ("+1 (499) 555-6503", "+49.30.123.4567"),
+    ("(555) 555-6503", "030/123/4567"),
+]
+
+
+@pytest.mark.parametrize("at", range(len(pii.WIDE)))
+def test_the_hint_lets_each_wide_pattern_pass(at):
+    kind, pattern = pii.WIDE[at]
+    for span in ALONE[at]:
+        assert pattern.search(span), span
+        assert (kind, span) in [(k, span[s:e]) for s, k, e in pii.candidate_spans(span, [])], span
+
+
 def test_em_learns_which_labelers_to_trust():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.5
