@@ -5,6 +5,11 @@ after a number and for names.  Windows of five canonical tokens are templates; t
 documents meet those of the benchmark in a hash join.  Along each alignment the
 placeholders' values must map consistently (one value of the item, one of the document),
 which tells a re-parameterised question from a chance match of its frame.
+
+Whether a capitalised word is a name can't be told where it opens a sentence, nor is a
+name's copy in lower case known for one.  So a window is emitted in each form that takes
+some of its capitalised words as names and the others as words: two windows share a form
+if their tokens are the same words or both capitalised.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, mix, prefix_hash, span_hash, text_buffer, word_spans
+from .common import POWERS, byte_values, chunks, mix, prefix_hash, span_hash, text_buffer, word_spans
 
 WIDTH = 5
 #: A window counts only with so many plain words in it.
@@ -57,13 +62,14 @@ class _Lists:
     spelled = _hash_words(SPELLED)
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical token hashes, surface hashes, whether each is plain, and each row's first token.
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes with all names as words, surface hashes, whether each is a number or unit, is capitalised, is a name for sure, and each row's first token.
 
     A token is a run of ASCII letters, digits and non-ASCII bytes; points and commas
     between digits belong to their number.  Lower case is taken for ASCII and Latin-1
-    letters.  A number has a digit, or is a spelled-out one; a name starts with a
-    capital that is followed by a small letter and opens no sentence.
+    letters.  A number has a digit, or is a spelled-out one; a capitalised word starts
+    with a capital that is followed by a small letter, and is a name for sure if it
+    opens no sentence.
     """
     own = data[int(offsets[0]) : int(offsets[-1])]
     size = len(own)
@@ -82,7 +88,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     surface = mix(span_hash(prefix_hash(VALUES[lower]), starts, ends))
     n = len(starts)
     if not n:
-        return surface, surface, np.zeros(0, bool), rows
+        return surface, surface, *[np.zeros(0, bool)] * 3, rows
     numbers = np.concatenate([[0], np.cumsum(_IS_DIGIT[own])])
     number = (numbers[ends] > numbers[starts]) | _among(surface, _Lists.spelled)
     after_number = np.concatenate([[False], number[:-1]])
@@ -96,56 +102,99 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     capital = ((own[starts] >= 65) & (own[starts] <= 90)) | latin[np.minimum(starts + 1, size - 1)]
     second = np.minimum(starts + 1 + (own[starts] == 0xC3), size - 1)
     small = ((own[second] >= 97) & (own[second] <= 122)) | (own[second] >= 128)
-    name = capital & small & (second < ends) & ~opens & ~number & ~unit
-    tokens = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, surface)))
-    return tokens, surface, ~(number | unit | name), rows
+    capital = capital & small & (second < ends) & ~number & ~unit
+    words = np.where(number, NUMBER, np.where(unit, UNIT, surface))
+    return words, surface, number | unit, capital, capital & ~opens, rows
+
+
+def _ahead(marks: np.ndarray) -> np.ndarray:
+    """For each token the marks of it and the next WIDTH - 1 ones, as bits."""
+    out = marks.astype(np.uint8)
+    for i in range(1, WIDTH):
+        out[:-i] |= marks[i:].astype(np.uint8) << np.uint8(i)
+    return out
 
 
-def _windows(tokens: np.ndarray, plain: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First token, row, place within the row and hash of each window that counts."""
-    n, sizes = len(tokens), np.diff(rows)
-    prefix = prefix_hash(tokens)
+def _windows(words: np.ndarray, fixed: np.ndarray, capital: np.ndarray, name: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The forms of the windows that count: first token, row, hash, tokens taken as names (bits), whether these are the sure names,
+    hash of that own form, and whether the own form counts."""
+    n, sizes = len(words), np.diff(rows)
+    prefix = prefix_hash(words)
     first = np.arange(n)
     row = np.repeat(np.arange(len(sizes)), sizes)
     end = np.minimum(first + WIDTH, rows[row + 1]) if n else first
     # a row of fewer tokens than a window has itself as its only one
     fits = (first + WIDTH <= rows[row + 1]) | (first == rows[row]) if n else np.zeros(0, bool)
-    counted = np.concatenate([[0], np.cumsum(plain)])
-    fits &= counted[end] - counted[first] >= np.minimum(PLAIN, end - first)
-    first, end, row = first[fits], end[fits], row[fits]
-    return first, row, first - rows[row], mix(span_hash(prefix, first, end) ^ (end - first).astype(np.uint64))
+    counted = np.concatenate([[0], np.cumsum(~fixed)])
+    plain = counted[end] - counted[first]
+    fits &= plain >= np.minimum(PLAIN, end - first)
+    inside = ((1 << (end - first)) - 1).astype(np.uint8)
+    able, sure = (_ahead(x) & inside for x in (capital, name))
+    first, end, row, plain, able, sure = (x[fits] for x in (first, end, row, plain, able, sure))
+    size = (end - first).astype(np.uint64)
+    base = span_hash(prefix, first, end)
+    POWERS.need(WIDTH)
+    gain = [(NAME - words[np.minimum(first + i, n - 1)]) * POWERS.up[i] for i in range(WIDTH)]
+    own = base.copy()
+    for i in range(WIDTH):
+        own += np.where((sure >> np.uint8(i)) & 1 == 1, gain[i], np.uint64(0))
+    own = mix(own ^ size)
+    counts = plain - np.bitwise_count(sure) >= np.minimum(PLAIN, end - first)
+    at, masks, hashes = [], [], []
+    some = np.flatnonzero(able)
+    for mask in range(1 << WIDTH):
+        taken = [i for i in range(WIDTH) if mask >> i & 1]
+        # a form has a plain word at least
+        on = some[((able[some] & mask) == mask) & (plain[some] > len(taken))] if mask else np.arange(len(first))
+        if len(on):
+            at.append(on)
+            masks.append(np.full(len(on), mask, np.uint8))
+            hashes.append(mix(sum((gain[i][on] for i in taken), base[on]) ^ size[on]))
+    if not at:
+        return first, row, base, able, sure == able, own, counts
+    at, masks = np.concatenate(at), np.concatenate(masks)
+    return first[at], row[at], np.concatenate(hashes), masks, (masks == sure[at]) & counts[at], own[at], counts[at]
 
 
 def template_windows(table: DataFrame, key: str, text: str, seen: np.ndarray | None = None) -> DataFrame:
-    """(key, window: long, place, values: array<long>, slots: array<boolean>); with ``seen``, only windows that may be in that filter."""
+    """(key, window: long, place, values: array<long>, slots: array<boolean>, own: boolean, form: long), a row for each form of each window.
+
+    ``own`` marks the form in which the names are the capitalised words that open no
+    sentence; ``form`` is that form's hash, null if it has too few plain words to count.
+    With ``seen``, only forms that may be in that filter.
+    """
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for a, b in chunks(offsets):
-                tokens, surface, plain, rows = canonical(data, offsets[a : b + 1])
-                first, row, place, window = _windows(tokens, plain, rows)
+                words, surface, fixed, capital, name, rows = canonical(data, offsets[a : b + 1])
+                found = _windows(words, fixed, capital, name, rows)
                 if seen is not None:
-                    bit = window >> np.uint64(64 - FILTER_BITS)
+                    bit = found[2] >> np.uint64(64 - FILTER_BITS)
                     hit = (seen[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    first, row, place, window = first[hit], row[hit], place[hit], window[hit]
+                    found = tuple(x[hit] for x in found)
+                first, row, window, mask, own, form, counts = found
                 if not len(first):
                     continue
                 at = np.minimum(first[:, None] + np.arange(WIDTH), rows[row + 1][:, None] - 1)
+                slots = fixed[at] | ((mask[:, None] >> np.arange(WIDTH, dtype=np.uint8)) & 1 == 1)
                 edges = pa.array(np.arange(len(first) + 1) * WIDTH, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(a + row)),
                         pa.array(window.astype(np.int64)),
-                        pa.array(place, pa.int32()),
+                        pa.array(first - rows[row], pa.int32()),
                         pa.ListArray.from_arrays(edges, pa.array(surface[at].ravel().astype(np.int64))),
-                        pa.ListArray.from_arrays(edges, pa.array(~plain[at].ravel())),
+                        pa.ListArray.from_arrays(edges, pa.array(slots.ravel())),
+                        pa.array(own),
+                        pa.array(form.astype(np.int64), mask=~counts),
                     ],
-                    names=[key, "window", "place", "vals", "slots"],
+                    names=[key, "window", "place", "vals", "slots", "own", "form"],
                 )
 
     rows = table.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).cast("string"))
-    return rows.mapInArrow(run, f"`{key}` long, window long, place int, vals array<long>, slots array<boolean>")
+    return rows.mapInArrow(run, f"`{key}` long, window long, place int, vals array<long>, slots array<boolean>, own boolean, form long")
 
 
 def window_filter(windows: DataFrame) -> np.ndarray:
@@ -170,21 +219,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
 
     A row for each document that holds ``share`` or more of an item's distinct template
     windows, in alignments whose slot values map consistently; ``reparameterised`` if
-    a slot's value differs from the item's.  Items and documents shorter than five
+    a slot's value differs from the item's.  A capitalised word meets any other one and
+    its own copy in lower case, wherever it stands; an alignment counts if its slots map
+    consistently either with all forms or with the own forms of both sides alone.  A new
+    name in lower case looks like any other word, so its windows are lost.  Items and documents shorter than five
     tokens are one window each, so such an item is found only as a whole document.
     Null ids and null or empty texts match nothing; rows that repeat an id count as one
     document; other columns are ignored.
     """
-    items = template_windows(benchmark.where("item_id is not null"), "item_id", "text")
+    items = template_windows(benchmark.where("item_id is not null"), "item_id", "text").where("form is not null")
     seen = window_filter(items)
-    total = items.groupBy("item_id").agg(F.count_distinct("window").alias("n_windows"))
-    items = items.select("item_id", "window", F.col("place").alias("item_place"), F.col("vals").alias("item_vals"), "slots")
-    hits = template_windows(docs.where("doc_id is not null"), "doc_id", "text", seen).select("doc_id", "window", "place", "vals")
+    total = items.groupBy("item_id").agg(F.count_distinct("form").alias("n_windows"))
+    items = items.select("item_id", "window", F.col("place").alias("item_place"), F.col("vals").alias("item_vals"), "slots", "form", F.col("own").alias("item_own"))
+    hits = template_windows(docs.where("doc_id is not null"), "doc_id", "text", seen).select("doc_id", "window", "place", "vals", "own")
     pairs = hits.join(items, "window").withColumn("shift", F.col("place") - F.col("item_place"))
     slot = F.expr(
         "filter(transform(sequence(0, size(slots) - 1), i -> if(slots[i], named_struct('i', item_vals[i], 'd', vals[i]), cast(null as struct<i: bigint, d: bigint>))), x -> x is not null)"
     )
-    lines = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("window").alias("windows"), F.array_distinct(F.flatten(F.collect_set(slot))).alias("slots"))
+    pairs = pairs.withColumn("strict", F.explode(F.expr("if(own and item_own, array(true, false), array(false))")))
+    lines = pairs.groupBy("doc_id", "item_id", "shift", "strict").agg(F.collect_set("form").alias("windows"), F.array_distinct(F.flatten(F.collect_set(slot))).alias("slots"))
     consistent = F.expr("size(array_distinct(transform(slots, x -> x.i))) = size(slots)")
     lines = lines.where(consistent).withColumn("changed", F.expr("exists(slots, x -> x.i <> x.d)"))
     found = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("windows")))).alias("hit"), F.max("changed").alias("reparameterised"))

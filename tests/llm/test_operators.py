@@ -177,6 +177,17 @@ def test_templates_catch_changed_numbers_and_names(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_templates_catch_names_that_open_sentences_and_lose_their_capitals(spark):
+    item = "Tom has 5 apples. Tom gives 2 of them to his sister Mary. Tom buys 7 more apples from Mary at noon. Is Tom richer?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    renamed = item.replace("Tom", "Sam").replace("Mary", "Jane").replace("5", "8")
+    torn = item.replace("Tom gives", "Sam gives").replace("Tom buys", "Ken buys").replace("Is Tom", "Is Bob")  # one name of the item, four of the document
+    rows = [(1, item), (2, renamed), (3, item.lower()), (5, item.upper()), (6, torn), (7, "Then " + item), (8, "When " + renamed[0].lower() + renamed[1:])]
+    got = {r["doc_id"]: (r["reparameterised"], r["coverage"]) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {1: False, 2: True, 3: False, 5: False, 7: False, 8: True}
+    assert all(got[i][1] == 1 for i in (1, 2, 3, 5, 7))
+
+
 def test_planted_benchmark_passages_are_found(spark, docs, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
