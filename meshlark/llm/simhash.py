@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, mix, partitions
 from .graph import components
@@ -64,6 +65,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """docs (text, ...) -> the same rows with ``_fp``: for rows that no id tells apart."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index("text")).cast(pa.binary())
+            out = [fingerprint(t, shingle) if t else 0 for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "_fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+
+
 def bit_statistics(fps: DataFrame) -> np.ndarray:
     """64 x 64 counts of fingerprints (column fp) with both bits set; [i, i] is bit i's own count."""
 
@@ -272,6 +285,20 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return rows.repartition(partitions(fps), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def fingerprint_classes(rows: DataFrame, radius: int = 3) -> DataFrame:
+    """rows (doc_id, fp) -> (fp, root, component_id: long), a row for each fingerprint.
+
+    ``root`` is the smallest fingerprint of the class and ``component_id`` its
+    smallest doc_id, null if it has null ids alone.
+    """
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = cut(components(near_links(distinct, radius)))
+    joined = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # only fingerprints with a link need another look; all others are classes by themselves
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    return joined.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_classes(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, fp: long, component_id: long), a row for each row.
 
@@ -282,13 +309,7 @@ def near_classes(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFram
     one fingerprint from the start, so a group of copies costs one row.
     """
     rows = cut(fingerprints(docs, shingle))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = cut(components(near_links(distinct, radius)))
-    joined = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # only fingerprints with a link need another look; all others are classes by themselves
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = joined.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(fingerprint_classes(rows, radius), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex16(c: Column) -> Column:

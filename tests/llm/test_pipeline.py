@@ -69,3 +69,14 @@ def test_stages_take_odd_rows(spark, sf_dir, empty):
         ids = [r["doc_id"] for r in kept]
         # 1 and 2 are copies; 3, 4 and 5 have no words, which is one fingerprint
         assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8] and ids.count(None) == 1
+
+
+def test_rows_that_no_id_tells_apart_are_judged_one_by_one(spark, sf_dir):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma", "delta", "epsilon")]
+    a, b, c, d, e = texts
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (5, d), (5, e), (5, e)]
+    df = spark.createDataFrame([(i, t, "en", f"s{n % 2}", len(t)) for n, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    kept = P.near_duplicates(spark, df, sf_dir)
+    assert kept.columns == P.COLUMNS
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter([(1, a), (None, b), (None, c), (5, d), (5, e)])
