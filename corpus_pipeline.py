@@ -51,10 +51,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item."""
+    """Keeps documents that hold no benchmark item; rows without an id are judged by their texts."""
     docs = docs.select(*COLUMNS)
-    leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontam.contaminated(docs, bench).select("doc_id").distinct()
+    kept = docs.join(leaks, "doc_id", "left_anti")
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return kept
+    key = F.xxhash64("text")
+    leaks = decontam.contaminated(nameless.select(key.alias("doc_id"), "text"), bench).select(F.col("doc_id").alias("_gone")).distinct()
+    return kept.where("doc_id is not null").unionByName(nameless.join(leaks, key == leaks["_gone"], "left_anti"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,12 @@ def test_rows_that_no_id_tells_apart_are_judged_one_by_one(spark, sf_dir):
     assert kept.columns == P.COLUMNS
     got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
     assert got == Counter([(1, a), (None, b), (None, c), (5, d), (5, e)])
+
+
+def test_decontamination_judges_rows_without_an_id(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = "nothing of the kind stands in this text, which is about the weather of the coast"
+    rows = [(1, item), (2, clean), (None, f"Before it. {item} After it."), (None, clean), (None, clean), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = Counter((r["doc_id"], r["text"]) for r in P.decontaminate(spark, df, sf_dir).collect())
+    assert got == Counter([(2, clean), (None, clean), (None, clean), (None, None)])
