@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import cut, partitions
 
 SEED = 20240501
+#: A table of rates goes to all tasks if it has at most so many numbers (8 MB); a longer one is joined by shuffle.
+SMALL_TABLE = 1 << 20
 #: Default weights: sizes to this power, so that small sources are repeated and large ones thinned.
 POWER = 0.5
 
@@ -66,15 +68,24 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED, shuffle: bool
     The number of copies depends on the seed and doc_id alone, given the rate; rows
     that repeat an id are repeated alike.  Copies are ordered by _key, a hash of seed,
     id and copy, within and across partitions, so the order is the same however the
-    input was laid out.
+    input was laid out.  As keys are uniform, the partition of a key is its share of
+    their range: one shuffle, and no pass to sample bounds.  A table of rates beyond
+    SMALL_TABLE numbers is not sent to all tasks but joined, where AQE splits hot sources.
     """
     # the row travels as one struct, so that no column of its own can clash with the ones used here
     names = [c for c in docs.columns if c not in ("_copy", "_key")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_from"))
-    cdf = rates.select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
-    rows = rows.join(cdf, rows["_from"].eqNullSafe(cdf["_source"]))
+    cdf = cut(rates.select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf")))
+    numbers = cdf.agg(F.sum(F.size("_cdf") + 1).alias("n")).first()["n"] or 0
+    rows = rows.join(F.broadcast(cdf) if numbers <= SMALL_TABLE else cdf, rows["_from"].eqNullSafe(cdf["_source"]))
     u = uniform(F.lit(seed), F.lit("copies"), F.col("_id"))
     rows = rows.withColumn("_u", u).withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("_n > 0")
     rows = rows.select("_row", "_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     rows = rows.select(*[F.col("_row")[c].alias(c) for c in names], "_copy", F.xxhash64(F.lit(seed), "_id", "_copy").alias("_key"))
-    return rows.repartitionByRange(partitions(docs), "_key").sortWithinPartitions("_key") if shuffle else rows
+    return _in_key_order(rows, partitions(docs)) if shuffle else rows
+
+
+def _in_key_order(rows: DataFrame, parts: int) -> DataFrame:
+    place = F.floor((F.col("_key").cast("double") / float(1 << 64) + 0.5) * parts)
+    place = F.greatest(F.least(place, F.lit(parts - 1)), F.lit(0)).cast("int")
+    return rows.repartitionById(parts, place).sortWithinPartitions("_key")
