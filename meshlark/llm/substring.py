@@ -8,8 +8,11 @@ together.  Each match is then checked word by word, so no hash decides a result.
 
 * Hot minimisers: a first pass over all rows finds the runs that are the minimiser
   of a share of windows (HOT); they rank behind all others in a second pass, so
-  windows around a frequent line go by their other runs.  The list has at most
-  2 / HOT entries whatever the input.
+  windows around a frequent line go by their other runs.  The share is at most a
+  quarter of a partition's, so no run outweighs one; the list has at most 2 / HOT
+  entries, or 8 a partition, whatever the input.
+* Passages in which every run is hot go window by window, each to the bucket of its own
+  hash, so that they are spread over as many buckets as they have windows.
 * Hot windows: each map batch sends only its first copy of a window and reports
   its other copies itself, so a passage in a third of all documents reaches its
   bucket once for each batch.
@@ -78,11 +81,11 @@ def _minimisers(hashes: np.ndarray, rows: np.ndarray, width: int, mmer: int, hot
     return least
 
 
-def hot_minimisers(docs: DataFrame, width: int, mmer: int) -> np.ndarray:
-    """Runs that are the minimiser of at least HOT of all windows; at most 2 / HOT of them, sorted.
+def hot_minimisers(docs: DataFrame, width: int, mmer: int, share: float = HOT) -> np.ndarray:
+    """Runs that are the minimiser of at least ``share`` of all windows; at most 2 / share of them, sorted.
 
-    A run with a share of HOT overall has half of it or more in tasks where its
-    share is HOT / 2 or more, so tasks need to report only those.
+    A run with that share overall has half of it or more in tasks where its own
+    share is half of it or more, so tasks need to report only those.
     """
 
     def run(batches):
@@ -98,9 +101,9 @@ def hot_minimisers(docs: DataFrame, width: int, mmer: int) -> np.ndarray:
                 many = counts > 1
                 for v, c in zip(values[many].tolist(), counts[many].tolist(), strict=True):
                     seen[v] = seen.get(v, 0) + c
-                if len(seen) > 200_000:  # a lossy count: what falls below HOT / 8 of the rows so far can't matter
-                    seen = {v: c for v, c in seen.items() if c >= total * HOT / 8}
-        out = [(v, c) for v, c in seen.items() if c >= total * HOT / 4]
+                if len(seen) > 200_000:  # a lossy count: what falls below an eighth of the share so far can't matter
+                    seen = {v: c for v, c in seen.items() if c >= total * share / 8}
+        out = [(v, c) for v, c in seen.items() if c >= total * share / 4]
         out.append((-1, total))
         yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["key", "n"])
 
@@ -109,7 +112,7 @@ def hot_minimisers(docs: DataFrame, width: int, mmer: int) -> np.ndarray:
     total = counts.where("key = -1").first()
     if not total or not total["n"]:
         return np.zeros(0, np.uint64)
-    rows = counts.where((F.col("key") >= 0) & (F.col("n") >= F.lit(total["n"] * HOT / 2))).select("key").collect()
+    rows = counts.where((F.col("key") >= 0) & (F.col("n") >= F.lit(total["n"] * share / 2))).select("key").collect()
     return np.sort(np.array([r["key"] for r in rows], dtype=np.uint64))
 
 
@@ -218,7 +221,9 @@ def _pack_block(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, null: np
             continue
         row = np.searchsorted(rows, fits, side="right") - 1
         least = _minimisers(hashes, rows, width, mmer, hot)[fits]
-        windows.append(_runs(hashes, width)[fits])
+        own = _runs(hashes, width)[fits]
+        least = np.where(least >= TOP, own | TOP, least)  # every run is hot
+        windows.append(own)
         where.append((base + starts[fits], base + ends[fits + width - 1], (a + row).astype(np.int32), (fits - rows[row]).astype(np.int32), least))
     if not windows:
         return
@@ -347,10 +352,10 @@ def repeated_windows(docs: DataFrame, width: int = 20, mmer: int = 5, buckets: i
 def _repeated(keyed: DataFrame, width: int, mmer: int, buckets: int | None) -> DataFrame:
     rows = keyed.where("text is not null")
     parts = partitions(keyed)
-    buckets = buckets or max(256, 2 * parts)
-    hot = hot_minimisers(rows, width, mmer)
+    buckets = buckets or parts * max(2, -(-256 // parts))  # as many in each partition
+    hot = hot_minimisers(rows, width, mmer, min(HOT, 1 / (4 * parts)))
     packed = rows.mapInArrow(_map_side(width, mmer, buckets, hot), SCHEMA)
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_reduce_side(width), SCHEMA).select("doc_id", "h", "starts", "counts")
+    return packed.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_reduce_side(width), SCHEMA).select("doc_id", "h", "starts", "counts")
 
 
 def remove_repeats(docs: DataFrame, width: int = 20, mmer: int = 5, keep_text: bool = True) -> DataFrame:
