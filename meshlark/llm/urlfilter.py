@@ -4,7 +4,8 @@ Everything is DataFrame functions.  A rule is found by an equi-join on (host suf
 path prefix); only prefixes of the lengths that rules have are formed.  Trust is a
 personalised PageRank from hosts with allowed pages along links; distrust one from
 hosts with blocked pages against them; a host without a rule for a page is blocked where
-distrust exceeds trust.
+distrust exceeds trust.  Pages of a host that has more than twice a task's share are dealt
+out by a salt, wherever pages meet a table of hosts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules of the registered query: host, path, verdict.
@@ -39,8 +40,28 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """pages (page_id, host, path, ...), rules (host, path, verdict) -> pages with rule and rule_verdict.
+def hot_hosts(pages: DataFrame) -> DataFrame:
+    """(host, _parts): hosts with more than twice a task's share of the pages, half as many as there are tasks at most, and into how many parts they go."""
+    counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    fair = max(1.0, total / partitions(pages))
+    return cut(counts.where(F.col("n") > 2 * fair).select("host", F.ceil(F.col("n") / fair).cast("int").alias("_parts")))
+
+
+def salted(pages: DataFrame, hot: DataFrame, *keys: str) -> DataFrame:
+    """pages with ``_salt``: 0, or a part of their host by the hash of ``keys``."""
+    marked = pages.join(F.broadcast(hot), "host", "left")
+    return marked.withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*keys), F.col("_parts"))).cast("int")).drop("_parts")
+
+
+def for_each_salt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows (host, ...) once for each part of their host."""
+    marked = rows.join(F.broadcast(hot), "host", "left")
+    return marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+
+
+def match_rules(pages: DataFrame, rules: DataFrame, hot: DataFrame) -> DataFrame:
+    """pages (page_id, host, path, _salt, ...), rules (host, path, verdict) -> pages with rule and rule_verdict.
 
     The longest host and path win, then the longer host; rules repeated with different verdicts block.
     """
@@ -53,7 +74,7 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     tries = places.select("host", "_heads", F.explode(suffixes(F.col("host"))).alias("_host")).select("host", "_heads", "_host", F.explode("_heads").alias("_path"))
     won = tries.join(rules, ["_host", "_path"]).groupBy("host", "_heads").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), F.length("_host"))).alias("_won"))
     heads_of = F.array_distinct(F.array_compact(F.array(*heads))) if sizes else F.array().cast("array<string>")
-    joined = pages.withColumn("_heads", heads_of).join(won, ["host", "_heads"], "left")
+    joined = pages.withColumn("_heads", heads_of).join(for_each_salt(won, hot), ["host", "_heads", "_salt"], "left")
     return joined.withColumn("rule", F.col("_won.rule")).withColumn("rule_verdict", F.col("_won.rule_verdict")).drop("_heads", "_won")
 
 
@@ -102,10 +123,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, rounds: int = ROUNDS) -> Dat
     allowed.  Html may be null or absent of links.  Other columns are ignored.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    ruled = match_rules(rows.drop("html"), rules)
+    hot = hot_hosts(rows)
+    ruled = match_rules(salted(rows.drop("html"), hot, "page_id", "path"), rules, hot)
     seeds = ruled.where("rule is not null").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
     scores = host_scores(cut(host_links(rows.select("host", "html"))), seeds, rounds=rounds)
-    out = ruled.join(scores, "host", "left")
+    out = ruled.join(for_each_salt(scores, hot), ["host", "_salt"], "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     verdict = F.coalesce("rule_verdict", F.when(distrust > trust * EXCESS, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round(trust, 9).alias("trust"), F.round(distrust, 9).alias("distrust"))
