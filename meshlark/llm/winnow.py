@@ -8,11 +8,11 @@ texts that share window + k - 1 code points or more share a mark within them.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, mix, partitions, prefix_hash, span_hash, text_buffer
@@ -143,8 +143,13 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_marks long"
-FIELDS = [x.split()[0] for x in RESULT.split(", ")]
+FIELDS = (
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("near_edited", pa.float64()), ("near_next", pa.float64()), ("mark_hashes", pa.list_(pa.int64())), ("mark_positions", pa.list_(pa.int32())),
+)
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, mark_hashes array<long>, mark_positions array<int>"
+#: Rows looked at for each bound between two partitions.
+LOOKS = 60
 
 
 def _rows(ids: list, texts: list[str], k: int, window: int) -> list[tuple]:
@@ -174,68 +179,86 @@ def _rows(ids: list, texts: list[str], k: int, window: int) -> list[tuple]:
             change = (h[first], p)
         else:
             change = ends[i]
-        out.append((ids[i], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(found[i]), digest(change), likeness(found[i][0], change[0]), likeness(found[i][0], found[i + 1][0]), len(found[i][0])))
+        out.append((ids[i], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(found[i]), digest(change), likeness(found[i][0], change[0]), likeness(found[i][0], found[i + 1][0]), found[i][0].astype(np.int64), found[i][1].astype(np.int32)))
     return out
 
 
+KEY = "struct<none: int, id: bigint, hash: bigint>"
+
+
+def _bounds(keys: DataFrame, n: int, parts: int) -> list[tuple]:
+    """``parts - 1`` keys that cut the rows into parts of about equal counts."""
+    if n <= 1 or parts <= 1:
+        return []
+    looked = sorted(tuple(r["k"]) for r in keys.sample(min(1.0, LOOKS * parts / n), seed=1).collect())
+    return [looked[len(looked) * i // parts] for i in range(1, parts)] if looked else []
+
+
+def _literal(keys: list, kind: str):
+    return F.from_json(F.lit(json.dumps(keys)), kind)
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (doc_id, text) in order in ``parts`` partitions, the first row of each also as the last of the one before it (``guard``).
+
+    The order is cut at bounds from a look at some keys; a binary search in them gives a
+    row's place.  The first rows' keys, one for each part, come from the light keys alone.
+    """
+    key = F.struct(F.col("doc_id").isNull().cast("int").alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long"))).alias("id"), F.xxhash64("text").alias("hash"))
+    keys = cut(rows.select(key.alias("k")))
+    n = keys.count()
+    bounds = _bounds(keys, n, parts)
+    named = lambda k: dict(zip(("none", "id", "hash"), k, strict=True))
+    table = _literal([named(k) for k in bounds], f"array<{KEY}>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))]) if bounds else F.array().cast("array<int>")
+    place = lambda k: F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= k, at + step).otherwise(at))
+    heads = {r["place"]: tuple(r["k"]) for r in keys.select(place(F.col("k")).alias("place"), "k").groupBy("place").agg(F.min("k").alias("k")).collect()}
+    filled = sorted(heads)
+    before = {p: filled[i - 1] for i, p in enumerate(filled)}
+    firsts = _literal([{"k": named(heads[p]), "before": before[p]} if p in heads else None for p in range(parts)], f"array<struct<k: {KEY}, before: int>>")
+    placed = rows.withColumn("k", key).withColumn("place", place(F.col("k"))).withColumn("first", F.get(firsts, F.col("place")))
+    goes = lambda p, guard: F.struct(p.alias("place"), F.lit(guard).alias("guard"))
+    own = goes(F.col("place"), False)
+    twice = placed.withColumn("to", F.explode(F.when(F.col("k") == F.col("first.k"), F.array(own, goes(F.col("first.before"), True))).otherwise(F.array(own))))
+    order = ["guard", F.col("doc_id").desc_nulls_last(), "hash", "text"]
+    return twice.select("doc_id", "text", F.col("k.hash").alias("hash"), "to.place", "to.guard").repartitionById(parts, "place").sortWithinPartitions(*order).select("doc_id", "text", "guard")
+
+
 def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text, ...) -> RESULT: each text's fingerprint against its edited text's and its successor's.
+    """docs (doc_id, text, ...) -> RESULT: each text's fingerprint against its edited text's and its successor's, and the marks themselves.
 
     The order is by descending doc_id (null ids last, equal ids by the hash of their
     text); after the last comes the first.  The edited text has its last
     floor(n_chars / 3) code points replaced by the first as many (or all) of the next
-    text.  A null text counts as empty, has no marks and is like any other empty text.
+    text.  ``fingerprint`` stands for the marks and positions that ``mark_hashes`` and
+    ``mark_positions`` list; likeness is Jaccard's over mark hashes.  A null text counts
+    as empty, has no marks and is like any other empty text.
     A single row is its own successor.  Other columns are ignored.
 
-    One range shuffle of the texts; each task streams its range.  Only a range's last
-    row lacks its successor: it goes, with the first row of each range, through a
-    second small join.
+    One shuffle of the texts into ranges; each task streams its range, whose last row
+    finds its successor right behind it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    ranged = rows.repartitionByRange(partitions(docs), *order[:2]).sortWithinPartitions(*order)
-
-    def table(part: int, kind: int, found: list[tuple], texts: list[str | None]) -> pa.RecordBatch:
-        cols = list(zip(*found, strict=True))
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
-        n = len(found)
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array([part] * n, pa.int32()), pa.array([kind] * n, pa.int8()), pa.array(texts, pa.string())], names=[*FIELDS, "part", "kind", "text"]
-        )
 
     def run(batches):
-        part, last, first = TaskContext.get().partitionId(), None, True
+        last, done = None, False
         for batch in batches:
+            if done:  # further guards
+                continue
             data, offsets = text_buffer(batch.column(1))
-            every = batch.column(0).to_pylist()
+            every, guards = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in chunks(offsets, BLOCK_BYTES):
-                ids = every[a:b]
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(a, b)]
-                if first:
-                    yield table(part, 1, [(ids[0], *[None] * 7)], [texts[0]])
-                    first = False
+                own = b if not any(guards[a:b]) else a + guards[a:b].index(True) + 1  # one guard is enough
+                ids = every[a:own]
+                texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(a, own)]
                 if last is not None:
                     ids, texts = [last[0], *ids], [last[1], *texts]
                 if len(ids) > 1:
-                    found = _rows(ids, texts, k, window)
-                    yield table(part, 0, found, [None] * len(found))
+                    columns = zip(*_rows(ids, texts, k, window), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, FIELDS, strict=True)], names=[f for f, _ in FIELDS])
+                if guards[own - 1]:
+                    done = True
+                    break
                 last = (ids[-1], texts[-1])
-        if last is not None:
-            yield table(part, 2, [(last[0], *[None] * 7)], [last[1]])
-
-    every = cut(ranged.mapInArrow(run, f"{RESULT}, part int, kind byte, text string"))
-    heads = every.where("kind = 1").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    tails = every.where("kind = 2").select("doc_id", "text", "part")
-    # which range comes next: numbers only, one for each task
-    places = heads.select("next_part")
-    after = places.select(F.col("next_part").alias("part"), F.lead("next_part").over(Window.orderBy("next_part")).alias("next_part"))
-    wrap = places.agg(F.min("next_part").alias("first_part"))
-    after = after.crossJoin(F.broadcast(wrap)).select("part", F.coalesce("next_part", "first_part").alias("next_part"))
-    pairs = tails.join(after, "part").join(heads, "next_part").select("doc_id", "text", "next_text")
-
-    def close(batches):
-        for batch in batches:
-            for i, own, following in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                yield table(0, 0, _rows([i, None], [own, following], k, window), [None]).select(FIELDS)
 
-    return every.where("kind = 0").select(*FIELDS).unionByName(pairs.mapInArrow(close, RESULT))
+    return _dealt(rows, partitions(docs)).mapInArrow(run, RESULT)
