@@ -3,8 +3,13 @@
 Tokens become canonical: lower-cased words, or typed placeholders for numbers, for units
 after a number and for names.  Windows of five canonical tokens are templates; those of the
 documents meet those of the benchmark in a hash join.  Along each alignment the
-placeholders' values must map consistently (one value of the item, one of the document),
-which tells a re-parameterised question from a chance match of its frame.
+placeholders' values must map consistently (each value of the item has one of the
+document; two of the item may become the same, as numbers drawn anew may), which tells a
+re-parameterised question from a chance match of its frame.
+
+Frames that many items share are no hot keys: a document that holds enough of an item
+holds one of the item's rarest windows, so the join by window takes only those; what it
+finds is then compared window by window.
 
 Whether a capitalised word is a name can't be told where it opens a sentence, nor is a
 name's copy in lower case known for one.  So a window is emitted in each form that takes
@@ -16,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import POWERS, byte_values, chunks, mix, prefix_hash, span_hash, text_buffer, word_spans
+from .common import POWERS, byte_values, chunks, cut, mix, prefix_hash, span_hash, text_buffer, word_spans
 
 WIDTH = 5
 #: A window counts only with so many plain words in it.
@@ -67,7 +72,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
     A token is a run of ASCII letters, digits and non-ASCII bytes; points and commas
     between digits belong to their number.  Lower case is taken for ASCII and Latin-1
-    letters.  A number has a digit, or is a spelled-out one; a capitalised word starts
+    letters.  A number has a digit, or is spelled out, in as many words as follow each
+    other (``ninety-five``); a capitalised word starts
     with a capital that is followed by a small letter, and is a name for sure if it
     opens no sentence.
     """
@@ -90,7 +96,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if not n:
         return surface, surface, *[np.zeros(0, bool)] * 3, rows
     numbers = np.concatenate([[0], np.cumsum(_IS_DIGIT[own])])
-    number = (numbers[ends] > numbers[starts]) | _among(surface, _Lists.spelled)
+    spelled = _among(surface, _Lists.spelled)
+    number = (numbers[ends] > numbers[starts]) | spelled
     after_number = np.concatenate([[False], number[:-1]])
     opens = np.zeros(n + 1, bool)
     opens[rows] = True
@@ -104,7 +111,15 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     small = ((own[second] >= 97) & (own[second] <= 122)) | (own[second] >= 128)
     capital = capital & small & (second < ends) & ~number & ~unit
     words = np.where(number, NUMBER, np.where(unit, UNIT, surface))
-    return words, surface, number | unit, capital, capital & ~opens, rows
+    follows = spelled & np.concatenate([[False], spelled[:-1]]) & ~opens
+    fixed, name = number | unit, capital & ~opens
+    if follows.any():
+        first = np.flatnonzero(~follows)
+        at = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+        surface = np.add.reduceat(surface * (2 * at + 1).astype(np.uint64), first)
+        words, fixed, capital, name = words[first], fixed[first], capital[first], name[first]
+        rows = np.concatenate([[0], np.cumsum(~follows)])[rows]
+    return words, surface, fixed, capital, name, rows
 
 
 def _ahead(marks: np.ndarray) -> np.ndarray:
@@ -214,6 +229,17 @@ def window_filter(windows: DataFrame) -> np.ndarray:
     return out
 
 
+def rare_windows(items: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """(item_id, n_windows), and (item_id, window): of each item so many of its rarest windows that no document with ``share`` of the item has none of them."""
+    total = items.groupBy("item_id").agg(F.count_distinct("form").alias("n_windows"))
+    common = items.groupBy("window").agg(F.count_distinct("item_id").alias("_items"))
+    forms = items.join(common, "window").groupBy("item_id", "form").agg(F.max("_items").alias("_items")).join(total, "item_id")
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("_items", "form"))
+    spare = F.col("n_windows") - F.ceil(F.col("n_windows") * share - 1e-9)
+    first = forms.withColumn("_rank", rank).where(F.col("_rank") <= spare + 1).select("item_id", "form")
+    return total, items.join(first, ["item_id", "form"]).select("item_id", "window").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> (doc_id, item_id, coverage, n_windows, reparameterised).
 
@@ -228,11 +254,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     document; other columns are ignored.
     """
     items = template_windows(benchmark.where("item_id is not null"), "item_id", "text").where("form is not null")
+    items = cut(items.select("item_id", "window", F.col("place").alias("item_place"), F.col("vals").alias("item_vals"), "slots", "form", F.col("own").alias("item_own")))
     seen = window_filter(items)
-    total = items.groupBy("item_id").agg(F.count_distinct("form").alias("n_windows"))
-    items = items.select("item_id", "window", F.col("place").alias("item_place"), F.col("vals").alias("item_vals"), "slots", "form", F.col("own").alias("item_own"))
-    hits = template_windows(docs.where("doc_id is not null"), "doc_id", "text", seen).select("doc_id", "window", "place", "vals", "own")
-    pairs = hits.join(items, "window").withColumn("shift", F.col("place") - F.col("item_place"))
+    hits = cut(template_windows(docs.where("doc_id is not null"), "doc_id", "text", seen).select("doc_id", "window", "place", "vals", "own"))
+    total, rare = rare_windows(items, share)
+    likely = hits.select("doc_id", "window").distinct().join(rare, "window").select("doc_id", "item_id").distinct()
+    pairs = hits.join(likely, "doc_id").join(items, ["item_id", "window"]).withColumn("shift", F.col("place") - F.col("item_place"))
     slot = F.expr(
         "filter(transform(sequence(0, size(slots) - 1), i -> if(slots[i], named_struct('i', item_vals[i], 'd', vals[i]), cast(null as struct<i: bigint, d: bigint>))), x -> x is not null)"
     )
