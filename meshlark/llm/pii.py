@@ -33,7 +33,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 DIGITS = re.compile(r"[0-9]+")
-#: The wider net, by kind.
+#: The wider net, by kind.  Local parts and labels have the lengths that mail and domain names may have (64 and 63).
 WIDE = (
     (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({]at[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({]dot[\])}]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9])", re.I)),
     (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: at | ?@ )[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9])", re.I)),
@@ -267,21 +267,21 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans), a row for each row.
+    """docs (doc_id, text, ...) -> (doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans, n_spans), a row for each row.
 
     The counts and ``base_spans`` are the base's; ``spans`` adds candidates that the
     classifier gives ``threshold`` or more and that overlap nothing taken before
-    (the likelier first, then the earlier).  Positions are code points, the end
+    (the likelier first, then the earlier); ``n_spans`` counts them all.  Positions are code points, the end
     exclusive.  A null or empty text has no spans; repeated rows each get their own;
     other columns are ignored.
     """
     scanned = cut(scan(docs))
     models = fit(scanned)
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, n_spans long"
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for kinds, starts, ends, base, codes in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
                 kept = [(s, k, e) for k, s, e, b in zip(kinds, starts, ends, base, strict=True) if b]
                 for k in range(4):
@@ -296,7 +296,8 @@ def find(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                         if 1 / (1 + np.exp(-z)) >= threshold and all(e <= a or s >= b for a, _, b in kept):
                             kept.append((s, k, e))
                 out[5].append(_join(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.string()) for c in out[4:])], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans"])
+                out[6].append(len(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.string()) for c in out[4:6]), pa.array(out[6], pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "n_spans"])
 
     return scanned.mapInArrow(run, schema)
 

@@ -68,7 +68,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in documents: the base patterns, and what the span classifier adds."""
     out = pii.find(_documents(spark, sf_dir))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def queries() -> dict:
