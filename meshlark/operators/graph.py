@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import addr
@@ -152,22 +152,36 @@ def duplicate_lan_addresses(devices: DataFrame, links: DataFrame) -> DataFrame:
     return used.join(owner, ["arch_id", "root", "value"]).where("device <> owner").select("arch_id", "pos", "side", F.col("ip").alias("value"), "device", "owner")
 
 
+def _number(f: Column) -> Column:
+    """A JSON number; NULL for text, even if it reads like one."""
+    return F.when(f["kind"].isin("BIGINT", "DECIMAL", "DOUBLE"), f["text"].try_cast("double"))
+
+
 def facts(devices: DataFrame, links: DataFrame) -> DataFrame:
-    """What retrieval goes by, for each document: roles, neighbours and components, as booleans and arrays."""
-    d = devices.where("id is not null").select("arch_id", "id", F.lower(F.coalesce("type", F.lit(""))).alias("role"), F.col("network")["prefix_length"]["text"].try_cast("int").alias("p"))
+    """What retrieval goes by, for each document: roles, neighbours and components, as booleans and arrays.
+
+    ``hosts_cabled`` and ``shared_switch`` go by distinct neighbours; ``hosts_linked`` and
+    ``switch_links`` by links, so that two cables from one host to a switch count twice.
+    """
+    d = devices.where("id is not null").select("arch_id", "id", F.lower(F.coalesce("type", F.lit(""))).alias("role"), _number(F.col("network")["prefix_length"]).alias("p"))
     host, l2 = F.col("role").isin("pc", "server"), F.col("role").isin(*addr.LAYER2)
     by_role = d.groupBy("arch_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.max(F.col("p").isin(31, 32)).alias("p_device"))
-    p_link = links.groupBy("arch_id").agg(F.max(F.col("network")["prefix_length"]["text"].try_cast("int").isin(31, 32)).alias("p_link"))
+    p_link = links.groupBy("arch_id").agg(F.max(_number(F.col("network")["prefix_length"]).isin(31, 32)).alias("p_link"))
     near = neighbours(devices, links)
     sides = near.join(d.select("arch_id", "id", "role"), ["arch_id", "id"]).join(d.select("arch_id", F.col("id").alias("other"), F.col("role").alias("other_role")), ["arch_id", "other"])
     other_host = F.col("other_role").isin("pc", "server")
     per = sides.groupBy("arch_id", "id", "role").agg(F.count_if(other_host).alias("hosts"))
     pairs = per.groupBy("arch_id").agg(F.max(host & (F.col("hosts") > 0)).alias("hosts_cabled"), F.max(l2 & (F.col("hosts") >= 2)).alias("shared_switch"))
+    ends = links.select("arch_id", "pos", F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.col("source").alias("other")))).alias("e")).select("arch_id", "pos", "e.*")
+    roles = d.groupBy("arch_id", "id").agg(F.first("role").alias("role"))
+    ends = ends.join(roles, ["arch_id", "id"]).join(roles.select("arch_id", F.col("id").alias("other"), F.col("role").alias("other_role")), ["arch_id", "other"])
+    cables = ends.groupBy("arch_id", "id", "role").agg(F.count_if(other_host).alias("cables"))
+    cables = cables.groupBy("arch_id").agg(F.max(host & (F.col("cables") > 0)).alias("hosts_linked"), F.max(l2 & (F.col("cables") >= 2)).alias("switch_links"))
     alone = d.select("arch_id", "id").join(near, ["arch_id", "id"], "left_anti").groupBy("arch_id").agg(F.lit(True).alias("standalone"))
     parts = device_components(devices, links).groupBy("arch_id").agg(F.count_distinct("root").alias("components"))
-    out = by_role.join(p_link, "arch_id", "left").join(pairs, "arch_id", "left").join(alone, "arch_id", "left").join(parts, "arch_id", "left")
+    out = by_role.join(p_link, "arch_id", "left").join(pairs, "arch_id", "left").join(cables, "arch_id", "left").join(alone, "arch_id", "left").join(parts, "arch_id", "left")
     no = F.lit(False)
     return out.select(
         "arch_id", "roles", (F.coalesce("p_device", no) | F.coalesce("p_link", no)).alias("small_prefix"), F.coalesce("hosts_cabled", no).alias("hosts_cabled"),
-        F.coalesce("shared_switch", no).alias("shared_switch"), F.coalesce("standalone", no).alias("standalone"), F.coalesce("components", F.lit(0)).alias("components"),
+        F.coalesce("shared_switch", no).alias("shared_switch"), F.coalesce("hosts_linked", no).alias("hosts_linked"), F.coalesce("switch_links", no).alias("switch_links"), F.coalesce("standalone", no).alias("standalone"), F.coalesce("components", F.lit(0)).alias("components"),
     )

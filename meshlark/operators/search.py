@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..plans.lineage import cut
 from . import graph
 
 K1, B = 1.5, 0.75
@@ -17,8 +19,10 @@ RRF, TOP_K = 60, 2
 #: Prefix of every lexical query about a topology, and cards that are always given.
 QUERY_PREFIX = "IPv4 behavioral lab topology connected routes later configuration"
 ALWAYS = ("CORE-001", "CORE-002", "CORE-003", "MAP-001", "MAP-002", "BACKEND-001", "BACKEND-002", "BACKEND-003", "PLAN-001", "PLAN-002", "ADDR-001", "ADDR-002")
-#: A table of postings may go to all tasks only if its queries are this few.
-SMALL_QUERIES = 10_000
+#: Bytes of query vectors that go to all tasks at once.
+QUERY_BYTES = 8 << 20
+#: Model tokens of a query that are embedded together; candidates that are reranked, at least.
+WINDOW, CANDIDATES = 160, 16
 
 
 def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -29,26 +33,29 @@ def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     return tf, sizes, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "query_id", text: str = "text", query_text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "query_id", text: str = "text", query_text: str = "text", within: tuple[str, ...] = ()) -> DataFrame:
     """docs (key, text), queries (query, text) -> (query, key, score) for documents with a common term.
 
     Only postings of terms that occur in a query are kept: documents are scanned once,
     tokens filtered against the queries' terms before anything is shuffled, and
-    pre-aggregated.  A query's terms count once.
+    pre-aggregated.  A query's terms count once.  With ``within``, both tables have those
+    columns: each of their values is a corpus of its own, with its own statistics.
     """
-    asked = queries.select(query, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    terms = asked.select("term").distinct()
+    own = list(within)
+    asked = queries.select(*own, query, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    terms = asked.select(*own, "term").distinct()
     words = tokens(F.coalesce(F.col(text), F.lit("")))
-    sized = docs.select(key, words.alias("_w"))
-    total = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_w").cast("double")).alias("avg_len"))
-    hits = sized.select(key, F.size("_w").alias("len"), F.explode("_w").alias("term")).join(terms, "term", "left_semi")
-    tf = hits.groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sized = docs.select(*own, key, words.alias("_w"))
+    total = sized.groupBy(*own).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_w").cast("double")).alias("avg_len"))
+    hits = sized.select(*own, key, F.size("_w").alias("len"), F.explode("_w").alias("term")).join(terms, [*own, "term"], "left_semi")
+    tf = hits.groupBy(*own, key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy(*own, "term").agg(F.count(F.lit(1)).alias("df"))
     average = F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0)
-    rows = asked.join(df, "term").join(tf, "term").crossJoin(F.broadcast(total))  # one row
+    rows = asked.join(df, [*own, "term"]).join(tf, [*own, "term"])
+    rows = rows.join(total, own) if own else rows.crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("len") / average))
-    return rows.select(query, key, part.alias("part")).groupBy(query, key).agg(F.sum("part").alias("score"))
+    return rows.select(*own, query, key, part.alias("part")).groupBy(*own, query, key).agg(F.sum("part").alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, query: str = "query_id", key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -68,33 +75,42 @@ def valid_vector(c: Column, dim: int | None = None) -> Column:
 def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(query, key, score, rank): cosine similarity, exact, the k best for each query.
 
-    Queries are a stated set; they are collected when they are at most SMALL_QUERIES and
-    multiplied against each Arrow batch, which keeps only its own k best for each, so what
-    is shuffled does not grow with documents times queries.  More queries go in blocks.
+    Queries are a stated set.  They go to the tasks in blocks of at most QUERY_BYTES; each
+    task multiplies them against its batches and keeps one running list of the k best of
+    each query, so what it sends does not grow with its documents.
     """
-    unit = _unit_rows
-    rows = queries.where(valid_vector(F.col(vector))).select(F.col(query).cast("long"), F.col(vector).cast("array<double>"))
-    n = rows.count()
-    parts = []
-    for block in range(max(1, -(-n // SMALL_QUERIES))):
-        mine = rows if n <= SMALL_QUERIES else rows.where(F.pmod(F.xxhash64(query), F.lit(-(-n // SMALL_QUERIES))) == block)
+    rows = queries.where(valid_vector(F.col(vector))).select(F.col(query).cast("long").alias(query), F.col(vector).cast("array<double>").alias(vector))
+    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("dim")).first()
+    blocks = max(1, -(-(shape["n"] * (shape["dim"] or 0) * 8) // QUERY_BYTES))
+    cols = docs.where(valid_vector(F.col(vector))).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector))
+    out = None
+    for block in range(blocks):
+        mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == block)
         got = mine.toPandas()
-        names, table = got[query].to_numpy(), unit(got[vector])
+        part = cols.mapInPandas(_best_of(got[query].to_numpy(), _unit_rows(got[vector]), k, key, query, vector), f"`{query}` long, `{key}` long, score double")
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, k, query, key)
 
-        def best(batches, names=names, table=table):
-            for batch in batches:
-                ids, matrix = batch[key].to_numpy(), unit(batch[vector])
-                scores = matrix @ table.T if len(table) else np.zeros((len(ids), 0))
-                for q in range(len(names)):
-                    order = np.lexsort((ids, -np.round(scores[:, q], 12)))[:k]
-                    yield pd.DataFrame({query: names[q], key: ids[order], "score": scores[order, q]})
 
-        cols = docs.where(valid_vector(F.col(vector))).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector))
-        parts.append(cols.mapInPandas(best, f"`{query}` long, `{key}` long, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out.withColumn("score", F.round("score", 12)), k, query, key)
+def _best_of(names: np.ndarray, table: np.ndarray, k: int, key: str, query: str, vector: str):
+    """The k best documents of a task for each of the query vectors; scores rounded to 12 digits, ties by the smaller key."""
+
+    def run(batches):
+        ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        for batch in batches:
+            if not len(batch) or not len(names):
+                continue
+            new = np.round(table @ _unit_rows(batch[vector]).T, 12)
+            scores = np.concatenate([scores, new], axis=1)
+            ids = np.concatenate([ids, np.broadcast_to(batch[key].to_numpy(), new.shape)], axis=1)
+            if scores.shape[1] > k:
+                least = np.partition(scores, -k, axis=1)[:, -k, None]
+                order = np.lexsort((ids, np.where(scores >= least, -scores, np.inf)), axis=1)[:, :k]
+                scores, ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        if scores.size:
+            yield pd.DataFrame({query: np.repeat(names, scores.shape[1]), key: ids.ravel(), "score": scores.ravel()})
+
+    return run
 
 
 def _unit_rows(column) -> np.ndarray:
@@ -155,23 +171,103 @@ def feature_queries(facts: DataFrame) -> DataFrame:
         F.when(F.size(known) > 0, F.concat(F.lit("device mapping "), F.array_join(known, " "))),
         F.when(F.arrays_overlap("roles", F.array(F.lit("switch"), F.lit("bridge"))), F.lit("switch chain bridge STP loop switching paths")),
         F.when(F.col("small_prefix"), F.lit("point-to-point /31 /32 host route prefix")),
-        F.when(F.col("hosts_cabled"), F.lit("two directly cabled PCs local traffic peer")),
-        F.when(F.col("shared_switch"), F.lit("same switch same VLAN local ping ARP")),
+        F.when(F.col("hosts_linked"), F.lit("two directly cabled PCs local traffic peer")),
+        F.when(F.col("switch_links"), F.lit("same switch same VLAN local ping ARP")),
     )
     return facts.select("arch_id", F.array_distinct(F.array_compact(asks)).alias("queries"))
 
 
-def retrieve(cards: DataFrame, devices: DataFrame, links: DataFrame, k: int = TOP_K) -> DataFrame:
-    """cards (rule_id, text, mode, phase) and topologies -> (arch_id, place, rule_id, pinned): required cards, then the k best others."""
-    facts = graph.facts(devices, links)
+def query_windows(queries: DataFrame, encode: Callable[[str], list], decode: Callable[[list], str], text: str = "text", size: int = WINDOW) -> DataFrame:
+    """Adds ``windows``: the query in pieces of ``size`` model tokens, by an injected tokenizer."""
+
+    @F.pandas_udf("array<string>")
+    def cut_up(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [decode(ids[i : i + size]) for ids in [encode(t)] for i in range(0, len(ids), size)])
+
+    return queries.withColumn("windows", cut_up(text))
+
+
+def embedded(rows: DataFrame, embed: Callable[[pd.Series], pd.Series], text: str, vector: str = "vector") -> DataFrame:
+    """Adds the vector of a text by an injected model; fails on one that is not finite or all zero."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return embed(texts)
+
+    made = rows.withColumn(vector, vectors(text))
+    return made.withColumn(vector, F.when(valid_vector(F.col(vector)), F.col(vector)).otherwise(F.raise_error(F.lit("invalid vector")).cast("array<double>")))
+
+
+def hybrid_rank(asked: DataFrame, choices: DataFrame, lexical: DataFrame, models: Models, k: int) -> DataFrame:
+    """asked (set_id, ask_id, queries: array), choices (set_id, rule_id, place, text), lexical (set_id, ask_id, rule_id, score) -> (set_id, ask_id, rule_id, rank).
+
+    Similarity and reranking take the best over the queries' windows; both rankings are
+    fused, and only the first max(3k, CANDIDATES) go to the reranker, whose ties keep the fused order.
+    """
+    keys = ["set_id", "ask_id"]
+    windows = query_windows(asked.select(*keys, F.explode("queries").alias("q")), models.encode, models.decode, "q").select(*keys, F.explode("windows").alias("window")).distinct()
+    cards = embedded(choices.select("rule_id", "text").distinct(), models.embed, "text", "card")
+    unit = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x * x))
+    dot = F.aggregate(F.zip_with("card", "vector", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    every = asked.select(*keys).join(choices, "set_id")
+    near = every.join(embedded(windows, models.embed, "window"), keys).join(cards.select("rule_id", "card"), "rule_id")
+    near = near.groupBy(*keys, "rule_id", "place").agg(F.max(F.round(dot / (unit("card") * unit("vector")), 12)).alias("score"))
+    order = lambda score, *ties: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc(), *ties))
+    words = every.join(lexical, [*keys, "rule_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    ranks = [x.withColumn("rank", order("score", "place")).select(*keys, "rule_id", "place", (F.lit(1.0) / (RRF + F.col("rank"))).alias("part")) for x in (words, near)]
+    fused = ranks[0].unionByName(ranks[1]).groupBy(*keys, "rule_id", "place").agg(F.round(F.sum("part"), 12).alias("score"))
+    first = fused.withColumn("fused", order("score", "place")).where(F.col("fused") <= max(3 * k, CANDIDATES))
+    pairs = first.join(windows, keys).join(choices.select("set_id", "rule_id", "text"), ["set_id", "rule_id"])
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return models.scorer(a, b)
+
+    best = pairs.withColumn("score", score("window", "text")).groupBy(*keys, "rule_id", "fused").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", order("score", "fused")).select(*keys, "rule_id", "rank")
+
+
+@dataclass
+class Models:
+    """Injected models: a tokenizer's two directions, an embedder of texts, and a scorer of pairs of texts."""
+
+    encode: Callable[[str], list]
+    decode: Callable[[list], str]
+    embed: Callable[[pd.Series], pd.Series]
+    scorer: Callable[[pd.Series, pd.Series], pd.Series]
+
+
+def retrieve(cards: DataFrame, devices: DataFrame, links: DataFrame, k: int = TOP_K, models: Models | None = None) -> DataFrame:
+    """cards (rule_id, text, mode, phase[, place]) and topologies -> (arch_id, place, rule_id, pinned): required cards, then the k best others.
+
+    A document's answer depends on itself and the cards alone.  Documents share few sets
+    of required cards and few queries: each set has an index of the other cards, and each
+    query is put once.  Ties go by the cards' ``place`` in the corpus (without that
+    column, by rule_id).  With ``models`` the ranking is hybrid.  A required card that the
+    corpus lacks, or has for another mode or phase, is an error.
+    """
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    facts = cut(graph.facts(devices, links))
     pinned = pinned_rules(facts)
-    queries = feature_queries(facts).select("arch_id", F.concat_ws(" ", F.lit(QUERY_PREFIX), F.array_join("queries", " ")).alias("text"))
-    usable = cards.where("mode in ('all', 'behavioral_lab') and phase = 'topology' and not startswith(rule_id, 'EX-')")
-    # documents share few distinct pinned sets; ranks are within what is left for each
-    scores = bm25(usable.join(pinned.select("rule_id").distinct(), "rule_id", "left_anti"), queries, "rule_id", "arch_id")
-    every = queries.select("arch_id").crossJoin(F.broadcast(usable.select("rule_id")))  # the cards are a fixed, small corpus
-    rest = every.join(pinned, ["arch_id", "rule_id"], "left_anti").join(scores, ["arch_id", "rule_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    best = top_k(rest, k, "arch_id", "rule_id")
+    place = F.col("place") if "place" in cards.columns else F.row_number().over(Window.orderBy("rule_id"))  # the cards are a fixed, small corpus
+    fit = cards.where("mode in ('all', 'behavioral_lab') and phase = 'topology'").withColumn("place", place).select("rule_id", "text", "place")
+    lost = sorted(r["rule_id"] for r in pinned.select("rule_id").distinct().join(fit, "rule_id", "left_anti").collect())  # at most as many as there are required cards
+    if lost:
+        raise ValueError(f"the corpus lacks required cards: {', '.join(lost)}")
+    queries = feature_queries(facts).select("arch_id", "queries", F.concat_ws(" ", F.lit(QUERY_PREFIX), F.array_join("queries", " ")).alias("text"))
+    sets = pinned.groupBy("arch_id").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
+    asks = queries.join(sets, "arch_id").withColumn("set_id", F.sha2(F.array_join("rules", ","), 256)).withColumn("ask_id", F.sha2("text", 256))
+    usable = fit.where("not startswith(rule_id, 'EX-')")
+    choices = asks.select("set_id", "rules").distinct().join(F.broadcast(usable), ~F.array_contains("rules", F.col("rule_id"))).select("set_id", "rule_id", "text", "place")
+    asked = asks.select("set_id", "ask_id", "text", F.concat(F.array("text"), "queries").alias("queries")).dropDuplicates(["set_id", "ask_id"])
+    scores = bm25(choices, asked, "rule_id", "ask_id", within=("set_id",))
+    if models is None:
+        every = asked.select("set_id", "ask_id").join(choices, "set_id").join(scores, ["set_id", "ask_id", "rule_id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+        order = Window.partitionBy("set_id", "ask_id").orderBy(F.col("score").desc(), "place")
+        ranked = every.withColumn("rank", F.row_number().over(order)).select("set_id", "ask_id", "rule_id", "rank")
+    else:
+        ranked = hybrid_rank(asked, choices, scores, models, k)
+    best = asks.select("arch_id", "set_id", "ask_id", F.size("rules").alias("n")).join(ranked.where(F.col("rank") <= k), ["set_id", "ask_id"])
     first = pinned.select("arch_id", (F.col("ord") + 1).alias("place"), "rule_id", F.lit(True).alias("pinned"))
-    n = pinned.groupBy("arch_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return first.unionByName(best.join(n, "arch_id").select("arch_id", (F.col("rank") + F.col("n")).alias("place"), "rule_id", F.lit(False).alias("pinned")))
+    return first.unionByName(best.select("arch_id", (F.col("rank") + F.col("n")).alias("place"), "rule_id", F.lit(False).alias("pinned")))

@@ -301,6 +301,14 @@ def duplicate_addresses(uses: DataFrame) -> DataFrame:
     return explode_findings(rows, GRAPH + 5, F.col("pos"), [rule])
 
 
+def _leading(lo: Column, bits: Column, fam: int) -> Column:
+    """The first ``bits`` bits of an address of 32 hex digits, as text that is equal just where they are."""
+    n = bits + (96 if fam == 4 else 0)
+    nibble = F.coalesce(F.conv(F.substring(lo, F.floor(n / 4).cast("int") + 1, F.lit(1)), 16, 10).try_cast("int"), F.lit(0))
+    part = F.when(n % 4 == 0, 0).otherwise(F.call_function("shiftright", nibble, (4 - n % 4).cast("int")))
+    return F.concat(F.substring(lo, F.lit(1), F.floor(n / 4).cast("int")), F.lit("/"), part.cast("string"))
+
+
 def _segment_rules(seg_links: DataFrame, seg_devices: DataFrame, nets: DataFrame, fam: int, uses: DataFrame, known: DataFrame) -> DataFrame:
     """nets (arch_id, pos, net, lo, hi, p): valid networks of valid links."""
     ids = seg_links.groupBy("arch_id", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "link_id"))), lambda x: x["link_id"]).alias("link_ids"), F.min("pos").alias("first_pos"), F.min_by("link_id", "pos").alias("first_id"))
@@ -316,10 +324,15 @@ def _segment_rules(seg_links: DataFrame, seg_devices: DataFrame, nets: DataFrame
     small = one.withColumn("room", room).withColumn("need", need).where("room < hosts").withColumn("pos", F.col("first_pos"))
     text = F.concat(F.col("net"), F.lit(" gives "), F.col("room").cast("bigint").cast("string"), F.lit(" usable address(es) but segment "), F.col("segment"), F.lit(" has "), F.col("hosts").cast("string"), F.lit(" devices; use /"), F.col("need").cast("string"), F.lit(" or shorter."))
     parts.append(explode_findings(small, SEGMENTS, F.col("pos"), [finding(F.lit(True), fam + 1, "network_too_small", _at("links", BLOCK[fam], "prefix_length"), text, F.col("first_id"), F.col("p"), F.col("link_ids"), hint={"hosts": F.col("hosts"), "suggested_prefix": F.col("need")})]))
-    # overlaps: networks are aligned blocks, so two overlap only if the shorter one starts within the other
-    a = one.select("arch_id", "segment", "net", "lo", "hi", F.col("net_link"), F.col("net_pos").alias("pos"))
-    b = one.select("arch_id", F.col("segment").alias("other"), F.col("net").alias("other_net"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"), F.col("link_ids").alias("other_links"))
-    both = a.join(b, "arch_id").where("segment <> other and lo <= ohi and olo <= hi")
+    # overlaps: networks are aligned blocks, so one of two lies in the other, that is: has it among its own prefixes
+    blocks = one.select("arch_id", "segment", "lo", "p")
+    within = blocks.select("arch_id", "segment", F.explode(F.sequence(F.lit(0), "p")).alias("q"), "lo").select("arch_id", "segment", "q", _leading(F.col("lo"), F.col("q"), fam).alias("block"))
+    whole = blocks.select("arch_id", F.col("segment").alias("other"), F.col("p").alias("q"), _leading(F.col("lo"), F.col("p"), fam).alias("block"))
+    pairs = within.join(whole, ["arch_id", "q", "block"]).where("segment <> other").select("arch_id", "segment", "other")
+    pairs = pairs.unionByName(pairs.select("arch_id", F.col("other").alias("segment"), F.col("segment").alias("other"))).distinct()
+    a = one.select("arch_id", "segment", "net", F.col("net_link"), F.col("net_pos").alias("pos"))
+    b = one.select("arch_id", F.col("segment").alias("other"), F.col("net").alias("other_net"), F.col("link_ids").alias("other_links"))
+    both = pairs.join(a, ["arch_id", "segment"]).join(b, ["arch_id", "other"])
     pair = F.concat(F.least("segment", "other"), F.lit(" and "), F.greatest("segment", "other"))
     same = F.concat(F.col("net"), F.lit(" is used by two separate segments ("), pair, F.lit("); devices on different segments need different networks."))
     over = F.concat(F.col("net"), F.lit(" ("), F.col("segment"), F.lit(") overlaps "), F.col("other_net"), F.lit(" ("), F.col("other"), F.lit("); VLSM blocks must not overlap."))
