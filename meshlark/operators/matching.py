@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.addr import bind
 from ..functions.scores import HIGH, MARGIN, MEDIUM, tier, weighted
 
 # Preference for where a text stands to a device.
@@ -115,21 +116,29 @@ def link_midpoint(polyline: Column, start: Column, end: Column, segments: Column
 
 def label_link_score(box: Column, angle: Column, ocr: Column, segments: Column, middle: Column, device_gap: Column, max_heights: float = 3.0, extent_share: float = 0.70) -> Column:
     """Score of a network label for a cable; ``device_gap`` is the label's distance from the nearest device, NULL if there is none."""
-    height = text_height(box, angle)
-    near = G.rect_polyline(box, segments)
-    away, seg = near["distance"], F.get(segments, near["index"])
-    length = F.greatest(G.seg_length(seg), F.lit(1.0))
-    t = G.project_param(G.center(box), seg)
-    over = F.greatest(F.lit(0.0), -t, t - 1.0) * length
-    extent = 1.0 - G.clamp01(over / (length * 0.25))
-    parallel = F.abs(F.cos(G.angle_diff(G.seg_angle(seg), angle)))
-    align = extent * extent_share + parallel * (1.0 - extent_share)
-    whole = F.greatest(G.segments_length(segments), F.lit(1.0))
-    mid = G.clamp01(1.0 - G.dist(G.center(box), middle) / (whole * 0.5))
-    share = F.when(away + device_gap == 0, 0.5).otherwise(away / F.when(away + device_gap > 0, away + device_gap))
-    relative = F.when(device_gap.isNull(), 1.0).otherwise(G.clamp01(1.0 - share * 2.0))
-    parts = [(0.40, 1.0 - away / (height * max_heights)), (0.15, align), (0.15, mid), (0.15, relative), (0.15, G.clamp01(ocr))]
-    return F.when(away <= height * max_heights, weighted(parts))
+    known = F.struct(text_height(box, angle).alias("height"), G.rect_polyline(box, segments).alias("near"), F.greatest(G.segments_length(segments), F.lit(1.0)).alias("whole"))
+
+    def score(k: Column) -> Column:
+        """``k`` and ``s`` are bound, so that what many terms use is computed once and written once."""
+        away, height = k["near"]["distance"], k["height"]
+
+        def of(s: Column) -> Column:
+            length = F.greatest(s["length"], F.lit(1.0))
+            over = F.greatest(F.lit(0.0), -s["t"], s["t"] - 1.0) * length
+            extent = 1.0 - G.clamp01(over / (length * 0.25))
+            align = extent * extent_share + s["parallel"] * (1.0 - extent_share)
+            mid = G.clamp01(1.0 - G.dist(G.center(box), middle) / (k["whole"] * 0.5))
+            share = F.when(away + device_gap == 0, 0.5).otherwise(away / F.when(away + device_gap > 0, away + device_gap))
+            relative = F.when(device_gap.isNull(), 1.0).otherwise(G.clamp01(1.0 - share * 2.0))
+            return weighted([(0.40, 1.0 - away / (height * max_heights)), (0.15, align), (0.15, mid), (0.15, relative), (0.15, G.clamp01(ocr))])
+
+        def measured(seg: Column) -> Column:
+            return F.struct(G.seg_length(seg).alias("length"), G.project_param(G.center(box), seg).alias("t"), F.abs(F.cos(G.angle_diff(G.seg_angle(seg), angle))).alias("parallel"))
+
+        nearest = bind(F.get(segments, k["near"]["index"]), measured)
+        return F.when(away <= height * max_heights, bind(nearest, of))
+
+    return bind(known, score)
 
 
 def claims(decisions: DataFrame, owner: str, subject: str, score: str, margin: float = MARGIN) -> DataFrame:

@@ -213,7 +213,7 @@ def hybrid_rank(asked: DataFrame, choices: DataFrame, lexical: DataFrame, models
     near = every.join(embedded(windows, models.embed, "window"), keys).join(cards.select("rule_id", "card"), "rule_id")
     near = near.groupBy(*keys, "rule_id", "place").agg(F.max(F.round(dot / (unit("card") * unit("vector")), 12)).alias("score"))
     order = lambda score, *ties: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc(), *ties))
-    words = every.join(lexical, [*keys, "rule_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    words = every.join(lexical, [*keys, "rule_id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
     ranks = [x.withColumn("rank", order("score", "place")).select(*keys, "rule_id", "place", (F.lit(1.0) / (RRF + F.col("rank"))).alias("part")) for x in (words, near)]
     fused = ranks[0].unionByName(ranks[1]).groupBy(*keys, "rule_id", "place").agg(F.round(F.sum("part"), 12).alias("score"))
     first = fused.withColumn("fused", order("score", "place")).where(F.col("fused") <= max(3 * k, CANDIDATES))

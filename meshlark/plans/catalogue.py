@@ -10,7 +10,7 @@ from ..functions import geometry as G
 from ..functions.scores import combine, tier
 from ..functions.text import classify
 from ..operators import allocation, findings, graph, matching, plan, readiness, search, validation
-from . import views
+from . import answers, planted, scenes, values, views
 from .views import with_more, with_views
 
 # ------------------------------------------------------------------ DuckDB text
@@ -469,6 +469,9 @@ CATALOGUE: dict[str, tuple] = {
 }
 
 
+CATALOGUE |= planted.CATALOGUE | values.CATALOGUE | scenes.CATALOGUE | answers.CATALOGUE
+
+
 def queries() -> dict:
     return {name: run for name, (run, _) in CATALOGUE.items()}
 
