@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import addr, ipv6
+from ..plans.lineage import cut
+from ..sources.topology import typed_block
 from .graph import segments
 
 # Who gets the first addresses of a segment.
@@ -59,6 +61,27 @@ def autoaddress(devices: DataFrame, links: DataFrame, base: str = "192.168.0.0",
     return plan, given
 
 
+def readdress(devices: DataFrame, links: DataFrame, base: str = "192.168.0.0", prefix: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Devices and links with every IPv4 block written anew: ``autoaddress`` put back into the documents.
+
+    A link has its segment's network and its ends' addresses there; a device has the
+    address on its first link that gives it one, else an empty block.  IPv6 blocks stay.
+    """
+    seg_links, _ = segments(devices, links)
+    plan, given = (cut(x) for x in autoaddress(devices, links, base, prefix))
+    nets = seg_links.select("arch_id", "pos", "segment").join(plan.select("arch_id", "segment", "network", F.col("prefix").alias("p"), "mask"), ["arch_id", "segment"])
+    ends = links.select("arch_id", "pos", F.explode(F.array(F.struct(F.lit("source").alias("side"), F.col("source").alias("device")), F.struct(F.lit("target").alias("side"), F.col("target").alias("device")))).alias("e"))
+    ends = cut(ends.select("arch_id", "pos", "e.*").join(nets, ["arch_id", "pos"]).join(given, ["arch_id", "segment", "device"]))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("address"))).alias(s)
+    rows = nets.join(ends.groupBy("arch_id", "pos").agg(side("source"), side("target")), ["arch_id", "pos"], "left")
+    block = typed_block({"network_address": F.col("network"), "prefix_length": F.col("p"), "subnet_mask": F.col("mask"), "source_ip": F.col("source"), "target_ip": F.col("target")})
+    new_links = links.drop("network").join(rows.select("arch_id", "pos", block.alias("network")), ["arch_id", "pos"], "left")
+    first = ends.groupBy("arch_id", "device").agg(F.min_by(F.struct("address", "p", "mask", "network"), "pos").alias("b"))
+    block = typed_block({"ip_address": F.col("b.address"), "prefix_length": F.col("b.p"), "subnet_mask": F.col("b.mask"), "network_address": F.col("b.network")})
+    new_devices = devices.drop("network").join(first.withColumnRenamed("device", "id"), ["arch_id", "id"], "left").withColumn("network", block).drop("b")
+    return new_devices.select(devices.columns), new_links.select(links.columns)
+
+
 def vlsm6(needs: DataFrame, base: str, prefix: int) -> DataFrame:
     """needs (arch_id, segment_no, prefix) -> with ``network`` (canonical text) and ``fits``: IPv6 blocks, packed like IPv4's.
 

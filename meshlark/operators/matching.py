@@ -71,6 +71,14 @@ def near_pairs(left: DataFrame, right: DataFrame, key: str, left_box: str, right
     return pairs.where(first).drop("_x", "_y")
 
 
+def outside_boxes(items: DataFrame, boxes: DataFrame, key: str, box: str, tolerance: float = 0.0, cell: float = 128.0) -> DataFrame:
+    """items (image_id, key, box) that no box (image_id, box) of their image holds whole."""
+    around = boxes.select("image_id", F.col("box").alias("_around"))
+    pairs = near_pairs(items.select("image_id", key, F.col(box).alias("_own")), around, "image_id", "_own", "_around", F.lit(tolerance), cell)
+    held = pairs.where(G.contains_rect(F.col("_around"), F.col("_own"), tolerance)).select("image_id", key).distinct()
+    return items.join(held, ["image_id", key], "left_anti")
+
+
 def match_texts(texts: DataFrame, devices: DataFrame, max_gap: float = NAME_GAP, cell: float = 128.0) -> DataFrame:
     """texts (image_id, text_id, box, confidence), devices (image_id, device_id, box, confidence) -> decisions per text."""
     t = texts.select("image_id", "text_id", F.col("box").alias("text_box"), F.col("confidence").alias("ocr"))

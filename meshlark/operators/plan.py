@@ -28,6 +28,16 @@ def offers(spark: SparkSession) -> DataFrame:
     return rows.select("instance_type", "memory_mib", "vcpus", F.col("price").cast("decimal(10,4)").alias("hourly_compute_usd"))
 
 
+CATALOG = "max_hourly_compute_usd string, offers array<struct<instance_type: string, memory_mib: int, vcpus: int, hourly_compute_usd: string>>"
+
+
+def read_offers(spark: SparkSession, path: str) -> DataFrame:
+    """The offers of a catalog (JSON files) that its own cost cap allows."""
+    rows = spark.read.schema(CATALOG).json(path, multiLine=True).select(F.col("max_hourly_compute_usd").cast("decimal(10,4)").alias("most"), F.explode("offers").alias("o"))
+    price = F.col("o.hourly_compute_usd").cast("decimal(10,4)")
+    return rows.where(price <= F.col("most")).select("o.instance_type", "o.memory_mib", "o.vcpus", price.alias("hourly_compute_usd"))
+
+
 def runtime_id(kind: str, c: Column) -> Column:
     """A safe name: the kind and 12 hex digits of the id's SHA-256."""
     return F.concat(F.lit(kind), F.substring(F.sha2(c, 256), 1, 12))

@@ -198,6 +198,22 @@ def embedded(rows: DataFrame, embed: Callable[[pd.Series], pd.Series], text: str
     return made.withColumn(vector, F.when(valid_vector(F.col(vector)), F.col(vector)).otherwise(F.raise_error(F.lit("invalid vector")).cast("array<double>")))
 
 
+def cached_vectors(cards: DataFrame, models: Models, folder: str, model: str = "model") -> DataFrame:
+    """(rule_id, vector) of the cards from a table in ``folder`` that is named by the corpus and the model; made anew if it is not there or not whole."""
+    spark = cards.sparkSession
+    rows = cards.select("rule_id", "text").distinct()
+    listed = rows.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("rule_id", "text")))), 256).alias("print")).first()  # a small corpus
+    path = f"{folder}/vectors-{model}-{listed['print']}"
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        stored = spark.read.schema("rule_id string, vector array<double>").parquet(path)
+        good = stored.join(rows, "rule_id", "left_semi").where(valid_vector(F.col("vector"))).agg(F.count_distinct("rule_id").alias("n"), F.count_distinct(F.size("vector")).alias("sizes")).first()
+        if good["n"] == listed["n"] and good["sizes"] <= 1:
+            return stored
+    embedded(rows, models.embed, "text").select("rule_id", "vector").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def hybrid_rank(asked: DataFrame, choices: DataFrame, lexical: DataFrame, models: Models, k: int) -> DataFrame:
     """asked (set_id, ask_id, queries: array), choices (set_id, rule_id, place, text), lexical (set_id, ask_id, rule_id, score) -> (set_id, ask_id, rule_id, rank).
 

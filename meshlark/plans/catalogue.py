@@ -10,7 +10,7 @@ from ..functions import geometry as G
 from ..functions.scores import combine, tier
 from ..functions.text import classify
 from ..operators import allocation, findings, graph, matching, plan, readiness, search, validation
-from . import answers, planted, scenes, values, views
+from . import answers, entries, planted, scenes, values, views
 from .views import with_more, with_views
 
 # ------------------------------------------------------------------ DuckDB text
@@ -355,6 +355,17 @@ def reading_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("image_id", F.posexplode(G.reading_order(F.col("items"))).alias("place", "id"))
 
 
+# A row's first item anchors it; items further than the band open the next row.
+ORDER_SQL = f"""
+WITH RECURSIVE {BOX_CTE},
+o AS (SELECT image_id::BIGINT AS image_id, id::VARCHAR AS id, (y1 + y2) / 2 AS cy, (x1 + x2) / 2 AS cx, y2 - y1 AS h FROM x),
+b AS (SELECT image_id, greatest(8.0, 0.5 * list_extract(list(h ORDER BY h), (count(*) // 2 + 1)::INT)) AS band FROM o GROUP BY image_id),
+r AS MATERIALIZED (SELECT o.*, band, row_number() OVER (PARTITION BY image_id ORDER BY cy, cx, id) AS rn FROM o JOIN b USING (image_id)),
+s AS (SELECT image_id, id, cx, rn, cy AS anchor, 1 AS line FROM r WHERE rn = 1
+ UNION ALL SELECT r.image_id, r.id, r.cx, r.rn, CASE WHEN abs(r.cy - s.anchor) > band THEN r.cy ELSE s.anchor END, CASE WHEN abs(r.cy - s.anchor) > band THEN s.line + 1 ELSE s.line END FROM s JOIN r ON r.image_id = s.image_id AND r.rn = s.rn + 1)
+SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY line, cx, id) - 1)::INT AS place, id FROM s"""
+
+
 def plan_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     devices, links = views.documents(spark, sf_dir)
     return plan.plan_endpoints(devices, links)
@@ -462,14 +473,14 @@ CATALOGUE: dict[str, tuple] = {
     "text_device_decisions": (text_device_decisions, DECIDE_SQL),
     "overlapping_boxes": (overlapping_boxes, IOU_SQL),
     "segment_distances": (segment_distances, DISTANCE_SQL),
-    "reading_orders": (reading_orders, None),
+    "reading_orders": (reading_orders, ORDER_SQL),
     "plan_endpoints": (plan_endpoints, ENDPOINT_SQL),
     "configuration_targets": (configuration_targets, TARGETS_SQL),
     "hosting": (hosting, HOSTING_SQL),
 }
 
 
-CATALOGUE |= planted.CATALOGUE | values.CATALOGUE | scenes.CATALOGUE | answers.CATALOGUE
+CATALOGUE |= planted.CATALOGUE | values.CATALOGUE | scenes.CATALOGUE | answers.CATALOGUE | entries.CATALOGUE
 
 
 def queries() -> dict:
