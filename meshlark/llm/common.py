@@ -22,11 +22,14 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _folder(df: DataFrame) -> str:
-    """The shared checkpoint folder: the one named in ``spark.checkpoint.dir``, or a new one where that is unset (tests)."""
+    """The shared checkpoint folder: the one named in ``spark.checkpoint.dir``; where that is unset, a new one, but only in local mode (tests)."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshlark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="meshlark-"))
     return sc.getCheckpointDir()
 
 
