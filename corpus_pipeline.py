@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written and read again by the caller.
 
 Each stage works on all rows that its predecessor kept and, but for the last, returns
-the columns of ``documents``.
+the columns of ``documents``; columns beside these are dropped, whatever they are called.
+An empty table gives an empty one.  Texts are read whole, however long they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,12 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text has a language; learned from labelled rows that are not held out."""
+    """Keeps documents whose text has a language; learned from labelled rows that are not held out.
+
+    A null or empty text, or one without a letter, has none and goes; null ids, languages
+    and sources do not matter.  Each row is judged by its text alone, so repeated rows
+    stay or go together.  Ties go to the language that sorts first.
+    """
     docs = docs.select(*COLUMNS)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.predict(docs, model, COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
@@ -51,7 +57,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item; rows without an id are judged by their texts."""
+    """Keeps documents that hold no benchmark item; rows without an id are judged by their texts.
+
+    Rows that share an id are one document and go together.  A null or empty text holds
+    nothing and stays; an empty benchmark keeps all.
+    """
     docs = docs.select(*COLUMNS)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = decontam.contaminated(docs, bench).select("doc_id").distinct()
@@ -65,13 +75,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replicates documents so that sources weigh the square root of their size, in shuffled order."""
+    """Replicates documents so that sources weigh the square root of their size, in shuffled order.
+
+    A null source is a source of its own, a null id an id like any other; rows that repeat
+    an id are repeated alike.  Texts are only carried, so null, empty and long ones are no case of their own.
+    """
     docs = docs.select(*COLUMNS)
     return mixing.replicate(docs, mixing.source_rates(docs)).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places all rows on shards of even counts, equal texts together."""
+    """Places all rows on shards of even counts, equal texts together.
+
+    A null text is linked to none and counts 8 bytes; repeated rows are equal texts.  A
+    group of more than half a shard is cut by hash.  Ties within a shard go by id, text and size.
+    """
     return sharding.assign_shards(docs)
 
 
