@@ -2,37 +2,71 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ("arch_id", "stage", "pos", "seq", "code", "severity", "path", "message", "subject", "value", "related", "hint")
 
 
-def finding(when: Column, seq: int, code, path: Column, message: Column, subject: Column | None = None, value: Column | None = None, related: Column | None = None, hint: dict | None = None, severity="error") -> Column:
-    """A finding, or NULL unless ``when``; collect several with ``explode_findings``."""
-    text = F.lit(None).cast("string")
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    pairs = [x for k, v in (hint or {}).items() for x in (F.lit(k), v.cast("string"))]
-    row = F.struct(
-        F.lit(seq).alias("seq"),
-        lit(code).alias("code"),
-        lit(severity).alias("severity"),
-        path.alias("path"),
-        lit(message).alias("message"),
-        (subject if subject is not None else text).cast("string").alias("subject"),
-        (value if value is not None else text).cast("string").alias("value"),
-        (related if related is not None else F.lit(None).cast("array<string>")).alias("related"),
-        (F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")).alias("hint"),
-    )
-    return F.when(when, row)
+class Rule(NamedTuple):
+    """A condition on a row, and what to say of the rows that meet it; texts or Columns."""
+
+    when: Column
+    seq: int
+    code: str | Column
+    severity: str | Column
+    path: Column
+    message: str | Column
+    subject: Column | None
+    value: Column | None
+    related: Column | None
+    hint: dict | None
+
+
+def finding(when: Column, seq: int, code, path: Column, message, subject: Column | None = None, value: Column | None = None, related: Column | None = None, hint: dict | None = None, severity="error") -> Rule:
+    """What ``explode_findings`` makes a row of, where ``when`` holds."""
+    return Rule(when, seq, code, severity, path, message, subject, value, related, hint)
+
+
+def _of_rule(values: list, kind: str) -> Column:
+    """The value of the row's rule ``_rule``; fixed values are looked up, others computed for their own rows only."""
+    if all(v is None for v in values):
+        return F.lit(None).cast(kind)
+    if not any(isinstance(v, Column) for v in values):
+        return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_rule") + 1)
+    at, fixed = None, any(isinstance(v, str) for v in values)
+    for i, v in enumerate(values):
+        if isinstance(v, Column):
+            at = (F if at is None else at).when(F.col("_rule") == i, v.cast(kind))
+    if not fixed:
+        return at
+    return at.otherwise(_of_rule([None if isinstance(v, Column) else v for v in values], kind))
+
+
+def _pairs(hint: dict | None) -> Column | None:
+    return F.create_map(*[x for k, v in hint.items() for x in (F.lit(k), v.cast("string"))]) if hint else None
 
 
-def explode_findings(df: DataFrame, stage: int, pos: Column, rules: list[Column]) -> DataFrame:
-    """One narrow pass: all rules on a row, and a row for each that holds."""
-    rows = df.select("arch_id", pos.cast("int").alias("pos"), F.explode(F.array_compact(F.array(*rules))).alias("f"))
-    rows = rows.select("arch_id", F.lit(stage).alias("stage"), "pos", "f.*")
-    empty = {"related": F.coalesce("related", F.array().cast("array<string>")), "hint": F.coalesce("hint", F.create_map().cast("map<string,string>"))}
-    return rows.withColumns(empty).select(*COLUMNS)
+def explode_findings(df: DataFrame, stage: int, pos: Column, rules: list[Rule]) -> DataFrame:
+    """One narrow pass: the numbers of the rules that a row meets, exploded; what they say is built for those rows alone."""
+    rows = df.withColumn("_rule", F.explode(F.array_compact(F.array(*[F.when(r.when, F.lit(i)) for i, r in enumerate(rules)]))))
+    column = lambda name, kind: _of_rule([getattr(r, name) for r in rules], kind).alias(name)
+    return rows.select(
+        "arch_id",
+        F.lit(stage).alias("stage"),
+        pos.cast("int").alias("pos"),
+        column("seq", "int"),
+        column("code", "string"),
+        column("severity", "string"),
+        column("path", "string"),
+        column("message", "string"),
+        column("subject", "string"),
+        column("value", "string"),
+        F.coalesce(column("related", "array<string>"), F.array().cast("array<string>")).alias("related"),
+        F.coalesce(_of_rule([_pairs(r.hint) for r in rules], "map<string,string>"), F.create_map().cast("map<string,string>")).alias("hint"),
+    ).select(*COLUMNS)
 
 
 def gather(*parts: DataFrame) -> DataFrame:
