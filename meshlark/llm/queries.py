@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, pii, sharding, simhash, substring, tokens, urlfilter, winnow
+from . import decontam, langid, minhash, mixing, negatives, pii, ranked, sharding, simhash, substring, tokens, urlfilter, winnow
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,23 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_spans")
 
 
+def op11_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of documents: 3-word shingle sets at a Jaccard similarity of 0.85 or more."""
+    return minhash.near_classes(_documents(spark, sf_dir), share=85, k=3)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return ranked.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector, every seventh label being off by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.hard_negatives(vectors, F.col("id") % 50 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_balanced_shards": op1_balanced_shards,
@@ -83,6 +100,9 @@ def queries() -> dict:
         "op9_token_counts": op9_token_counts,
         "op10_pii_spans": op10_pii_spans,
         "op8_simhash_components": op8_simhash_components,
+        "op11_minhash_components": op11_minhash_components,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -107,6 +127,42 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::B
 FROM w LEFT JOIN s ON s.doc_id = w.doc_id
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
+k AS MATERIALIZED (SELECT s, len(s) AS n, min(doc_id) AS id FROM (SELECT doc_id, list_sort(s) AS s FROM g) GROUP BY s),
+x AS (SELECT id, n, unnest(s) AS h FROM k),
+p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.h = b.h AND a.id < b.id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85 GROUP BY a.id, b.id, a.n, b.n HAVING 185 * count(*) >= 85 * (a.n + b.n)),
+e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT id AS a, id AS b FROM k WHERE n > 0 UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, coalesce(c.root, g.doc_id) AS component_id, coalesce(c.root, g.doc_id) = g.doc_id AS kept
+FROM g JOIN k ON k.s = list_sort(g.s) LEFT JOIN c ON c.id = k.id
+"""
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+f AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf)::BIGINT AS size FROM f GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(size)::BIGINT AS total FROM l),
+m AS (SELECT doc_id, 75 + (25 * size * docs) // total AS m FROM l, s),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 
 def _op2_sql() -> str:
     d, upper, lower = urlfilter.DAMPING, urlfilter.UPPER, urlfilter.LOWER
@@ -141,4 +197,11 @@ FROM r LEFT JOIN s{urlfilter.ROUNDS} x ON x.host = r.host
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2_sql(), "op5_source_mix": OP5_SQL, "op7_substring_dedup": OP7_SQL}
+    return {
+        "op2_url_filter": _op2_sql(),
+        "op5_source_mix": OP5_SQL,
+        "op7_substring_dedup": OP7_SQL,
+        "op11_minhash_components": OP11_SQL,
+        "op12_ranked_search": OP12_SQL,
+        "op13_hard_negatives": OP13_SQL,
+    }
