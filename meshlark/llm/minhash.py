@@ -10,6 +10,8 @@
 * Stars alone could lose a link between two members that both differ from the hub, so
   buckets whose members are not yet in one component get more hubs, four times as many a
   round, until every pair of different components in every bucket has been compared.
+  Pairs that cannot reach the threshold are left out: by their sizes, and by the shingles
+  of theirs that no other candidate has.
 * A link counts only if the full sets of 64-bit shingle hashes confirm it.
 
 Equal sets are one node from the start.  Two sets whose similarity is the threshold
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_values, chunks, cut, mix, prefix_hash, span_hash, store, text_buffer, word_spans
@@ -34,14 +36,12 @@ BINS = BANDS * ROWS
 HUBS, GROWTH = 64, 4
 #: Bytes of one text that are taken apart at once, and most bits of the filter that finds texts again.
 PIECE, FILTER_BITS = 4 << 20, 28
-#: Bytes of sets that are compared at once.
-PAIR_BYTES = 16 << 20
 VALUES = byte_values(11)
 FACTORS = np.random.default_rng(12).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: For each bin, the place of every bin in its random order.
-ORDER = np.random.default_rng(13).random((BINS, BINS)).argsort(axis=1).argsort(axis=1).astype(np.int32)
+#: For each bin, all bins in its own random order.
+ORDER = np.random.default_rng(13).random((BINS, BINS)).argsort(axis=1)
 SKETCH = "doc_id long, n long, s1 long, s2 long, bands array<long>"
 
 
@@ -63,55 +63,77 @@ def _long_word_hashes(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of k words in a row; of all words if these are fewer."""
-    if not len(words):
-        return words
-    if len(words) <= k:
-        return mix((words * FACTORS[: len(words)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(words)))
-    h = np.full(len(words) - k + 1, k, dtype=np.uint64)
-    for i in range(k):
-        h += words[i : len(words) - k + 1 + i] * FACTORS[i]
-    return np.unique(mix(h))
-
-
-def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The shingle set of each text, A-Z lower-cased, words as runs of bytes other than 0x20 and 0x09-0x0D."""
+def _shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and each text's first word -> shingle hashes, distinct and sorted within each text, and the number of each text."""
+    n, lengths = len(words), np.diff(first)
+    h = np.full(n, k, dtype=np.uint64)
+    for i in range(min(k, n)):
+        h[: n - i] += words[i:] * FACTORS[i]
+    fits = np.arange(n) + k <= np.repeat(first[1:], lengths)
+    for i in np.flatnonzero((lengths > 0) & (lengths < k)).tolist():  # all words are one shingle
+        a, b = first[i], first[i + 1]
+        h[a] = (words[a:b] * FACTORS[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
+        fits[a] = True
+    h, owner = mix(h[fits]), np.repeat(np.arange(len(lengths)), lengths)[fits]
+    edge = np.searchsorted(owner, np.arange(len(lengths) + 1)).tolist()
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        h[a:b].sort()
+    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)]
+    h, owner = h[fresh], owner[fresh]
+    return h, np.bincount(owner, minlength=len(lengths))
+
+
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of texts: the first one's place, their shingle sets one after the other, and the sets' sizes.
+
+    A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D.
+    """
     data, offsets = text_buffer(texts)
     for a, b in chunks(offsets):
         block = LOWER[data[offsets[a] : offsets[b]]]
         if len(block) > PIECE:  # one text alone
-            yield shingle_set(_long_word_hashes(block), k)
-            continue
-        words, first = _word_hashes(block, offsets[a : b + 1] - offsets[a])
-        for i in range(b - a):
-            yield shingle_set(words[first[i] : first[i + 1]], k)
-
-
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """One value for each bin; of a set that is not empty."""
-    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)  # grows with the hash
-    filled = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
-    at = bins[filled].astype(np.int64)
-    out = np.zeros(BINS, dtype=np.uint64)
-    out[at] = hashes[filled]
-    if len(at) < BINS:
-        empty = np.ones(BINS, dtype=bool)
-        empty[at] = False
-        empty = np.flatnonzero(empty)
-        out[empty] = hashes[filled[ORDER[np.ix_(empty, at)].argmin(axis=1)]]
-    return out
+            words = _long_word_hashes(block)
+            first = np.array([0, len(words)])
+        else:
+            words, first = _word_hashes(block, offsets[a : b + 1] - offsets[a])
+        yield a, *_shingles(words, first, k)
+
+
+def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One value for each bin of each set; of an empty set, nothing that means anything."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bins = (((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)  # grows with the hash
+    cell = owner * BINS + bins
+    least = np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)]
+    out, filled = np.zeros(len(sizes) * BINS, dtype=np.uint64), np.zeros(len(sizes) * BINS, dtype=bool)
+    out[cell[least]] = hashes[least]
+    filled[cell[least]] = True
+    empty = np.flatnonzero(~filled & np.repeat(sizes > 0, BINS))
+    start, own = empty // BINS * BINS, empty % BINS
+    for place in range(BINS):
+        if not len(empty):
+            break
+        other = start + ORDER[own, place]
+        found = filled[other]
+        out[empty[found]] = out[other[found]]
+        empty, start, own = empty[~found], start[~found], own[~found]
+    return out.reshape(-1, BINS)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    keys = (values.reshape(BANDS, ROWS) * FACTORS[:ROWS]).sum(axis=1, dtype=np.uint64)
+    keys = (values.reshape(-1, BANDS, ROWS) * FACTORS[:ROWS]).sum(axis=2, dtype=np.uint64)
     return mix(keys + np.arange(BANDS, dtype=np.uint64) * FACTORS[ROWS]).view(np.int64)
 
 
-def set_key(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
-    one, two = mix(hashes).sum(dtype=np.uint64), mix(hashes * FACTORS[8] + FACTORS[9]).sum(dtype=np.uint64)
-    return int(one.view(np.int64)), int(two.view(np.int64))
+def set_keys(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set; 0 for an empty one."""
+    out = np.zeros((2, len(sizes)), dtype=np.uint64)
+    some = sizes > 0
+    if some.any():
+        start = (np.cumsum(sizes) - sizes)[some]
+        for i, h in enumerate((mix(hashes), mix(hashes * FACTORS[8] + FACTORS[9]))):
+            out[i, some] = np.add.reduceat(h, start)
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
 def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -119,18 +141,13 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            n, one, two, bands = [], [], [], []
-            for hashes in shingle_sets(batch.column(1), k):
-                n.append(len(hashes))
-                a, b = set_key(hashes) if len(hashes) else (0, 0)
-                one.append(a)
-                two.append(b)
-                if len(hashes):
-                    bands.append(band_keys(signature(hashes)))
-            size = np.where(np.array(n, dtype=np.int64) > 0, BANDS, 0)
-            flat = np.concatenate([np.zeros(0, np.int64), *bands])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat), mask=pa.array(size == 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, one, two)), lists], names=["doc_id", "n", "s1", "s2", "bands"])
+            for a, hashes, sizes in shingle_sets(batch.column(1), k):
+                some = sizes > 0
+                flat = band_keys(signatures(hashes, sizes))[some].ravel()
+                ends = np.concatenate([[0], np.cumsum(some * BANDS)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()), mask=pa.array(~some))
+                columns = [pa.array(x, pa.int64()) for x in (sizes, *set_keys(hashes, sizes))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sizes)), *columns, lists], names=["doc_id", "n", "s1", "s2", "bands"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -167,21 +184,16 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     def run(batches):
         words = np.frombuffer(wanted, dtype=np.uint64)
         for batch in batches:
-            doc, seen, out, size = batch.column(0).fill_null(0).to_numpy(), set(), [], 0
-            for i, hashes in enumerate(shingle_sets(batch.column(1), k)):
-                if not len(hashes):
-                    continue
-                key = set_key(hashes)
-                at = int(_places(doc[i : i + 1], *(np.array([x]) for x in key), bits)[0])
-                if words[at >> 6] >> np.uint64(at & 63) & np.uint64(1) and key not in seen:
-                    seen.add(key)
-                    out.append((*key, hashes.tobytes()))
-                    size += hashes.nbytes
-                if size > PAIR_BYTES:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("s1", "s2", "hashes"), x, strict=True)) for x in out], pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("hashes", pa.binary())]))
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(("s1", "s2", "hashes"), x, strict=True)) for x in out], pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("hashes", pa.binary())]))
+            doc, seen = batch.column(0).fill_null(0).to_numpy(), set()
+            for a, hashes, sizes in shingle_sets(batch.column(1), k):
+                one, two = set_keys(hashes, sizes)
+                at = _places(doc[a : a + len(sizes)], one, two, bits)
+                held = np.flatnonzero((words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool) & (sizes > 0))
+                ends = np.cumsum(sizes)
+                fresh = [i for i in held.tolist() if (key := (one[i], two[i])) not in seen and not seen.add(key)]
+                if fresh:
+                    found = [hashes[ends[i] - sizes[i] : ends[i]].tobytes() for i in fresh]
+                    yield pa.RecordBatch.from_arrays([pa.array(one[fresh]), pa.array(two[fresh]), pa.array(found, pa.binary())], names=["s1", "s2", "hashes"])
 
     made = docs.mapInArrow(run, "s1 long, s2 long, hashes binary")
     made = made.join(nodes.select("node", "s1", "s2"), ["s1", "s2"]).select("node", "hashes")
@@ -207,45 +219,70 @@ def _confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _fits(a: Column, b: Column, share: int) -> Column:
-    """Whether sets of these sizes can reach the share."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * share
+def _own(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, own): how many of a node's shingles occur in no other of these nodes, so that it shares them with none."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), batch.column(0)[i].as_py())), pa.array(hashes)], names=["node", "h"])
+
+    each = sets.join(nodes, "node", "left_semi").select("node", "hashes").mapInArrow(run, "node long, h long")
+    return each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """rows (key, ...) -> those whose key has another, with the number c of the key's rows."""
+    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key")
+
+
+def _pairs(met: DataFrame, share: int) -> DataFrame:
+    """met (node, n, most, hub, hub_n, hub_most) -> distinct (a, b) that can reach the share by their sizes and by what they can share at most."""
+    sizes = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * share
+    shared = F.least("most", "hub_most") * (100 + share) >= (F.col("n") + F.col("hub_n")) * share
+    return met.where((F.col("node") != F.col("hub")) & sizes & shared).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
+def _unsettled(crowd: DataFrame, linked: DataFrame | None) -> DataFrame:
+    """The members, with their roots, of buckets that hold more than one component."""
+    rooted = crowd.withColumn("root", F.col("node")) if linked is None else crowd.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spread = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return rooted.join(spread, "key", "left_semi")
 
 
 def links(docs: DataFrame, nodes: DataFrame, share: int = 85, k: int = SHINGLE) -> DataFrame:
     """nodes (node, first, n, s1, s2, bands), distinct sets -> (node, root: long) of the nodes with a link."""
-    keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "node", "n")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    crowd = keyed.join(sizes, "key")
-    weight = crowd.groupBy("node").agg(F.sum("c").alias("w"))
-    crowd = cut(crowd.join(weight, "node"))
-    hubs = crowd.groupBy("key").agg(F.max(F.struct("w", F.expr("-node").alias("minus"), "n")).alias("hub"))
-    star = crowd.join(hubs, "key").select("node", "n", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("m"))
-    star = star.where((F.col("hub") != F.col("node")) & _fits(F.col("n"), F.col("m"), share))
-    pairs = cut(star.select(F.greatest("hub", "node").alias("b"), F.least("hub", "node").alias("a")).distinct())
-    compared, found, linked, sets, turn = pairs, None, None, None, 0
-    crowd = crowd.drop("w")
+    keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "node", "n", F.col("n").alias("most"))
+    crowd = _sized(keyed)
+    crowd = cut(crowd.join(crowd.groupBy("node").agg(F.sum("c").alias("w")), "node"))
+    hub = F.max(F.struct("w", (-F.col("node")).alias("minus"), "n", "most")).alias("hub")
+    star = crowd.join(crowd.groupBy("key").agg(hub), "key")
+    pairs = cut(_pairs(star.select("node", "n", "most", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.most").alias("hub_most")), share))
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "node long, root long")
+    sets = store(_sets(docs, nodes.join(crowd.select("node").distinct(), "node", "left_semi"), k))
+    found = cut(_confirm(pairs, sets, share))
+    linked = None if found.isEmpty() else cut(components(found))
+    # what no other text has is shared with none, which rules out most texts that only resemble each other
+    left = _unsettled(crowd.drop("w", "c", "most"), linked).drop("root")
+    left = left.join(_own(sets, left.select("node").distinct()), "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    crowd = cut(_sized(left.where(F.col("most") * 100 >= F.col("n") * share)))
+    compared, done, hubs = pairs, 0, HUBS
     while True:
-        if not pairs.isEmpty():
-            if sets is None:
-                sets = store(_sets(docs, nodes.join(crowd.select("node").distinct(), "node", "left_semi"), k))
-            new = _confirm(pairs, sets, share)
-            found = cut(new if found is None else found.unionByName(new))
-            linked = cut(components(found))
-        rooted = crowd.withColumn("root", F.col("node")) if linked is None else crowd.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        # hubs go by their luck, so a bucket's turn ends when all its members have been hubs
-        done, more = (0.0, HUBS) if not turn else (HUBS * GROWTH ** (turn - 1), HUBS * GROWTH**turn)
-        rooted = cut(rooted.join(spread, "key", "left_semi").where(F.col("c") > F.lit(done)))
+        rooted = cut(_unsettled(crowd.where(F.col("c") > done), linked))
         if rooted.isEmpty():
             break
+        # hubs go by their luck: when the limit has reached a bucket's size, all its members have been hubs
         luck = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / float(1 << 30) * F.col("c")
-        chosen = rooted.where((luck >= done) & (luck < more)).select("key", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("root").alias("hub_root"))
-        met = rooted.join(chosen, "key").where((F.col("root") != F.col("hub_root")) & _fits(F.col("n"), F.col("m"), share))
-        pairs = met.select(F.greatest("hub", "node").alias("b"), F.least("hub", "node").alias("a")).distinct()
-        pairs = cut(pairs.join(compared, ["a", "b"], "left_anti"))
-        compared = compared.unionByName(pairs)
-        turn += 1
+        chosen = rooted.where((luck >= done) & (luck < hubs)).select("key", *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "most", "root")))
+        met = rooted.join(chosen, "key").where("root <> hub_root").withColumnRenamed("hub_node", "hub")
+        pairs = cut(_pairs(met, share).join(compared, ["a", "b"], "left_anti"))
+        compared, done, hubs = compared.unionByName(pairs), hubs, hubs * GROWTH
+        new = cut(_confirm(pairs, sets, share))
+        if not new.isEmpty():
+            found = found.unionByName(new)
+            linked = cut(components(found))
     return linked if linked is not None else docs.sparkSession.createDataFrame([], "node long, root long")
 
 
