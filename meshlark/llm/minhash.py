@@ -7,11 +7,11 @@
 * Sets that agree on a band of bins share a bucket.  A bucket sends star-shaped edges:
   each member is compared with the bucket's hub, the member that meets most others over
   all its buckets.  In a crowd of near copies that is the text they were made from.
-* Stars alone could lose a link between two members that both differ from the hub, so
-  buckets whose members are not yet in one component get more hubs, four times as many a
-  round, until every pair of different components in every bucket has been compared.
-  Pairs that cannot reach the threshold are left out: by their sizes, and by the shingles
-  of theirs that no other candidate has.
+* Stars alone could lose a link between two members that both differ from the hub.
+  Buckets whose members are not yet in one component are therefore compared whole, in cells
+  of bounded size: the product of a cell's set-shingle matrix with itself gives all
+  intersections, and only a spanning star of each component leaves the cell.  Members most
+  of whose shingles no other candidate has are left out before, as they can reach no one.
 * A link counts only if the full sets of 64-bit shingle hashes confirm it.
 
 Equal sets are one node from the start.  Two sets whose similarity is the threshold
@@ -20,6 +20,7 @@ share no bucket with odds (1 - 0.85 ** ROWS) ** BANDS, that is 2e-7; more simila
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, cut, mix, prefix_hash, span_hash, store, text_buffer, word_spans
+from .common import byte_values, chunks, cut, mix, partitions, prefix_hash, span_hash, store, text_buffer, word_spans
 from .graph import components
+from .simhash import _stars
 
 SHINGLE, BANDS, ROWS = 3, 40, 7
 BINS = BANDS * ROWS
-#: Hubs of a bucket in the second round; each further round has GROWTH times as many.
-HUBS, GROWTH = 64, 4
+#: Members and shingles of a cell in which all sets are compared, members that make a shingle frequent there, and columns multiplied at once.
+CELL_ROWS, CELL_SHINGLES, FEW, COLUMNS = 512, 1 << 20, 6, 2048
 #: Bytes of one text that are taken apart at once, and most bits of the filter that finds texts again.
 PIECE, FILTER_BITS = 4 << 20, 28
 VALUES = byte_values(11)
@@ -233,57 +235,123 @@ def _own(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """rows (key, ...) -> those whose key has another, with the number c of the key's rows."""
+    """rows (key, node, ...) -> those whose key has another, with the number c of the key's rows."""
     return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "key")
 
 
-def _pairs(met: DataFrame, share: int) -> DataFrame:
-    """met (node, n, most, hub, hub_n, hub_most) -> distinct (a, b) that can reach the share by their sizes and by what they can share at most."""
-    sizes = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * share
-    shared = F.least("most", "hub_most") * (100 + share) >= (F.col("n") + F.col("hub_n")) * share
-    return met.where((F.col("node") != F.col("hub")) & sizes & shared).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-
-
 def _unsettled(crowd: DataFrame, linked: DataFrame | None) -> DataFrame:
-    """The members, with their roots, of buckets that hold more than one component."""
+    """The members of buckets that hold more than one component."""
     rooted = crowd.withColumn("root", F.col("node")) if linked is None else crowd.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     spread = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return rooted.join(spread, "key", "left_semi")
+    return crowd.join(spread, "key", "left_semi")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """rows (key, node, n) -> (cell, side, node): buckets as cells; a large one is cut into parts, and a cell holds two of them.
+
+    Buckets of the same members are one.  ``side`` is 0 in a cell of one part, else 1 or 2.
+    """
+    shape = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+    parts = F.greatest(F.ceil(F.col("c") / CELL_ROWS), F.ceil(F.col("size") / CELL_SHINGLES)).cast("int")
+    one = shape.where("c > 1").groupBy("c", "size", "who").agg(F.min("key").alias("key")).select("key", parts.alias("g"))
+    mine = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("g") - 1),
+        lambda j: F.struct(F.least(mine, j).alias("lo"), F.greatest(mine, j).alias("hi"), F.when(mine == j, 0).when(mine < j, 1).otherwise(2).cast("byte").alias("side")),
+    )
+    return rows.join(one, "key").select("node", "key", F.explode(cells).alias("x")).select(F.xxhash64("key", "x.lo", "x.hi").alias("cell"), "x.side", "node")
+
+
+def shared_counts(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, given one after the other: exact, a product of the set-shingle matrix with itself.
+
+    Shingles of few sets add to their pairs one by one, those of many by blocks of columns.
+    """
+    m = len(sizes)
+    owner = np.repeat(np.arange(m), sizes)
+    order = np.argsort(hashes, kind="stable")
+    ranked, owner = hashes[order], owner[order]
+    edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))
+    times = np.diff(edge)
+    out = np.zeros(m * m, dtype=np.int64)
+    for d in range(2, min(FEW, m) + 1):
+        rows = owner[edge[:-1][times == d][:, None] + np.arange(d)]  # in ascending order, as the sort is stable
+        for i, j in itertools.combinations(range(d), 2):
+            if len(rows) > m:
+                out += np.bincount(rows[:, i] * m + rows[:, j], minlength=m * m)
+            elif len(rows):
+                np.add.at(out, rows[:, i] * m + rows[:, j], 1)
+    out = out.reshape(m, m)
+    out += out.T
+    many = np.flatnonzero(times > FEW)
+    for a in range(0, len(many), COLUMNS):
+        some = many[a : a + COLUMNS]
+        block = np.zeros((m, len(some)), dtype=np.float32)
+        at = np.repeat(edge[some] - np.concatenate([[0], np.cumsum(times[some])[:-1]]), times[some]) + np.arange(times[some].sum())
+        block[owner[at], np.repeat(np.arange(len(some)), times[some])] = 1
+        out += (block @ block.T).astype(np.int64)
+    return out
+
+
+def _link_cell(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within a cell, as stars: they connect just what the sets' similarity connects."""
+    sizes = np.array([len(x) for x in sets])
+    shared = shared_counts(sizes, np.concatenate(sets))
+    near = 100 * shared >= share * (sizes[:, None] + sizes[None, :] - shared)
+    if side.any():
+        near &= side[:, None] != side[None, :]
+    return _stars(node, *np.nonzero(np.triu(near, 1)))
+
+
+def _compared(rows: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """rows (key, node, n) -> links (a, b) between members of a key whose sets reach the share."""
+
+    def links_of(cell: list[pa.RecordBatch]):
+        column = lambda name: pa.concat_arrays([b.column(name) for b in cell])
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in column("hashes")]
+        a, b = _link_cell(column("node").to_numpy(), column("side").to_numpy(), sets, share)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        now, kept = None, []
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if kept and cell[a] != now:
+                    yield links_of(kept)
+                    kept = []
+                now = cell[a]
+                kept.append(batch.slice(a, b - a))
+        if kept:
+            yield links_of(kept)
+
+    dealt = _cells(rows).join(sets, "node").select("cell", "side", "node", "hashes")
+    return dealt.repartition(partitions(rows), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, share: int = 85, k: int = SHINGLE) -> DataFrame:
     """nodes (node, first, n, s1, s2, bands), distinct sets -> (node, root: long) of the nodes with a link."""
-    keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "node", "n", F.col("n").alias("most"))
+    keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "node", "n")
     crowd = _sized(keyed)
     crowd = cut(crowd.join(crowd.groupBy("node").agg(F.sum("c").alias("w")), "node"))
-    hub = F.max(F.struct("w", (-F.col("node")).alias("minus"), "n", "most")).alias("hub")
-    star = crowd.join(crowd.groupBy("key").agg(hub), "key")
-    pairs = cut(_pairs(star.select("node", "n", "most", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.most").alias("hub_most")), share))
-    if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "node long, root long")
+    star = crowd.join(crowd.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("minus"), "n")).alias("hub")), "key")
+    star = star.select("node", "n", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("m"))
+    star = star.where((F.col("node") != F.col("hub")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * share))
+    pairs = cut(star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+    none = docs.sparkSession.createDataFrame([], "node long, root long")
+    if crowd.isEmpty():
+        return none
     sets = store(_sets(docs, nodes.join(crowd.select("node").distinct(), "node", "left_semi"), k))
     found = cut(_confirm(pairs, sets, share))
     linked = None if found.isEmpty() else cut(components(found))
+    left = cut(_unsettled(crowd.select("key", "node", "n"), linked))
     # what no other text has is shared with none, which rules out most texts that only resemble each other
-    left = _unsettled(crowd.drop("w", "c", "most"), linked).drop("root")
-    left = left.join(_own(sets, left.select("node").distinct()), "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    crowd = cut(_sized(left.where(F.col("most") * 100 >= F.col("n") * share)))
-    compared, done, hubs = pairs, 0, HUBS
-    while True:
-        rooted = cut(_unsettled(crowd.where(F.col("c") > done), linked))
-        if rooted.isEmpty():
-            break
-        # hubs go by their luck: when the limit has reached a bucket's size, all its members have been hubs
-        luck = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / float(1 << 30) * F.col("c")
-        chosen = rooted.where((luck >= done) & (luck < hubs)).select("key", *(F.col(c).alias(f"hub_{c}") for c in ("node", "n", "most", "root")))
-        met = rooted.join(chosen, "key").where("root <> hub_root").withColumnRenamed("hub_node", "hub")
-        pairs = cut(_pairs(met, share).join(compared, ["a", "b"], "left_anti"))
-        compared, done, hubs = compared.unionByName(pairs), hubs, hubs * GROWTH
-        new = cut(_confirm(pairs, sets, share))
-        if not new.isEmpty():
-            found = found.unionByName(new)
-            linked = cut(components(found))
-    return linked if linked is not None else docs.sparkSession.createDataFrame([], "node long, root long")
+    left = left.join(_own(sets, left.select("node").distinct()), "node", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * 100 >= F.col("n") * share)
+    more = cut(_compared(cut(_unsettled(left.select("key", "node", "n"), linked)), sets, share))
+    if not more.isEmpty():
+        linked = cut(components(found.unionByName(more)))
+    return none if linked is None else linked
 
 
 def near_classes(docs: DataFrame, share: int = 85, k: int = SHINGLE) -> DataFrame:
