@@ -35,9 +35,9 @@ DIGIT = re.compile(r"[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 #: The wider net, by kind.  Local parts and labels have the lengths that mail and domain names may have (64 and 63).
 WIDE = (
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({]at[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({]dot[\])}]| dot ) ?[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9])", re.I)),
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: at | ?@ )[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9])", re.I)),
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?@ ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9])")),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({]at[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({]dot[\])}]| dot ) ?[A-Za-z0-9-]{1,63})+(?![A-Za-z0-9])", re.I)),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: at | ?@ )[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})+(?![A-Za-z0-9])", re.I)),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?@ ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+(?![A-Za-z0-9])")),
     (1, re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]| dot )[0-9]{1,3}){3}(?![0-9])", re.I)),
     (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])")),
     (2, re.compile(r"(?<![0-9])[0-9]{4}(?:[./_ ]{1,2}[0-9]{4}){2}[./_ ]{1,2}[0-9]{2,7}(?![0-9])")),
@@ -156,20 +156,31 @@ def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
     for _, e in taken:
         top = max(top, e)
         reach.append(top)
-    out: list[tuple[int, int, int]] = []
-    own: list[tuple[list[int], list[int]]] = [([], []) for _ in KINDS]  # starts and ends of what a kind has, in order
+    own: list[list[tuple[int, int]]] = [[] for _ in KINDS]  # what a kind has, in order
     for kind, pattern in WIDE:
-        begins, ends = own[kind]
-        for m in pattern.finditer(text):
+        has = own[kind]
+        begins, new = [s for s, _ in has], []
+        for m in pattern.finditer(text):  # a pattern's matches do not overlap each other
             s, e = m.span()
-            at = int(np.searchsorted(starts, e, side="left")) if starts else 0
-            i = bisect_left(begins, e)
-            if (at and reach[at - 1] > s) or (i and ends[i - 1] > s):
-                continue
-            begins.insert(i, s)
-            ends.insert(i, e)
-            out.append((s, kind, e))
-    return sorted(out)
+            at, i = bisect_left(starts, e), bisect_left(begins, e)
+            if not (at and reach[at - 1] > s) and not (i and has[i - 1][1] > s):
+                new.append((s, e))
+        if new:
+            own[kind] = sorted(has + new)
+    return sorted((s, kind, e) for kind, has in enumerate(own) for s, e in has)
+
+
+def accepted(base: list[tuple[int, int, int]], ranked: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The base, and of the ranked spans, in order, each that overlaps nothing taken before."""
+    taken = bytearray(max([e for _, _, e in base] + [e for _, _, e in ranked], default=0))
+    out = list(base)
+    for s, _, e in base:
+        taken[s:e] = b"\1" * (e - s)
+    for s, k, e in ranked:
+        if taken.find(1, s, e) < 0:
+            taken[s:e] = b"\1" * (e - s)
+            out.append((s, k, e))
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -271,9 +282,10 @@ def find(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     The counts and ``base_spans`` are the base's; ``spans`` adds candidates that the
     classifier gives ``threshold`` or more and that overlap nothing taken before
-    (the likelier first, then the earlier); ``n_spans`` counts them all.  Positions are code points, the end
-    exclusive.  A null or empty text has no spans; repeated rows each get their own;
-    other columns are ignored.
+    (the likelier first, of equally likely ones the earlier, then by kind); ``n_spans`` counts
+    them all.  Positions are code points, the end exclusive.  A null or empty text has no
+    spans; repeated rows each get their own; texts are searched whole, in time that grows
+    with their length and spans alone; an empty table gives an empty one; other columns are ignored.
     """
     scanned = cut(scan(docs))
     models = fit(scanned)
@@ -291,10 +303,9 @@ def find(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 if rest:
                     votes, features = decode(np.array([r[3] for r in rest]))
                     x = _design(votes, features)
-                    odds = [float(x[i] @ models[r[0]]) for i, r in enumerate(rest)]
-                    for z, (k, s, e, _) in sorted(zip(odds, rest, strict=True), key=lambda v: (-v[0], v[1][1], v[1][0])):
-                        if 1 / (1 + np.exp(-z)) >= threshold and all(e <= a or s >= b for a, _, b in kept):
-                            kept.append((s, k, e))
+                    odds = (x * np.stack([models[r[0]] for r in rest])).sum(axis=1)
+                    likely = sorted((-z, s, k, e) for z, (k, s, e, _) in zip(odds.tolist(), rest, strict=True) if 1 / (1 + np.exp(-z)) >= threshold)
+                    kept = accepted(kept, [(s, k, e) for _, s, k, e in likely])
                 out[5].append(_join(kept))
                 out[6].append(len(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.string()) for c in out[4:6]), pa.array(out[6], pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "n_spans"])
