@@ -9,7 +9,7 @@ has left over.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_rank, cut
@@ -36,11 +36,28 @@ def cut_links(linked: DataFrame) -> float:
     return row["x"] or 0.0
 
 
+def within_quota(wishes: DataFrame, free: list[int], turn: int) -> DataFrame:
+    """wishes (g, m, to): those that are granted, in the order of a hash, while their rows fit into the shard's free room.
+
+    The running sum is taken within buckets of groups, on top of the sum of the buckets
+    before, so no task meets all wishes for a shard.
+    """
+    n = wishes.count()
+    luck = F.xxhash64("g", F.lit(-1 - turn))
+    rows = wishes.withColumn("_luck", luck).withColumn("_bucket", F.pmod(luck, F.lit(max(1, -(-n // (len(free) * RANK_ROWS))))))
+    sums = rows.groupBy("to", "_bucket").agg(F.sum("m").alias("_sum"))
+    before = Window.partitionBy("to").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("to", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    upto = F.sum("m").over(Window.partitionBy("to", "_bucket").orderBy("_luck", "g").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_upto", upto).join(sums, ["to", "_bucket"])
+    return rows.where(F.col("_upto") + F.col("_before") <= _pick(free, F.col("to"))).select(*wishes.columns)
+
+
 def propagate(linked: DataFrame, shards: int, room: int, rounds: int = ROUNDS) -> DataFrame:
-    """linked (g, shard, ...): moves groups of one g onto one shard, at most ``room`` rows in each shard by moving.
+    """linked (g, shard, ...): moves groups of one g onto one shard, so that no shard holds more than ``room`` rows of settled groups.
 
     Groups must be of ``room`` rows at most.  A group too large for all shards' free
-    room, or not reached in ``rounds``, stays spread.
+    room, not granted its wish, or not reached in ``rounds``, stays spread.
     """
     for turn in range(rounds):
         pieces = linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -58,9 +75,7 @@ def propagate(linked: DataFrame, shards: int, room: int, rounds: int = ROUNDS) -
         asked = _by_shard(wishes.select(F.col("to").alias("shard"), "m"), shards, F.sum("m"))
         if not any(asked):
             break
-        share = [1.0 if a <= f else f / a for a, f in zip(asked, free, strict=True)]
-        luck = F.pmod(F.xxhash64("g", F.lit(-1 - turn)), F.lit(1 << 20)) / float(1 << 20)
-        moves = wishes.where(luck < _pick(share, F.col("to"))).select("g", "to")
+        moves = within_quota(wishes, free, turn).select("g", "to")
         linked = cut(linked.join(moves, "g", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"))
     return linked
 
