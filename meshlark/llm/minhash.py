@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_values, chunks, cut, mix, partitions, prefix_hash, span_hash, store, text_buffer, word_spans
-from .graph import components
-from .simhash import _stars
+from .graph import components, stars
 
 SHINGLE, BANDS, ROWS = 3, 40, 7
 BINS = BANDS * ROWS
@@ -65,7 +64,7 @@ def _long_word_hashes(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes and each text's first word -> shingle hashes, distinct and sorted within each text, and the number of each text."""
     n, lengths = len(words), np.diff(first)
     h = np.full(n, k, dtype=np.uint64)
@@ -85,8 +84,8 @@ def _shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return h, np.bincount(owner, minlength=len(lengths))
 
 
-def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Blocks of texts: the first one's place, their shingle sets one after the other, and the sets' sizes.
+def word_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of texts: the first one's place, the hashes of all words, and each text's first word.
 
     A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D.
     """
@@ -95,10 +94,15 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.
         block = LOWER[data[offsets[a] : offsets[b]]]
         if len(block) > PIECE:  # one text alone
             words = _long_word_hashes(block)
-            first = np.array([0, len(words)])
+            yield a, words, np.array([0, len(words)])
         else:
-            words, first = _word_hashes(block, offsets[a : b + 1] - offsets[a])
-        yield a, *_shingles(words, first, k)
+            yield a, *_word_hashes(block, offsets[a : b + 1] - offsets[a])
+
+
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of texts: the first one's place, their shingle sets one after the other, and the sets' sizes."""
+    for a, words, first in word_blocks(texts):
+        yield a, *shingles(words, first, k)
 
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -300,7 +304,7 @@ def _link_cell(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], share
     near = 100 * shared >= share * (sizes[:, None] + sizes[None, :] - shared)
     if side.any():
         near &= side[:, None] != side[None, :]
-    return _stars(node, *np.nonzero(np.triu(near, 1)))
+    return stars(node, *np.nonzero(np.triu(near, 1)))
 
 
 def _compared(rows: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -330,9 +334,16 @@ def _compared(rows: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return dealt.repartition(partitions(rows), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, share: int = 85, k: int = SHINGLE) -> DataFrame:
-    """nodes (node, first, n, s1, s2, bands), distinct sets -> (node, root: long) of the nodes with a link."""
-    keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "node", "n")
+def banded(nodes: DataFrame) -> DataFrame:
+    """nodes (node, n, bands, ...) -> (key, node, n): the buckets of each."""
+    return nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "node", "n")
+
+
+def links(docs: DataFrame, nodes: DataFrame, keyed: DataFrame, share: int = 85, k: int = SHINGLE) -> DataFrame:
+    """nodes (node, first, n, s1, s2, ...), distinct sets, and keyed (key, node, n), their buckets -> (node, root: long) of the nodes with a link.
+
+    All pairs that share a bucket are compared, as far as a link between them could matter.
+    """
     crowd = _sized(keyed)
     crowd = cut(crowd.join(crowd.groupBy("node").agg(F.sum("c").alias("w")), "node"))
     star = crowd.join(crowd.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("minus"), "n")).alias("hub")), "key")
@@ -370,7 +381,7 @@ def near_classes(docs: DataFrame, share: int = 85, k: int = SHINGLE) -> DataFram
     key = ["n", "s1", "s2"]
     some = rows.where("n > 0")
     nodes = store(some.groupBy(*key).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
-    linked = links(docs, nodes, share, k)
+    linked = links(docs, nodes, banded(nodes), share, k)
     named = nodes.select("node", *key, "first").join(linked, "node")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     named = named.join(least, "root").select(*key, "least")

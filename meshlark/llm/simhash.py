@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, mix, partitions
-from .graph import components
+from .graph import components, stars
 
 SEED = 42
 #: Rows of one probe key that one task compares; larger ones are dealt out as pairs of parts.
@@ -182,24 +182,6 @@ def _compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.
     return np.concatenate(left), np.concatenate(right)
 
 
-def _stars(nodes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node but the least of its component, and that least one: at most a link for each node."""
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    out = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[out], nodes[label[out]]
-
-
 def _link_run(key: np.ndarray, part: np.ndarray, fp: np.ndarray, radius: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows sorted by key, as stars.
 
@@ -229,14 +211,14 @@ def _link_run(key: np.ndarray, part: np.ndarray, fp: np.ndarray, radius: int, ow
             x, y = _compare(run[one], run[two], radius, False)
             x, y = one[x], two[y]
         # links of a block are many where copies crowd; keep a spanning set of them
-        nodes, roots = _stars(np.arange(n), x, y)
+        nodes, roots = stars(np.arange(n), x, y)
         xs.append(nodes + a)
         ys.append(roots + a)
     if not xs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y = np.concatenate(xs), np.concatenate(ys)
     nodes, rows = np.unique(fp, return_inverse=True)
-    return _stars(nodes, rows[x], rows[y])
+    return stars(nodes, rows[x], rows[y])
 
 
 def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:

@@ -29,8 +29,8 @@ def shingles(text, k=3):
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-def plain_classes(rows, share):
-    sets = [shingles(t) for _, t in rows]
+def plain_classes(rows, share, k=3):
+    sets = [shingles(t, k) for _, t in rows]
     parent = list(range(len(rows)))
 
     def top(i):
