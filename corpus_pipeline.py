@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import decontam, langid, mixing, sharding, simhash
-from meshlark.llm.common import cut, store
+from meshlark.llm import decontam, langid, mixing, near, sharding
+from meshlark.llm.common import store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose language is less likely than this, or which has none, goes.
@@ -31,29 +31,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class; of rows that repeat it, one.
+    """Keeps one document of each class of near-duplicates: links are a similarity of 0.8 or more of the sets of five-word shingles.
 
-    An id names a document: rows that share one go together if any of them is a copy
-    of another document; else one of each of their classes stays.  A null id names
-    none: such a row goes if its class has a document with an id, and one of each
-    class without stays.
+    SimHash fingerprints find the candidates, the whole sets decide.  The row with the
+    smallest id stays, null ids come last; of rows that repeat it and its text, one.  Each
+    row is judged by its own text, so other texts under a shared or null id stay.  A null
+    or blank text has no words, and such texts are copies of each other.
     """
-    docs = docs.select(*COLUMNS)
-    rows = cut(simhash.fingerprints(docs, shingle=3))
-    classes = simhash.fingerprint_classes(rows, radius=3)
-    rest = rows.join(classes, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(rest, docs["doc_id"] == rest["_gone"], "left_anti")
-    shared = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_shared")))
-    if shared.isEmpty():
-        return kept
-    named, same = kept.where("doc_id is not null"), kept["doc_id"] == shared["_shared"]
-    loose = kept.where("doc_id is null").unionByName(named.join(shared, same, "left_semi"))
-    # copies collapse before they meet their class, so that none is a hot key
-    least = F.min(F.struct(*COLUMNS[1:])).alias("_row")
-    loose = simhash.with_fingerprints(loose, shingle=3).groupBy("doc_id", "_fp").agg(least)
-    loose = loose.join(classes.withColumnRenamed("fp", "_fp"), "_fp").where("doc_id is not null or component_id is null")
-    loose = loose.groupBy("doc_id", "root").agg(F.min("_row").alias("_row")).select("doc_id", "_row.*")
-    return named.join(shared, same, "left_anti").unionByName(loose)
+    return near.keep_one(docs, COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
