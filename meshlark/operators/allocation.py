@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-import itertools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +43,10 @@ def segment_needs(seg_devices: DataFrame) -> DataFrame:
     return needs.withColumn("prefix", addr.smallest_prefix(F.greatest("hosts", F.lit(1))))
 
 
-def autoaddress(devices: DataFrame, links: DataFrame, base: str = "192.168.0.0", prefix: int = 16) -> tuple[DataFrame, DataFrame]:
-    """A fresh IPv4 plan: (arch_id, segment, network, prefix, mask, usable, hosts, fits) and (arch_id, segment, device, address)."""
+def _place(seg_devices: DataFrame, base: str, prefix: int) -> tuple[DataFrame, DataFrame]:
     start = sum(int(x) << s for x, s in zip(base.split("."), (24, 16, 8, 0), strict=True))
     if start % (1 << (32 - prefix)):
         raise ValueError(f"{base}/{prefix} is not a network")
-    _, seg_devices = segments(devices, links)
     blocks = vlsm(segment_needs(seg_devices), start, prefix)
     rank = F.row_number().over(Window.partitionBy("arch_id", "segment").orderBy(role_order(F.col("type")), "device_pos"))
     hosts = seg_devices.where("is_host").withColumn("n", rank).join(blocks.select("arch_id", "segment", "network"), ["arch_id", "segment"])
@@ -61,14 +57,20 @@ def autoaddress(devices: DataFrame, links: DataFrame, base: str = "192.168.0.0",
     return plan, given
 
 
+def autoaddress(devices: DataFrame, links: DataFrame, base: str = "192.168.0.0", prefix: int = 16) -> tuple[DataFrame, DataFrame]:
+    """A fresh IPv4 plan: (arch_id, segment, network, prefix, mask, usable, hosts, fits) and (arch_id, segment, device, address)."""
+    return _place(segments(devices, links)[1], base, prefix)
+
+
 def readdress(devices: DataFrame, links: DataFrame, base: str = "192.168.0.0", prefix: int = 16) -> tuple[DataFrame, DataFrame]:
     """Devices and links with every IPv4 block written anew: ``autoaddress`` put back into the documents.
 
     A link has its segment's network and its ends' addresses there; a device has the
     address on its first link that gives it one, else an empty block.  IPv6 blocks stay.
     """
-    seg_links, _ = segments(devices, links)
-    plan, given = (cut(x) for x in autoaddress(devices, links, base, prefix))
+    devices, links = cut(devices), cut(links)  # read by every round of the segments' components and again below
+    seg_links, seg_devices = segments(devices, links)
+    plan, given = (cut(x) for x in _place(cut(seg_devices), base, prefix))
     nets = seg_links.select("arch_id", "pos", "segment").join(plan.select("arch_id", "segment", "network", F.col("prefix").alias("p"), "mask"), ["arch_id", "segment"])
     ends = links.select("arch_id", "pos", F.explode(F.array(F.struct(F.lit("source").alias("side"), F.col("source").alias("device")), F.struct(F.lit("target").alias("side"), F.col("target").alias("device")))).alias("e"))
     ends = cut(ends.select("arch_id", "pos", "e.*").join(nets, ["arch_id", "pos"]).join(given, ["arch_id", "segment", "device"]))
@@ -83,25 +85,29 @@ def readdress(devices: DataFrame, links: DataFrame, base: str = "192.168.0.0", p
 
 
 def vlsm6(needs: DataFrame, base: str, prefix: int) -> DataFrame:
-    """needs (arch_id, segment_no, prefix) -> with ``network`` (canonical text) and ``fits``: IPv6 blocks, packed like IPv4's.
+    """needs (arch_id, segment_no, prefix) -> with ``net`` (limbs), ``network`` (canonical text) and ``fits``: IPv6 blocks, packed like IPv4's.
 
-    Offsets have 128 bits, which no Spark number holds, so they are summed in Arrow
-    batches, a document at a time.
+    A running sum of block sizes, limb by limb; carries are settled afterwards.  A document
+    whose blocks exceed the base gets ``fits`` false and NULL networks.
     """
     space = ipaddress.IPv6Network((base, prefix))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["prefix", "segment_no"])
-        sizes = [1 << (128 - int(p)) for p in rows["prefix"]]
-        starts = list(itertools.accumulate([0, *sizes]))
-        fits = starts[-1] <= space.num_addresses
-        rows["fits"] = fits
-        rows["network"] = [str(space[s]) if fits else None for s in starts[:-1]]
-        return rows[["arch_id", "segment_no", "prefix", "network", "fits"]]
-
-    kind = dict(needs.dtypes)
-    rows = needs.select("arch_id", "segment_no", F.col("prefix").cast("int").alias("prefix"))
-    return rows.groupBy("arch_id").applyInPandas(run, f"arch_id {kind['arch_id']}, segment_no {kind['segment_no']}, prefix int, network string, fits boolean")
+    size = ipv6.size(F.col("prefix"))
+    order = Window.partitionBy("arch_id").orderBy("prefix", "segment_no").rowsBetween(Window.unboundedPreceding, -1)
+    names = ("o", *ipv6.LIMBS)
+    before = ipv6.carried(F.struct(*[F.coalesce(F.sum(size[n]).over(order), F.lit(0).cast("bigint")).alias(n) for n in names]))
+    whole = ipv6.carried(F.struct(*[F.sum(size[n]).over(Window.partitionBy("arch_id")).alias(n) for n in names]))
+    fits = whole <= ipv6.size(F.lit(prefix))
+    net = ipv6.narrowed(ipv6.plus(ipv6.widened(ipv6.literal(int(space.network_address))), F.col("_before")))
+    rows = needs.withColumn("_before", before).withColumn("fits", fits).withColumn("net", F.when(F.col("fits"), net)).drop("_before")
+    return rows.withColumn("network", ipv6.text_of(F.col("net")))
+
+
+def smallest_prefix6(hosts: Column) -> Column:
+    """The longest prefix of /64 to /126 that holds the hosts and the anycast address."""
+    tight = F.lit(None).cast("int")
+    for p in range(64, 127):
+        tight = F.when(hosts <= F.lit(float((1 << (128 - p)) - 1)), F.lit(p)).otherwise(tight)
+    return tight
 
 
 def autoaddress6(devices: DataFrame, links: DataFrame, base: str = "2001:db8::", prefix: int = 48, segment_prefix: int | None = 64) -> tuple[DataFrame, DataFrame]:
@@ -109,14 +115,12 @@ def autoaddress6(devices: DataFrame, links: DataFrame, base: str = "2001:db8::",
 
     Returns (arch_id, segment, network, prefix, hosts, fits) and (arch_id, segment, device, address).
     """
-    _, seg_devices = segments(devices, links)
+    seg_devices = cut(segments(devices, links)[1])
     needs = seg_devices.groupBy("arch_id", "segment", "segment_no").agg(F.count_if("is_host").alias("hosts"))
-    tight = F.lit(None).cast("int")
-    for p in range(64, 127):  # the longest prefix that holds the hosts and the anycast address
-        tight = F.when(F.col("hosts") <= F.lit(float((1 << (128 - p)) - 1)), F.lit(p)).otherwise(tight)
-    needs = needs.withColumn("prefix", F.lit(segment_prefix) if segment_prefix is not None else tight)
-    blocks = vlsm6(needs, base, prefix).drop("prefix").join(needs, ["arch_id", "segment_no"])
+    needs = needs.withColumn("prefix", F.lit(segment_prefix) if segment_prefix is not None else smallest_prefix6(F.col("hosts")))
+    blocks = vlsm6(needs, base, prefix)
     rank = F.row_number().over(Window.partitionBy("arch_id", "segment").orderBy(role_order(F.col("type")), "device_pos"))
-    hosts = seg_devices.where("is_host").withColumn("n", rank).join(blocks.select("arch_id", "segment", "network", "prefix"), ["arch_id", "segment"])
-    given = hosts.select("arch_id", "segment", "device", ipv6.resolve_suffix("network", "prefix", F.col("n").cast("long"))["address"].alias("address"))
+    hosts = seg_devices.where("is_host").withColumn("n", rank).join(blocks.select("arch_id", "segment", "net"), ["arch_id", "segment"])
+    address = ipv6.text_of(ipv6.narrowed(ipv6.plus(ipv6.widened(F.col("net")), ipv6.of_long(F.col("n").cast("long")))))
+    given = hosts.select("arch_id", "segment", "device", F.when(F.col("net").isNotNull(), address).alias("address"))
     return blocks.select("arch_id", "segment", "network", "prefix", "hosts", "fits"), given

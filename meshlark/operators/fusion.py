@@ -15,7 +15,7 @@ from ..functions import geometry as G
 from ..functions.scores import combine, tier
 from ..plans.lineage import cut
 from ..sources.detections import number
-from . import kernels, matching
+from . import grouping, matching, spatial
 
 STORED = ("accepted", "flagged")
 ADDRESS_KINDS = ("ipv4", "ipv4_cidr", "subnet_mask", "ipv6", "ipv6_cidr")
@@ -122,7 +122,7 @@ def associate(items: DataFrame, devices: DataFrame, max_gap: float) -> DataFrame
 
 def place_groups(parsed: DataFrame, devices: DataFrame) -> DataFrame:
     """(image_id, text_id, group_no, status, device_id, confidence): texts in groups, and where their group belongs."""
-    members = kernels.group_texts(parsed).join(parsed.select("image_id", "text_id", "box", "ocr"), ["image_id", "text_id"])
+    members = grouping.group_texts(parsed).join(parsed.select("image_id", "text_id", "box", "ocr"), ["image_id", "text_id"])
     box = G.rect(F.min("box.x1"), F.min("box.y1"), F.max("box.x2"), F.max("box.y2"))
     groups = members.groupBy("image_id", "group_no").agg(box.alias("box"), F.avg("ocr").alias("ocr"), F.first("group_confidence").alias("semantic"))
     placed = associate(groups.withColumn("text_id", F.col("group_no").cast("string")), devices, matching.GROUP_GAP)
@@ -223,8 +223,8 @@ def links(cables: DataFrame, devices: DataFrame) -> tuple[DataFrame, DataFrame]:
 def label_links(parsed: DataFrame, good: DataFrame, devices: DataFrame) -> DataFrame:
     """Network labels on links: (image_id, label_id, link_id, status, confidence, version, network, prefix, mask, applied, conflict)."""
     labels = parsed.where("network_form").select("image_id", F.col("text_id").alias("label_id"), "box", "angle", "ocr", "version", "network", "prefix", "mask", "height")
-    near = labels.select("image_id", "label_id", F.col("box").alias("label_box")).join(devices.select("image_id", F.col("box").alias("device_box")), "image_id")
-    gap = near.groupBy("image_id", "label_id").agg(F.min(G.gap(F.col("label_box"), F.col("device_box"))).alias("device_gap"))
+    near = spatial.nearest(labels.select("image_id", "label_id", "box"), devices.select("image_id", "device_id", "box"), "image_id", "label_id", "device_id")
+    gap = near.select("image_id", "label_id", F.col("gap").alias("device_gap"))
     middle = matching.link_midpoint(F.col("polyline"), F.col("start"), F.col("end"), F.col("segments"))
     lines = good.select("image_id", "link_id", "segments", middle.alias("middle"))
     lines = lines.withColumn("link_box", G.rect_from_points(F.flatten(F.transform("segments", lambda s: F.array(s["p1"], s["p2"])))))
@@ -294,7 +294,7 @@ def resolve_suffixes(parsed: DataFrame, good: DataFrame, labels: DataFrame, devi
 # ------------------------------------------------------------------ the whole
 def fuse(devices: DataFrame, texts: DataFrame, cables: DataFrame) -> dict[str, DataFrame]:
     """All passes over many images: parsed, groups, names, bindings, links, refused, labels, suffixes, nodes, ends, edges, unresolved."""
-    gone = kernels.suppress(devices, matching.duplicate_boxes(devices))
+    gone = spatial.suppress(devices, matching.duplicate_boxes(devices))
     devices = cut(devices.join(gone.select("image_id", "device_id"), ["image_id", "device_id"], "left_anti"))
     parsed = cut(addresses_of(parse_texts(texts)))
     groups = cut(place_groups(parsed, devices))

@@ -251,9 +251,11 @@ def batch_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches bound to a revision, all or nothing, with what follows from them."""
     rows = _cased(spark, sf_dir, [b for b, *_ in BATCHES])
     current = F.get(F.array(*[F.lit(x) for _, x, *_ in BATCHES]), F.col("case"))
-    out = corrections.correct_batches(rows.withColumn("revision", F.when(current, sinks.revision(F.col("raw"))).otherwise("old")))
-    at = lambda path: F.get_json_object("raw", path)
-    return out.select("arch_id", "status", at("$.devices[0].network.ip_address").alias("ip"), at("$.devices[0].network.subnet_mask").alias("mask"), at("$.devices[0].network.network_address").alias("base"), at("$.links[0].source").alias("source"), at("$.links[0].network.source_ip").alias("end"))
+    status, devices, links = corrections.correct_batches(rows.withColumn("revision", F.when(current, sinks.revision(F.col("raw"))).otherwise("old")))
+    first = lambda df, *columns: df.where("pos = 0").select("arch_id", *columns)
+    one = first(devices, F.col("ip_address.text").alias("ip"), F.col("subnet_mask.text").alias("mask"), F.col("network_address.text").alias("base"))
+    two = first(links, F.col("source.text").alias("source"), F.col("source_ip.text").alias("end"))
+    return status.join(one, "arch_id").join(two, "arch_id").select("arch_id", "status", "ip", "mask", "base", "source", "end")
 
 
 _KEYED = lambda v: "concat(" + ", ".join(f"'{p}'" if i % 2 == 0 else "k" for i, p in enumerate([x for part in v.split("K") for x in (part, "K")][:-1])) + ")"
@@ -272,9 +274,10 @@ SINGLES = [
 
 def single_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections one by one, with an outcome for each."""
-    out = corrections.correct_each(_cased(spark, sf_dir, [c for c, *_ in SINGLES]))
-    codes = F.array_join(F.transform(F.from_json("outcomes", "array<struct<code: string>>"), lambda x: x["code"]), ",")
-    return out.select("arch_id", codes.alias("codes"), F.get_json_object("raw", "$.devices[0].network.ip_address").alias("ip"), F.get_json_object("raw", "$.links[0].network.source_ip").alias("end"))
+    outcomes, devices, links = corrections.correct_each(_cased(spark, sf_dir, [c for c, *_ in SINGLES]))
+    codes = outcomes.groupBy("arch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "code"))), lambda x: x["code"]), ",").alias("codes"))
+    one, two = devices.where("pos = 0").select("arch_id", F.col("ip4").alias("ip")), links.where("pos = 0").select("arch_id", F.col("source_ip4").alias("end"))
+    return codes.join(one, "arch_id").join(two, "arch_id").select("arch_id", "codes", "ip", "end")
 
 
 SINGLE_SQL = "\nUNION ALL ".join(f"SELECT c_custkey::VARCHAR AS arch_id, '{codes}' AS codes, {_KEYED(ip)} AS ip, {_KEYED(ip)} AS \"end\" FROM (SELECT c_custkey, c_custkey % 200 AS k FROM customer WHERE c_custkey % {len(SINGLES)} = {i})" for i, (_, codes, ip) in enumerate(SINGLES))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import ipv6
 from ..operators import allocation, entry, kernels, matching, plan, search, validation
 from ..sources import cards
 from . import answers, planted, values
-from .lineage import checkpoint_folder
+from .lineage import checkpoint_folder, cut
 from .views import dotted
 
 
@@ -78,6 +79,50 @@ FROM seg JOIN block b ON b.k = seg.k AND b.no = seg.no LEFT JOIN given s ON s.k
 )
 
 
+# ------------------------------------------------------------------ IPv6 plans
+BASE6 = "2001:db8:0:ffff::"
+
+
+def packed_blocks6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of /64 to /128 for each customer's orders, packed into a /63, which some exceed."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    needs = orders.select(F.col("o_custkey").alias("arch_id"), F.col("o_orderkey").alias("segment_no"), (64 + F.col("o_orderkey") * 7 % 65).cast("int").alias("prefix"))
+    out = allocation.vlsm6(needs, "2001:db8:0:fffe::", 63)
+    return out.select("arch_id", "segment_no", "prefix", ipv6.hex32(ipv6.parse("network")).alias("network"), "fits")
+
+
+def _hex(v: str) -> str:
+    return f"concat(printf('%016x', (({v}) >> 64::HUGEINT)::UBIGINT), printf('%016x', (({v}) & 18446744073709551615::HUGEINT)::UBIGINT))"
+
+
+# 2001:db8:0:fffe:: is (0x20010db8 * 2**32 + 0xfffe) * 2**64
+PACKED6_SQL = f"""
+WITH n AS (SELECT o_custkey AS arch_id, o_orderkey AS segment_no, (64 + o_orderkey * 7 % 65)::INTEGER AS prefix FROM orders),
+z AS (SELECT *, 1::HUGEINT << (128 - prefix)::HUGEINT AS size FROM n),
+s AS (SELECT *, sum(size) OVER (PARTITION BY arch_id) AS whole, sum(size) OVER (PARTITION BY arch_id ORDER BY prefix, segment_no ROWS UNBOUNDED PRECEDING) - size AS off FROM z)
+SELECT arch_id, segment_no, prefix, CASE WHEN whole <= 1::HUGEINT << 65::HUGEINT THEN {_hex("((536939960::HUGEINT * 4294967296 + 65534) << 64::HUGEINT) + off")} END AS network, whole <= 1::HUGEINT << 65::HUGEINT AS fits FROM s"""
+
+
+def addressed_hosts6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tight IPv6 plan for planted documents out of a /123, which documents of many hosts exceed: the hosts' addresses."""
+    devices, links = planted.tables(spark, sf_dir)
+    known = cut(validation._known(devices))
+    blocks, given = allocation.autoaddress6(known, cut(validation.valid_links(links, known)), BASE6 + "ffe0", 123, None)
+    fits = blocks.select("arch_id", "segment", "prefix", "fits")
+    return given.join(fits, ["arch_id", "segment"]).select("arch_id", "segment", "device", "prefix", "fits", ipv6.hex32(ipv6.parse("address")).alias("address"))
+
+
+HOSTS6_SQL = (
+    planted.VALIDATION.split(",\nfound(")[0]
+    + f""",
+{{who}},
+need AS (SELECT s.k, s.no, 128 - greatest(2, ceil(log2(coalesce(h.hosts, 0) + 1)))::INT AS prefix FROM (SELECT DISTINCT k, no FROM seg) s LEFT JOIN hosts h ON h.k = s.k AND h.no = s.no),
+block AS (SELECT *, sum(1::BIGINT << (128 - prefix)) OVER (PARTITION BY k ORDER BY prefix, no ROWS UNBOUNDED PRECEDING) - (1::BIGINT << (128 - prefix)) AS off, sum(1::BIGINT << (128 - prefix)) OVER (PARTITION BY k) AS whole FROM need)
+SELECT w.k AS arch_id, concat('segment_', w.no) AS segment, w.id AS device, b.prefix, b.whole <= 32 AS fits, CASE WHEN b.whole <= 32 THEN {_hex("((536939960::HUGEINT * 4294967296 + 65535) << 64::HUGEINT) + 65504 + (off + row_number() OVER (PARTITION BY w.k, w.no ORDER BY CASE lower(known.type) WHEN 'router' THEN 0 WHEN 'server' THEN 2 WHEN 'switch' THEN 3 ELSE 4 END, known.pos))::HUGEINT")} END AS address
+FROM who w JOIN block b ON b.k = w.k AND b.no = w.no JOIN known ON known.k = w.k AND known.id = w.id"""
+).replace("{who}", READDRESS_SQL[READDRESS_SQL.index("who AS (") : READDRESS_SQL.index(",\nneed AS")])
+
+
 # ------------------------------------------------------------------ scans and caches
 def hosting_by_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog written to and scanned from the shared folder; the cheapest fitting offer of each document."""
@@ -179,6 +224,8 @@ CATALOGUE: dict[str, tuple] = {
     "raw_readiness": (raw_readiness, RAW_SQL),
     "planned_documents": (planned_documents, PLANNED_SQL),
     "readdressed_documents": (readdressed_documents, READDRESS_SQL),
+    "packed_blocks6": (packed_blocks6, PACKED6_SQL),
+    "addressed_hosts6": (addressed_hosts6, HOSTS6_SQL),
     "hosting_by_catalog": (hosting_by_catalog, CATALOG_SQL),
     "scanned_cases": (scanned_cases, CASES_SQL),
     "scanned_cards": (scanned_cards, SCAN_SQL),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import fusion, kernels, matching
+from ..operators import fusion, grouping, kernels, matching, spatial
 
 SCENES = 8
 #: Boxes of a router and a PC, 320 apart; texts by case: (text, x1, y1, x2, y2), {n} for a number from the key.
@@ -110,7 +110,7 @@ def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     x = (k % 8) * 6.0
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.floor(k / 8).alias("image_id"), k.alias("device_id"), G.rect(x, F.lit(0.0), x + 40, F.lit(30.0)).alias("box"), (k * 37 % 101 / 101.0).alias("confidence"))
-    return kernels.suppress(rows, matching.duplicate_boxes(rows, 0.7))
+    return spatial.suppress(rows, matching.duplicate_boxes(rows, 0.7))
 
 
 SUPPRESS_SQL = """
@@ -128,13 +128,80 @@ def text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = G.rect(F.lit(0.0), F.lit(0.0), F.lit(60.0), F.lit(14.0))
     address = G.rect(F.col("dx"), F.col("g") + 14, F.col("dx") + 60, F.col("g") + 28)
     one = lambda i, kind, box: rows.select("image_id", F.lit(i).alias("text_id"), F.lit(kind).alias("kind"), F.lit(False).alias("network_form"), box.alias("box"), F.lit(14.0).alias("height"))
-    return kernels.group_texts(one("a", "device_name", name).unionByName(one("b", "ipv4", address))).withColumn("group_confidence", F.round("group_confidence", 6))
+    return grouping.group_texts(one("a", "device_name", name).unionByName(one("b", "ipv4", address))).withColumn("group_confidence", F.round("group_confidence", 6))
 
 
 GROUP_SQL = """
 WITH x AS (SELECT p_partkey AS image_id, p_partkey % 40 AS g, 0.4 * (1 - p_partkey % 40 / 28.0::DOUBLE) + 0.3 * (1 - p_partkey % 30 / 36.0::DOUBLE) + 0.1 + 0.2 AS s FROM part)
 SELECT image_id, text_id, 0 AS group_no, round(s, 6)::DOUBLE AS group_confidence FROM x CROSS JOIN (VALUES ('a'), ('b')) AS t(text_id) WHERE g <= 28 AND s >= 0.6"""
 
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six texts an image, placed by its key: a name, two addresses, one of them with a prefix in every third image, a mask, IPv6, and a second name."""
+    k = F.col("p_partkey")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("image_id"))
+    made = [F.struct(F.lit(i).alias("text_id"), F.expr(kind).alias("kind"), F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"), F.expr(w).cast("double").alias("w"), F.expr(h).cast("double").alias("h")) for i, kind, x, y, w, h in PLACED]
+    rows = rows.withColumn("k", F.col("image_id")).select("image_id", F.explode(F.array(*made)).alias("t")).select("image_id", "t.*")
+    return rows.select("image_id", "text_id", "kind", F.lit(False).alias("network_form"), G.rect(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("box"), F.col("h").alias("height"))
+
+
+#: (id, kind, x, y, width, height), each an expression of the key k in both dialects.
+PLACED = [
+    ("a", "'device_name'", "k % 7", "0", "50", "12 + k % 3"), ("b", "CASE WHEN k % 3 = 0 THEN 'ipv4_cidr' ELSE 'ipv4' END", "k % 11", "14 + k % 9", "60", "12"), ("c", "'subnet_mask'", "k % 5", "28 + k % 13", "64", "12 + k % 2"),
+    ("d", "'ipv6'", "k % 17", "42 + k % 23", "70", "11"), ("e", "'ipv4'", "55 + k % 29", "k % 31", "58", "12"), ("f", "'device_name'", "90 - k % 41", "30 + k % 19", "44", "13"),
+]
+
+
+def grouped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of two to four texts, with rivals of the same slot and masks beside prefixes."""
+    return grouping.group_texts(_texts(spark, sf_dir)).withColumn("group_confidence", F.round(F.col("group_confidence") + 1e-9, 6))
+
+
+_ROWS = " UNION ALL ".join(f"SELECT k, '{i}' AS id, {kind} AS kind, ({x})::DOUBLE AS x1, ({y})::DOUBLE AS y1, ({x} + {w})::DOUBLE AS x2, ({y} + {h})::DOUBLE AS y2, ({h})::DOUBLE AS h FROM k" for i, kind, x, y, w, h in PLACED)
+GROUPED_SQL = f"""
+WITH RECURSIVE k AS (SELECT p_partkey AS k FROM part), t0 AS ({_ROWS}),
+t AS MATERIALIZED (SELECT *, CASE WHEN kind = 'device_name' THEN 0 WHEN kind IN ('ipv4', 'ipv4_cidr') THEN 1 WHEN kind = 'subnet_mask' THEN 2 ELSE 3 END AS o, ascii(id) - 96 AS no FROM t0),
+fit(f, g, fit) AS (VALUES (0, 1, 1.0::DOUBLE), (1, 2, 1.0), (0, 2, 0.6), (0, 3, 1.0), (1, 3, 0.9), (2, 3, 0.8)),
+p AS (SELECT a.k, a.no AS a, b.no AS b, a.o AS ao, b.o AS bo, fit, (a.h + b.h) / 2 AS unit, greatest(0, b.x1 - a.x2, a.x1 - b.x2) AS sx, greatest(0, b.y1 - a.y2, a.y1 - b.y2) AS sy, (b.x1 + b.x2 - a.x1 - a.x2) / 2 AS dx, (b.y1 + b.y2 - a.y1 - a.y2) / 2 AS dy,
+ least(abs(a.x1 - b.x1), abs(a.x2 - b.x2)) AS edge, greatest(a.x2 - a.x1, b.x2 - b.x1) AS wide, greatest(a.y2 - a.y1, b.y2 - b.y1) AS high FROM t a JOIN t b ON a.k = b.k AND a.no < b.no JOIN fit ON f = least(a.o, b.o) AND g = greatest(a.o, b.o)),
+q AS (SELECT *, sqrt(sx * sx + sy * sy) AS away, CASE WHEN sy >= sx THEN least(abs(dx), edge) ELSE abs(dy) END AS shift, CASE WHEN sy >= sx THEN wide ELSE high END AS span, CASE WHEN ao <= bo THEN 1 ELSE -1 END AS turn FROM p),
+s AS MATERIALIZED (SELECT k, a, b, ao, bo, 0.40 * (1 - away / (2 * unit)) + 0.30 * least(1, greatest(0, 1 - shift / greatest(0.6 * span, 1))) + 0.10 * CASE WHEN CASE WHEN abs(dy) > 0.5 * unit THEN dy * turn > 0 ELSE dx * turn >= 0 END THEN 1.0 ELSE 0.6 END + 0.20 * fit AS s FROM q WHERE away <= 2 * unit),
+e AS (SELECT k, a, b, s, row_number() OVER (PARTITION BY k ORDER BY s DESC, a, b) AS n FROM s WHERE s >= 0.6 AND NOT EXISTS (SELECT 1 FROM s r WHERE r.k = s.k AND r.s >= 0.6 AND (r.a, r.b) <> (s.a, s.b) AND r.s >= s.s - 0.08
+ AND ((r.a = s.a AND r.bo = s.bo) OR (r.b = s.a AND r.ao = s.bo) OR (r.a = s.b AND r.bo = s.ao) OR (r.b = s.b AND r.ao = s.ao)))),
+start AS (SELECT k, list(no ORDER BY no) AS lab, list(1 << o | CASE WHEN kind = 'ipv4_cidr' THEN 16 ELSE 0 END ORDER BY no) AS bits FROM t GROUP BY k),
+w AS (SELECT k, 0::BIGINT AS n, lab, bits, [0.0::DOUBLE, 0, 0, 0, 0, 0] AS total, [0, 0, 0, 0, 0, 0] AS times FROM start
+ UNION ALL SELECT k, n, list_transform(lab, lambda l: CASE WHEN ok AND l IN (la, lb) THEN least(la, lb) ELSE l END), list_transform(bits, lambda x, i: CASE WHEN ok AND lab[i] IN (la, lb) THEN ga | gb ELSE x END),
+ list_transform(total, lambda x, i: CASE WHEN ok AND lab[i] IN (la, lb) THEN total[la] + total[lb] + s ELSE x END), list_transform(times, lambda x, i: CASE WHEN ok AND lab[i] IN (la, lb) THEN times[la] + times[lb] + 1 ELSE x END)
+ FROM (SELECT *, la <> lb AND ga & gb = 0 AND NOT ((ga | gb) & 4 > 0 AND (ga | gb) & 16 > 0) AS ok FROM (SELECT w.k, e.n, lab, bits, total, times, e.s, lab[e.a] AS la, lab[e.b] AS lb, bits[e.a] AS ga, bits[e.b] AS gb FROM w JOIN e ON e.k = w.k AND e.n = w.n + 1))),
+f AS (SELECT k, lab, total, times FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1),
+g AS (SELECT k, unnest(range(1, 7)) AS no, lab, total, times FROM f)
+SELECT k AS image_id, chr((96 + no)::INT) AS text_id, (dense_rank() OVER (PARTITION BY k ORDER BY lab[no]) - 1)::INTEGER AS group_no, round(total[no] / times[no] + 1e-9, 6) AS group_confidence FROM g WHERE times[no] > 0"""
+
+
+# ------------------------------------------------------------------ nearest boxes
+def _spread(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels and devices of images: spread out, crowded into a corner, or far from each other."""
+    k = F.col("p_partkey")
+    image = F.floor(k / 120)
+    tight = F.when(image % 3 == 1, 12).otherwise(1)
+    x = F.floor(k * 7919 % 5000 / tight) + F.when((image % 3 == 2) & (k % 3 == 0), 60000).otherwise(0)
+    y = F.floor(k * 10473 % 4000 / tight)
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(image.alias("image_id"), k.alias("id"), G.rect(x, y, x + 10 + k % 50, y + 8 + k % 23).alias("box"))
+    return rows.where("id % 3 > 0").withColumnRenamed("id", "label_id"), rows.where("id % 3 = 0").withColumnRenamed("id", "device_id")
+
+
+def nearest_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three devices nearest to each label."""
+    labels, devices = _spread(spark, sf_dir)
+    return spatial.nearest(labels, devices, "image_id", "label_id", "device_id", k=3).withColumn("gap", F.round("gap", 6))
+
+
+NEAREST_SQL = """
+WITH p AS (SELECT p_partkey AS k, p_partkey // 120 AS image, CASE WHEN p_partkey // 120 % 3 = 1 THEN 12 ELSE 1 END AS tight FROM part),
+b AS (SELECT k, image, k * 7919 % 5000 // tight + CASE WHEN image % 3 = 2 AND k % 3 = 0 THEN 60000 ELSE 0 END AS x, k * 10473 % 4000 // tight AS y, 10 + k % 50 AS w, 8 + k % 23 AS h FROM p),
+g AS (SELECT a.image AS image_id, a.k AS label_id, d.k AS device_id, greatest(0, d.x - a.x - a.w, a.x - d.x - d.w) ** 2 + greatest(0, d.y - a.y - a.h, a.y - d.y - d.h) ** 2 AS s FROM b a JOIN b d ON d.image = a.image AND a.k % 3 > 0 AND d.k % 3 = 0)
+SELECT image_id, label_id, device_id, round(sqrt(s), 6) AS gap, row_number() OVER w::INTEGER AS rank FROM g WINDOW w AS (PARTITION BY image_id, label_id ORDER BY s, device_id) QUALIFY row_number() OVER w <= 3"""
+
 LINES = [
     [(0, 0, 100, 0), (110, 0, 200, 0)], [(0, 0, 100, 0), (130, 0, 230, 0)], [(0, 0, 100, 0), (130, 0, 230, 0)], [(0, 0, 100, 0), (100, 4, 100, 104)], [(0, 0, 200, 0), (100, 5, 100, 105)], [(0, 0, 200, 0), (100, 5, 100, 35)],
     [(0, 0, 100, 0), (100, 0, 100, 100), (100, 100, 0, 100), (0, 100, 0, 0)], [(0, 0, 100, 0), (100, 4, 100, 104), (300, 0, 320, 0)],
@@ -192,6 +259,8 @@ CATALOGUE: dict[str, tuple] = {
     "fused_scenes": (fused_scenes, SCENES_SQL),
     "suppressed_boxes": (suppressed_boxes, SUPPRESS_SQL),
     "text_groups": (text_groups, GROUP_SQL),
+    "grouped_texts": (grouped_texts, GROUPED_SQL),
+    "nearest_devices": (nearest_devices, NEAREST_SQL),
     "merged_cables": (merged_cables, MERGED_SQL),
     "endpoint_scores": (endpoint_scores, _endpoint_sql()),
 }

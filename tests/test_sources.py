@@ -4,11 +4,10 @@ import json
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from meshlark.functions import geometry as G
-from meshlark.operators import kernels, matching
+from meshlark.operators import kernels, matching, spatial
 from meshlark.sources import cards, detections, sinks
 from meshlark.streaming import check_stream, documents
 
@@ -76,7 +75,7 @@ def boxes(spark, rows, key):
 def test_suppression_is_greedy(spark):
     # b overlaps a and c; a is surest, so b goes and c stays
     d = boxes(spark, [("i", "a", 0.9, 0.0, 0.0, 100.0, 100.0), ("i", "b", 0.8, 10.0, 0.0, 110.0, 100.0), ("i", "c", 0.7, 25.0, 0.0, 125.0, 100.0)], "device_id")
-    gone = kernels.suppress(d, matching.duplicate_boxes(d, 0.7)).collect()
+    gone = spatial.suppress(d, matching.duplicate_boxes(d, 0.7)).collect()
     assert [(r["device_id"], r["kept_by"]) for r in gone] == [("b", "a")]
 
 
@@ -89,13 +88,7 @@ def test_decisions_can_be_refused(spark):
     assert sorted((r["owner"], r["subject"], r["claim"]) for r in matching.claims(held, "owner", "subject", "score").collect()) == [("d", "x", "tied"), ("d", "y", "tied"), ("e", "x", "kept"), ("e", "y", "lost"), ("f", "x", "kept")]
 
 
-def test_groups_and_merged_lines():
-    rows = pd.DataFrame([("t1", "device_name", "device_name", 0, 0, 40, 10), ("t2", "ipv4", "ip", 0, 12, 60, 22), ("t3", "subnet_mask", "subnet_mask", 0, 24, 70, 34), ("t4", "ipv4", "ip", 300, 0, 360, 10)], columns=["text_id", "kind", "slot", "x1", "y1", "x2", "y2"])
-    rows["height"] = 10.0
-    group, confidence = kernels.group_rows(rows)
-    assert group == [0, 0, 0, -1] and confidence[0] > 0.8
-    twin = rows.assign(x1=[0, 0, 0, 62], x2=[40, 60, 70, 122], y1=[0, 12, 24, 12], y2=[10, 22, 34, 22])
-    assert kernels.group_rows(twin)[0][0] == -1 or kernels.group_rows(twin)[0][0] == kernels.group_rows(twin)[0][1]
+def test_merged_lines():
     lines = np.array([[0, 0, 50, 0], [60, 1, 120, 1], [300, 0, 350, 0], [0, 40, 0, 90]], float)
     merged = kernels.merge_segments(lines, np.zeros((0, 4)))
     assert len(merged) == 3 and max(np.hypot(*(m[2:] - m[:2])) for m in merged) >= 119
