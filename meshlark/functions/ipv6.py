@@ -64,13 +64,12 @@ def parse(text) -> Column:
 
 def hex32(a: Column) -> Column:
     """The address as 32 hex digits."""
-    return F.concat(*[F.lower(F.lpad(F.hex(a[n]), 8, "0")) for n in LIMBS])
+    return bind(a, lambda x: F.concat(*[F.lower(F.lpad(F.hex(x[n]), 8, "0")) for n in LIMBS]))
 
 
 def text_of(a: Column) -> Column:
     """Canonical text: lower case, no leading zeros, the first longest run of two zero groups or more as ``::``, mapped IPv4 dotted."""
     both = lambda v: [F.shiftright(v, 16), v.bitwiseAND(F.lit(0xFFFF))]
-    groups = F.array(*[F.lower(F.hex(g)) for n in LIMBS for g in both(a[n])])
 
     def written(g: Column) -> Column:
         # zero groups as 0, others as 1: the first longest run is where the most zeros in a row are found first
@@ -83,7 +82,11 @@ def text_of(a: Column) -> Column:
         left, right = F.slice(g, 1, at - 1), F.slice(g, at + n, F.greatest(8 - (at + n) + 1, F.lit(0)))
         return F.when(k["run"].isNull(), F.concat_ws(":", g)).otherwise(F.concat(F.concat_ws(":", left), F.lit("::"), F.concat_ws(":", right)))
 
-    return F.when(mapped(a), F.concat(F.lit("::ffff:"), addr.int_to_ip(a["d"]))).when(a.isNotNull(), bind(groups, written))
+    def of(x: Column) -> Column:
+        groups = F.array(*[F.lower(F.hex(g)) for n in LIMBS for g in both(x[n])])
+        return F.when(mapped(x), F.concat(F.lit("::ffff:"), addr.int_to_ip(x["d"]))).when(x.isNotNull(), bind(groups, written))
+
+    return bind(a, of)
 
 
 def mapped(a: Column) -> Column:
@@ -137,7 +140,7 @@ def carried(a: Column) -> Column:
 
 
 def widened(a: Column) -> Column:
-    return F.struct(F.lit(0).cast("bigint").alias("o"), *[a[n].alias(n) for n in LIMBS])
+    return bind(a, lambda x: F.struct(F.lit(0).cast("bigint").alias("o"), *[x[n].alias(n) for n in LIMBS]))
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -147,7 +150,7 @@ def plus(a: Column, b: Column) -> Column:
 
 def narrowed(a: Column) -> Column:
     """Limbs (o, a, b, c, d) as an address; NULL beyond 128 bits."""
-    return F.when((a["o"] == 0) & a["d"].isNotNull(), limbs([a[n] for n in LIMBS]))
+    return bind(a, lambda x: F.when((x["o"] == 0) & x["d"].isNotNull(), limbs([x[n] for n in LIMBS])))
 
 
 def of_long(value: Column) -> Column:
@@ -158,12 +161,16 @@ def of_long(value: Column) -> Column:
 
 def problem(a: Column, prefix: Column) -> Column:
     """struct(code, severity) of an address that cannot be a device's, else NULL."""
-    top = lambda n: F.shiftright(a["a"], n)
-    reserved = a.isin(literal(0), literal(1)) | (top(24) == 0xFF) | (mapped(a) & (F.shiftright(a["d"], 24) == 127))
-    link_local = top(22) == 0xFE80 >> 6
     said = lambda code, severity: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
-    zone = prefix.isNotNull() & (prefix <= 126) & (network(a, prefix) == a)
-    return F.when(reserved, said("reserved_ip", "error")).when(zone, said("ip_is_network_address", "error")).when(link_local, said("link_local_ip", "warning"))
+
+    def of(k: Column) -> Column:
+        x, p = k["x"], k["p"]
+        top = lambda n: F.shiftright(x["a"], n)
+        reserved = x.isin(literal(0), literal(1)) | (top(24) == 0xFF) | (mapped(x) & (F.shiftright(x["d"], 24) == 127))
+        zone = p.isNotNull() & (p <= 126) & (network(x, p) == x)
+        return F.when(reserved, said("reserved_ip", "error")).when(zone, said("ip_is_network_address", "error")).when(top(22) == 0xFE80 >> 6, said("link_local_ip", "warning"))
+
+    return bind(F.struct(a.alias("x"), prefix.alias("p")), of)
 
 
 def ip_facts(text, prefix) -> Column:
@@ -173,9 +180,9 @@ def ip_facts(text, prefix) -> Column:
 
     def of(k: Column) -> Column:
         six = k["six"]
-        bad = problem(six, k["p"])
         return F.when(
-            six.isNotNull(), F.struct(F.lit(6).alias("version"), text_of(six).alias("canonical"), F.unhex(hex32(six)).alias("packed"), bad["code"].alias("code"), bad["severity"].alias("severity"))
+            six.isNotNull(),
+            bind(problem(six, k["p"]), lambda bad: F.struct(F.lit(6).alias("version"), text_of(six).alias("canonical"), F.unhex(hex32(six)).alias("packed"), bad["code"].alias("code"), bad["severity"].alias("severity"))),
         ).otherwise(
             F.struct(
                 F.when(k["four"].isNotNull(), 4).alias("version"), addr.int_to_ip(k["four"]).alias("canonical"), F.unhex(F.lpad(F.hex(k["four"]), 8, "0")).alias("packed"), empty.cast("string").alias("code"), empty.cast("string").alias("severity"),

@@ -47,9 +47,9 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     rows = texts.withColumn("norm", text.normalize("text")).withColumn("fixed", F.regexp_replace("norm", r"\s*([./])\s*", "$1"))
     label = F.regexp_extract("norm", text.LABEL, 1)
     rows = rows.withColumn("label", label).withColumn("rest", F.regexp_extract("norm", text.LABEL, 2)).withColumn("angle", _axis(F.col("polygon"), F.col("box")))
-    rows = _kinds(rows, direct="norm", repaired="fixed", stripped="rest")
+    rows = cut(_kinds(rows, direct="norm", repaired="fixed", stripped="rest"))  # read twice below, and too large an expression to be merged into what follows
     tokens = rows.where("direct = 'unknown'").select("image_id", "text_id", "norm", "box", "text", F.posexplode(F.split("norm", " ")).alias("k", "token"))
-    tokens = _kinds(tokens, token_kind="token")
+    tokens = cut(_kinds(tokens, token_kind="token"))
     b = F.col("box")
     whole = Window.partitionBy("image_id", "text_id")
     before = F.coalesce(F.sum(F.length("token") + 1).over(whole.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -67,7 +67,7 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     repair = (F.col("fixed") != F.col("norm")) & F.col("repaired").isin(*ADDRESS_KINDS, "host_suffix")
     strip = F.col("stripped").isin(*ADDRESS_KINDS) & (F.lower("label").isin(*text.ADDRESS_LABELS) | ~F.col("label").rlike(text.NAME))
     way = F.when(F.col("direct") != "unknown", "direct").when(repair, "repaired").when(F.col("split"), "split").when(strip, "stripped").otherwise("unknown")
-    rows = rows.withColumn("way", way)
+    rows = cut(rows.withColumn("way", way))
     kind = F.when(F.col("way") == "repaired", F.col("repaired")).when(F.col("way") == "stripped", F.col("stripped")).when(F.col("way") == "direct", F.col("direct")).otherwise("unknown")
     value = F.when(F.col("way") == "repaired", F.col("fixed")).when(F.col("way") == "stripped", F.col("rest")).otherwise(F.col("norm"))
     factor = F.when(F.col("way") == "repaired", text.REPAIRED).when(F.col("way") == "stripped", text.STRIPPED).otherwise(1.0)
