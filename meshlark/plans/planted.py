@@ -309,7 +309,22 @@ def _readiness_sql() -> str:
 
 READINESS_SQL = _readiness_sql()
 
+
+
+def addressless_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where IPv4 is not required: devices, other than switches, that have a whole block of neither family."""
+    devices, _ = tables(spark, sf_dir)
+    found = validation._device_shape(devices, require_ipv4=False)
+    return found.where("code = 'missing_device_address'").select("arch_id", "code", "path", "subject")
+
+
+_WHOLE = lambda six, names: f"has_net{six} AND " + " AND ".join(f"{n}{six}_kind IS NOT NULL" for n in names)
+ADDRESSLESS_SQL = f"""WITH {TABLES.strip()}
+SELECT k AS arch_id, 'missing_device_address' AS code, concat('/devices/', pos) AS path, who AS subject FROM d
+WHERE is_object AND NOT l2 AND NOT coalesce({_WHOLE("", DEVICE4)}, false) AND NOT coalesce({_WHOLE("6", ("ip", "prefix", "base"))}, false)"""
+
 CATALOGUE: dict[str, tuple] = {
+    "addressless_devices": (addressless_devices, ADDRESSLESS_SQL),
     "validation_findings": (validation_findings, VALIDATION_SQL),
     "validation_summary": (validation_summary, SUMMARY_SQL),
     "planted_readiness": (planted_readiness, READINESS_SQL),
