@@ -346,7 +346,7 @@ def _segment_rules(seg_links: DataFrame, seg_devices: DataFrame, nets: DataFrame
 
 
 def check(devices: DataFrame, links: DataFrame, headers: DataFrame | None = None, require_ipv4: bool = True, families: tuple[int, ...] = (4, 6)) -> DataFrame:
-    """All validation findings of all documents. ``families``: those that the documents can hold; IPv6 costs Arrow passes."""
+    """All validation findings of all documents. ``families``: those that the documents can hold."""
     known = cut(_known(devices))
     good = cut(valid_links(links, known))
     parts = [document_findings(headers)] if headers is not None else []
