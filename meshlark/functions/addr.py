@@ -123,9 +123,10 @@ def _null(kind: str = "string") -> Column:
 
 def normalize_cidr(text: Column) -> Column:
     """``192.168.1.1/24`` -> struct of all four fields; NULL if it is none."""
-    ip, prefix = cidr_ip(text), cidr_prefix(text)
     how = origin(ip_address="ocr", prefix_length="ocr", subnet_mask="derived_from_prefix_length", network_address="derived_from_ip_and_prefix_length")
-    return F.when(is_cidr(text), _address(ip, prefix, prefix_to_mask(prefix), int_to_ip(network_of(ip_to_int(ip), prefix)), how))
+    parts = F.when(is_cidr(text), F.struct(F.regexp_extract(text, CIDR, 1).alias("ip"), F.regexp_extract(text, CIDR, 2).try_cast("int").alias("prefix")))
+    base = lambda k: bind(bind(ip_to_int(k["ip"]), lambda v: network_of(v, k["prefix"])), int_to_ip)
+    return bind(parts, lambda k: F.when(k.isNotNull(), _address(k["ip"], k["prefix"], bind(mask_of(k["prefix"]), int_to_ip), base(k), how)))
 
 
 def normalize_ip_and_mask(ip: Column, mask: Column) -> Column:

@@ -30,3 +30,9 @@ def test_small_files_are_dealt_out_and_joined_by_shuffles(spark, sf_dir, capsys)
 def test_joins_of_cut_tables_shuffle(spark, capsys):
     ids = lineage.cut(spark.range(9))
     assert "BroadcastHashJoin" not in _plan(ids.join(spark.range(9), "id"), capsys)
+
+
+def test_a_prefixed_address_is_matched_once(spark):
+    df = spark.createDataFrame([("192.168.1.9/24",), ("192.168.1.9",), (None,)], "t string").select(addr.normalize_cidr(F.col("t")).alias("c"))
+    assert df._jdf.queryExecution().toString().split("== Physical")[0].count("RLIKE") < 10
+    assert [r.c and (r.c.ip_address, r.c.prefix_length, r.c.subnet_mask, r.c.network_address) for r in df.collect()] == [("192.168.1.9", 24, "255.255.255.0", "192.168.1.0"), None, None]
