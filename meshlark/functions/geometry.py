@@ -88,9 +88,14 @@ def gap(a: Column, b: Column) -> Column:
     return F.hypot(*separations(a, b))
 
 
+def _length(x: Column, y: Column) -> Column:
+    """As SQL writes it, so that distances that are equal there are equal here; ``hypot`` differs in the last bit."""
+    return F.sqrt(x * x + y * y)
+
+
 def point_distance(r: Column, p: Column) -> Column:
     zero = F.lit(0.0)
-    return F.hypot(F.greatest(r["x1"] - p["x"], zero, p["x"] - r["x2"]), F.greatest(r["y1"] - p["y"], zero, p["y"] - r["y2"]))
+    return _length(F.greatest(r["x1"] - p["x"], zero, p["x"] - r["x2"]), F.greatest(r["y1"] - p["y"], zero, p["y"] - r["y2"]))
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -133,7 +138,7 @@ def project_param(p: Column, s: Column) -> Column:
 
 def point_seg_distance(p: Column, s: Column) -> Column:
     t = clamp01(project_param(p, s))
-    return F.hypot(p["x"] - (s["p1"]["x"] + t * (s["p2"]["x"] - s["p1"]["x"])), p["y"] - (s["p1"]["y"] + t * (s["p2"]["y"] - s["p1"]["y"])))
+    return _length(p["x"] - s["p1"]["x"] - t * (s["p2"]["x"] - s["p1"]["x"]), p["y"] - s["p1"]["y"] - t * (s["p2"]["y"] - s["p1"]["y"]))
 
 
 def point_line_distance(p: Column, s: Column) -> Column:

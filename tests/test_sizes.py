@@ -32,6 +32,14 @@ def test_joins_of_cut_tables_shuffle(spark, capsys):
     assert "BroadcastHashJoin" not in _plan(ids.join(spark.range(9), "id"), capsys)
 
 
+def test_nearest_segment_of_equal_ones_is_the_first(spark, tmp_path):
+    pq.write_table(pa.table({"p_partkey": pa.array([91881], pa.int64()), "p_size": pa.array([26], pa.int32())}), tmp_path / "part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    rows = db.execute(f"SELECT nearest, nearest_at FROM ({catalogue.oracle_sql()['segment_geometry']})").fetchall()
+    assert [tuple(r) for r in values.segment_geometry(spark, str(tmp_path)).select("nearest", "nearest_at").collect()] == rows
+
+
 def test_a_prefixed_address_is_matched_once(spark):
     df = spark.createDataFrame([("192.168.1.9/24",), ("192.168.1.9",), (None,)], "t string").select(addr.normalize_cidr(F.col("t")).alias("c"))
     assert df._jdf.queryExecution().toString().split("== Physical")[0].count("RLIKE") < 10
