@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ipv6
@@ -12,10 +12,13 @@ from ..sources.detections import number
 def short_ids(ids: DataFrame) -> DataFrame:
     """ids (image_id, id) -> adds short: ``device_001`` as ``device_1``, unless any two of the image would collide."""
     short = F.when(F.col("id").rlike(r"^[A-Za-z]+_[0-9]+$"), F.concat(F.regexp_extract("id", r"^([A-Za-z]+)_", 1), F.lit("_"), F.regexp_extract("id", r"_([0-9]+)$", 1).try_cast("bigint").cast("string"))).otherwise(F.col("id"))
-    w = Window.partitionBy("image_id")
     rows = ids.withColumn("_s", short)
-    safe = F.size(F.collect_set("_s").over(w)) == F.size(F.collect_set("id").over(w))
-    return rows.withColumn("short", F.when(safe, F.col("_s")).otherwise(F.col("id"))).drop("_s")
+    # an image collides if one short form stands for two ids; an id has one short form, so this sees all, without an image's ids in one place
+    forms = rows.where("id is not null").groupBy("image_id", "_s").agg((F.min("id") != F.max("id")).alias("_two"))
+    clash = forms.where("_two").select(F.col("image_id").alias("_image")).distinct()
+    found = rows.join(clash, F.col("image_id").eqNullSafe(F.col("_image")), "left_anti").withColumn("short", F.col("_s"))
+    kept = rows.join(clash, F.col("image_id").eqNullSafe(F.col("_image")), "left_semi").withColumn("short", F.col("id"))
+    return found.unionByName(kept).drop("_s")
 
 
 def mirror(addresses: DataFrame) -> DataFrame:

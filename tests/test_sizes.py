@@ -44,3 +44,10 @@ def test_a_prefixed_address_is_matched_once(spark):
     df = spark.createDataFrame([("192.168.1.9/24",), ("192.168.1.9",), (None,)], "t string").select(addr.normalize_cidr(F.col("t")).alias("c"))
     assert df._jdf.queryExecution().toString().split("== Physical")[0].count("RLIKE") < 10
     assert [r.c and (r.c.ip_address, r.c.prefix_length, r.c.subnet_mask, r.c.network_address) for r in df.collect()] == [("192.168.1.9", 24, "255.255.255.0", "192.168.1.0"), None, None]
+
+
+def test_short_ids_need_no_image_in_one_place(spark, capsys):
+    rows = spark.createDataFrame([(1, "a_01"), (1, "a_1"), (1, "b_02"), (2, "a_01"), (2, None), (None, "c_03"), (None, "c_3")], "image_id int, id string")
+    out = contracts.short_ids(rows)
+    assert "Window" not in _plan(out, capsys)
+    assert {(r.image_id, r.id): r.short for r in out.collect()} == {(1, "a_01"): "a_01", (1, "a_1"): "a_1", (1, "b_02"): "b_02", (2, "a_01"): "a_1", (2, None): None, (None, "c_03"): "c_03", (None, "c_3"): "c_3"}
