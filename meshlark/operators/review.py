@@ -71,9 +71,9 @@ def cloud_plans(devices: DataFrame, links: DataFrame, hosting: DataFrame) -> Dat
     both = ends.groupBy("arch_id", "pos", "link_id").agg(at("source"), at("target"))
     shape = links.select("arch_id", F.col("id").alias("link_id"), block(("network_address", "prefix_length", "subnet_mask", "source_ip", "target_ip")).alias("network"))
     entry = F.struct("link_id", F.lit("veth").alias("implementation"), F.lit(WORKER).alias("resource_ref"), "network", "source", "target")
-    parts = parts.join(_ordered(both.join(shape, ["arch_id", "link_id"]), ["pos"], entry, "links"), "arch_id", "left")
+    parts = parts.join(_ordered(both.join(shape, ["arch_id", "link_id"]), ["pos"], entry, "links"), "arch_id", "left").hint("merge")
     entry = F.struct("device_id", F.lit(WORKER).alias("resource_ref"), "runtime_ref", F.lit("deployment.worker_management").alias("management_ref"), "interface_refs")
-    parts = parts.join(_ordered(plan.configuration_targets(devices, links), ["pos"], entry, "targets"), "arch_id")
+    parts = parts.join(_ordered(plan.configuration_targets(devices, links), ["pos"], entry, "targets"), "arch_id").hint("merge")
     rows = parts.join(hosting.where("refused is null"), "arch_id")
     fixed = lambda v: F.lit(json.dumps(v, separators=(",", ":")))
     worker = F.concat(F.lit('{"id":"' + WORKER + '","type":"aws_instance","instance_type":"'), "instance_type", F.lit('","subnet_ref":"lab_subnet","security_group_refs":["worker_security"],"image_ref":"deployment.linux_ami_x86_64","public_ipv4":false,"cpu_credits":"standard"}'))

@@ -13,6 +13,7 @@ from ..operators import allocation, corrections, graph, plan, review, search, va
 from ..sources import cards, sinks
 from ..sources.topology import typed_block
 from . import planted
+from .lineage import spread
 from .views import dotted
 
 MINIS = 8
@@ -32,7 +33,7 @@ CARDS = [(*c, i) for i, c in enumerate(CARDS)]
 
 def minis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Devices and links of a small topology for each customer."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("arch_id"), (F.col("c_custkey") % MINIS).cast("int").alias("case"))
+    customer = spread(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey").select(F.col("c_custkey").alias("arch_id"), (F.col("c_custkey") % MINIS).cast("int").alias("case"))
     no = (F.col("arch_id") % 200).cast("string")
     ip = lambda n: F.concat(F.lit("10."), no, F.lit(".0."), n.cast("string"))
     table = lambda rows, names: F.from_json(F.lit(json.dumps([[dict(zip(names, (i, *r), strict=True)) for i, r in enumerate(case)] for case in rows])), "array<array<struct<" + ", ".join(f"{n}: {'int' if n in ('pos', 'prefix') else 'string'}" for n in names) + ">>>")
@@ -243,7 +244,7 @@ def _at_key(c: Column) -> Column:
 
 def _cased(spark: SparkSession, sf_dir: str, items: list) -> DataFrame:
     """(arch_id, k, raw, corrections, case): the document of each customer, and the corrections of its case."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("arch_id"), (F.col("c_custkey") % 200).alias("k"), (F.col("c_custkey") % len(items)).cast("int").alias("case"))
+    customer = spread(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey").select(F.col("c_custkey").cast("string").alias("arch_id"), (F.col("c_custkey") % 200).alias("k"), (F.col("c_custkey") % len(items)).cast("int").alias("case"))
     return customer.withColumn("raw", _at_key(F.lit(json.dumps(DOC)))).withColumn("corrections", _at_key(F.get(F.array(*[F.lit(json.dumps(i)) for i in items]), F.col("case"))))
 
 
@@ -315,7 +316,7 @@ CARD = """SELECT p_partkey AS k, concat('kb/', p_partkey % 10, '/', p_partkey, '
 
 
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     return spark.sql(CARD.format(nl="'\\n'").replace("FROM part", "FROM {part}"), part=part)
 
 
@@ -359,7 +360,7 @@ LINT = """concat('Rule-ID: R-', p_partkey, {nl}, 'Kind: rule', {nl}, CASE WHEN p
 
 def card_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authored cards against the list of fields, the heading's form, related rules and registered sources."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     rows = spark.sql(f"SELECT {LINT.format(nl=chr(39) + chr(92) + 'n' + chr(39))} AS text, CASE WHEN p_partkey % 19 = 0 THEN 'no heading' ELSE concat('## R', p_partkey) END AS heading FROM {{part}}", part=part)
     return cards.lint(rows, ["Rule-ID", "Kind", "Status", "Related", "Sources"], r"^## R[0-9]+$", spark.createDataFrame([("S-1",)], "source_id string"))
 

@@ -32,6 +32,10 @@ def test_joins_of_cut_tables_shuffle(spark, capsys):
     assert "BroadcastHashJoin" not in _plan(ids.join(spark.range(9), "id"), capsys)
 
 
+def test_parts_of_plans_are_joined_by_shuffles(spark, sf_dir, capsys):
+    assert "BroadcastHashJoin" not in _plan(answers.plan_documents(spark, sf_dir), capsys)
+
+
 def test_nearest_segment_of_equal_ones_is_the_first(spark, tmp_path):
     pq.write_table(pa.table({"p_partkey": pa.array([91881], pa.int64()), "p_size": pa.array([26], pa.int32())}), tmp_path / "part.parquet")
     db = duckdb.connect()
