@@ -32,6 +32,10 @@ def test_joins_of_cut_tables_shuffle(spark, capsys):
     assert "BroadcastHashJoin" not in _plan(ids.join(spark.range(9), "id"), capsys)
 
 
+def test_cables_go_in_batches_of_images(spark, sf_dir, capsys):
+    assert "CoGroup" not in _plan(scenes.merged_cables(spark, sf_dir), capsys)
+
+
 def test_parts_of_plans_are_joined_by_shuffles(spark, sf_dir, capsys):
     assert "BroadcastHashJoin" not in _plan(answers.plan_documents(spark, sf_dir), capsys)
 
