@@ -21,6 +21,8 @@ QUERY_PREFIX = "IPv4 behavioral lab topology connected routes later configuratio
 ALWAYS = ("CORE-001", "CORE-002", "CORE-003", "MAP-001", "MAP-002", "BACKEND-001", "BACKEND-002", "BACKEND-003", "PLAN-001", "PLAN-002", "ADDR-001", "ADDR-002")
 #: Bytes of query vectors that go to all tasks at once.
 QUERY_BYTES = 8 << 20
+#: Scores that a task holds at once beside its running list, or k for each query if that is more; queries whose list it hands on at once.
+SCORE_CELLS, ROWS_OUT = 1 << 20, 4096
 #: Model tokens of a query that are embedded together; candidates that are reranked, at least.
 WINDOW, CANDIDATES = 160, 16
 
@@ -100,15 +102,19 @@ def _best_of(names: np.ndarray, table: np.ndarray, k: int, key: str, query: str,
         for batch in batches:
             if not len(batch) or not len(names):
                 continue
-            new = np.round(table @ _unit_rows(batch[vector]).T, 12)
-            scores = np.concatenate([scores, new], axis=1)
-            ids = np.concatenate([ids, np.broadcast_to(batch[key].to_numpy(), new.shape)], axis=1)
-            if scores.shape[1] > k:
-                least = np.partition(scores, -k, axis=1)[:, -k, None]
-                order = np.lexsort((ids, np.where(scores >= least, -scores, np.inf)), axis=1)[:, :k]
-                scores, ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
-        if scores.size:
-            yield pd.DataFrame({query: np.repeat(names, scores.shape[1]), key: ids.ravel(), "score": scores.ravel()})
+            step = max(k, SCORE_CELLS // len(names))
+            for at in range(0, len(batch), step):
+                some = batch.iloc[at : at + step]
+                new = np.round(table @ _unit_rows(some[vector]).T, 12)
+                scores = np.concatenate([scores, new], axis=1)
+                ids = np.concatenate([ids, np.broadcast_to(some[key].to_numpy(), new.shape)], axis=1)
+                if scores.shape[1] > k:
+                    least = np.partition(scores, -k, axis=1)[:, -k, None]
+                    order = np.lexsort((ids, np.where(scores >= least, -scores, np.inf)), axis=1)[:, :k]
+                    scores, ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        for at in range(0, len(names) if scores.size else 0, ROWS_OUT):
+            some = scores[at : at + ROWS_OUT]
+            yield pd.DataFrame({query: np.repeat(names[at : at + ROWS_OUT], some.shape[1]), key: ids[at : at + ROWS_OUT].ravel(), "score": some.ravel()})
 
     return run
 

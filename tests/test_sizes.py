@@ -59,3 +59,16 @@ def test_short_ids_need_no_image_in_one_place(spark, capsys):
     out = contracts.short_ids(rows)
     assert "Window" not in _plan(out, capsys)
     assert {(r.image_id, r.id): r.short for r in out.collect()} == {(1, "a_01"): "a_01", (1, "a_1"): "a_1", (1, "b_02"): "b_02", (2, "a_01"): "a_1", (2, None): None, (None, "c_03"): "c_03", (None, "c_3"): "c_3"}
+
+
+def test_dense_search_holds_few_scores_at_once():
+    rng = np.random.default_rng(1)
+    batch = pd.DataFrame({"id": np.arange(5000), "v": list(rng.normal(size=(5000, 4)))})
+    asked = rng.normal(size=(2000, 4))
+    tracemalloc.start()
+    out = pd.concat(search._best_of(np.arange(2000), search._unit_rows(list(asked)), 3, "id", "q", "v")([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    scores = np.round(search._unit_rows(list(asked)) @ search._unit_rows(batch["v"]).T, 12)
+    assert out.groupby("q")["id"].apply(set).tolist() == [set(r) for r in np.argsort(-scores, axis=1, kind="stable")[:, :3]]
