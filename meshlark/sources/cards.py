@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import card_field
 
 MOST_CHARS = 1800
+#: Characters of chunks that a task hands on at once, unless one file has more.
+CHUNK_CHARS = 1 << 20
 #: The field that names a card.
 ID = "Rule-ID"
 MODES, PHASES = ("all", "behavioral_lab", "cloud_native"), ("topology", "configuration")
@@ -40,10 +42,12 @@ def chunks(files: DataFrame, most: int = MOST_CHARS) -> DataFrame:
     Cutting is sequential within a heading's text, so it runs per file in Arrow batches.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["source", "chunk", "heading", "text"])
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for source, content in zip(batch["source"], batch["content"], strict=True):
+                source, content = source.as_py(), content.as_py()
                 lines = (content or "").splitlines()
                 starts = [0, *(i for i, x in enumerate(lines) if x.startswith("#") and i), len(lines)]
                 n = 0
@@ -52,9 +56,14 @@ def chunks(files: DataFrame, most: int = MOST_CHARS) -> DataFrame:
                     for part in pieces("\n".join(lines[a:b]), most):
                         rows.append((source, n, heading, part))
                         n += 1
-            yield pd.DataFrame(rows, columns=["source", "chunk", "heading", "text"])
-
-    return files.select("source", "content").mapInPandas(run, CHUNKS)
+                        held += len(part)
+                if held > CHUNK_CHARS:
+                    yield table(rows)
+                    rows, held = [], 0
+            if rows:
+                yield table(rows)
+
+    return files.select("source", "content").mapInArrow(run, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:

@@ -72,3 +72,9 @@ def test_dense_search_holds_few_scores_at_once():
     assert peak < 150 << 20
     scores = np.round(search._unit_rows(list(asked)) @ search._unit_rows(batch["v"]).T, 12)
     assert out.groupby("q")["id"].apply(set).tolist() == [set(r) for r in np.argsort(-scores, axis=1, kind="stable")[:, :3]]
+
+
+def test_cards_are_cut_in_small_batches(spark, capsys):
+    files = spark.createDataFrame([("a", "# x\nbody\n# y"), ("b", None)], "source string, content string")
+    assert "MapInArrow" in _plan(cards.chunks(files), capsys)
+    assert [tuple(r) for r in cards.chunks(files).orderBy("source", "chunk").collect()] == [("a", 0, "# x", "# x\nbody"), ("a", 1, "# y", "# y")]
