@@ -12,7 +12,7 @@ from ..functions import ipv6
 from ..operators import allocation, entry, kernels, matching, plan, search, validation
 from ..sources import cards
 from . import answers, planted, values
-from .lineage import checkpoint_folder, cut
+from .lineage import checkpoint_folder, cut, spread
 from .views import dotted
 
 
@@ -177,7 +177,7 @@ SCAN_SQL = "SELECT concat(n_regionkey, '/deep/', n_nationkey, '.md') AS source,
 
 def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of cards from a cache whose first version is broken."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("R-"), F.col("p_partkey").cast("string")).alias("rule_id"), F.col("p_name").alias("text"))
+    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey").select(F.concat(F.lit("R-"), F.col("p_partkey").cast("string")).alias("rule_id"), F.col("p_name").alias("text"))
     folder = _folder(spark, sf_dir, "vectors")
     first = search.cached_vectors(parts, answers.MODELS, folder)
     place = first.inputFiles()[0].rsplit("/", 1)[0]
@@ -206,7 +206,7 @@ SELECT k // 50 AS image_id, k FROM x WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.i
 def cable_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ink under straight cables with gaps, some behind a mask, some with open ends or pruned."""
     k = F.col("p_partkey")
-    base = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("image_id"))
+    base = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey").select(k.alias("image_id"))
     i = F.col("image_id")
     paths = base.select("image_id", F.lit(1).alias("path_no"), F.array(G.segment(G.point(F.lit(0), F.lit(20)), G.point(F.lit(99), F.lit(20)))).alias("segments"), (i % 2 == 0).alias("determined"), (i % 7 == 0).cast("int").alias("pruned"))
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda x: F.when(x % 10 < 10 - (i % 5) * 2, "01").otherwise("00")), "")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import findings, readiness, validation
+from .lineage import spread
 from .views import DIALECT, dotted
 
 CASES = 61
@@ -87,7 +88,7 @@ CROSS JOIN (SELECT 0 AS pos, 'r' AS source_key UNION ALL SELECT 1, 'pc1' UNION A
 
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Devices and links in the shape of ``sources.topology``."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = spread(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey")
     d, k = (spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=customer) for sql in (devices_sql("spark"), links_sql("spark")))
 
     def block(names: tuple[str, ...], kinds: bool, on: str) -> Column:

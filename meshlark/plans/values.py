@@ -11,13 +11,17 @@ from ..functions.text import named, pointer, quoted
 from ..operators import contracts, fusion, plan, readiness
 from ..sources import detections, sinks, topology
 from . import planted
-from .lineage import checkpoint_folder
+from .lineage import checkpoint_folder, spread
 from .views import dotted
 
 
+#: What the rows of a table are dealt out by.
+KEYS = {"part": "p_partkey", "orders": "o_orderkey", "customer": "c_custkey"}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
     sql = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", f"FROM {{{name}}}")
-    return spark.sql(sql, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
+    return spark.sql(sql, **{name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), KEYS[name])})
 
 
 def _ip(v: str) -> str:

@@ -78,3 +78,7 @@ def test_cards_are_cut_in_small_batches(spark, capsys):
     files = spark.createDataFrame([("a", "# x\nbody\n# y"), ("b", None)], "source string, content string")
     assert "MapInArrow" in _plan(cards.chunks(files), capsys)
     assert [tuple(r) for r in cards.chunks(files).orderBy("source", "chunk").collect()] == [("a", 0, "# x", "# x\nbody"), ("a", 1, "# y", "# y")]
+
+
+def test_planted_documents_are_dealt_out(spark, sf_dir):
+    assert all(t.rdd.getNumPartitions() > 1 for t in planted.tables(spark, sf_dir))
