@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step works on at once, unless one text alone is longer.
 CHUNK_BYTES = 1 << 21
+#: The same where many arrays as long as the text are alive together.
+NARROW_BYTES = 1 << 20
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Odd multiplier of the polynomial hashes and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -88,8 +90,9 @@ class Powers:
     def need(self, n: int) -> None:
         while len(self.up) < n:
             k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(BASE_INVERSE, k, 1 << 64))])
+            more = min(k, max(n - k, k >> 3))  # a worker keeps them, so not many more than asked for
+            self.up = np.concatenate([self.up, self.up[:more] * np.uint64(pow(BASE, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down[:more] * np.uint64(pow(BASE_INVERSE, k, 1 << 64))])
 
 
 POWERS = Powers()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import POWERS, byte_values, chunks, cut, mix, prefix_hash, span_hash, text_buffer, word_spans
+from .common import NARROW_BYTES, POWERS, byte_values, chunks, cut, mix, prefix_hash, span_hash, text_buffer, word_spans
 
 WIDTH = 5
 #: A window counts only with so many plain words in it.
@@ -182,7 +182,7 @@ def template_windows(table: DataFrame, key: str, text: str, seen: np.ndarray | N
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, NARROW_BYTES):
                 words, surface, fixed, capital, name, rows = canonical(data, offsets[a : b + 1])
                 found = _windows(words, fixed, capital, name, rows)
                 if seen is not None:

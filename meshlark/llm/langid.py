@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import POWERS, byte_values, chunks, mix, prefix_hash, span_hash, text_buffer, word_spans
+from .common import NARROW_BYTES, POWERS, byte_values, chunks, mix, prefix_hash, span_hash, text_buffer, word_spans
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes after which probabilities are rescaled, and that one transfer matrix spans.
@@ -403,15 +403,19 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
     the language that sorts first.
     """
     columns = columns or ["doc_id"]
-    picked = docs.select(F.col("text").cast("string").alias("_text"), *columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:])
+    # a text that is returned goes to Python once
+    at = columns.index("text") if "text" in columns and docs.schema["text"].dataType.typeName() == "string" else None
+    picked = docs.select(*columns) if at is not None else docs.select(*columns, F.col("text").cast("string").alias("_text"))
+    kept = len(columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:kept])
 
     def run(batches):
         for batch in batches:
-            column = batch.column(0)
-            lower = pc.utf8_lower(column)
-            data, offsets = text_buffer(lower)
-            logs = [model.texts(data, offsets[a : b + 1]) for a, b in chunks(offsets)] if model.languages else []
+            column = batch.column(kept if at is None else at)
+            _, offsets = text_buffer(column)
+            logs = []
+            for a, b in chunks(offsets, NARROW_BYTES) if model.languages else []:
+                logs.append(model.texts(*text_buffer(pc.utf8_lower(column.slice(a, b - a)))))
             texts = [t.is_valid and _has_letter(t.as_py()) for t in column]
             if not logs:
                 names, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -422,7 +426,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) ->
                 top = 1 / odds.sum(axis=1)
                 names = [model.languages[b] if t else "und" for b, t in zip(best.tolist(), texts, strict=True)]
                 scores = [s if t else 0.0 for s, t in zip(top.tolist(), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:kept], "lang_pred", "score"])
 
     return picked.mapInArrow(run, f"{schema}, lang_pred string, score double")
 

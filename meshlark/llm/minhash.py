@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, cut, mix, partitions, prefix_hash, span_hash, store, text_buffer, word_spans
+from .common import NARROW_BYTES, byte_values, chunks, cut, mix, partitions, prefix_hash, span_hash, store, text_buffer, word_spans
 from .graph import components, stars
 
 SHINGLE, BANDS, ROWS = 3, 40, 7
@@ -90,7 +90,7 @@ def word_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D.
     """
     data, offsets = text_buffer(texts)
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, NARROW_BYTES):
         block = LOWER[data[offsets[a] : offsets[b]]]
         if len(block) > PIECE:  # one text alone
             words = _long_word_hashes(block)
