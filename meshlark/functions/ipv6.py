@@ -74,8 +74,10 @@ def text_of(a: Column) -> Column:
     def written(g: Column) -> Column:
         # zero groups as 0, others as 1: the first longest run is where the most zeros in a row are found first
         marks = F.concat_ws("", F.transform(g, lambda x: F.when(x == "0", "0").otherwise("1")))
-        run = F.coalesce(*[F.when(marks.contains("0" * n), F.struct(F.instr(marks, "0" * n).alias("at"), F.lit(n).alias("n"))) for n in range(8, 1, -1)])
-        return bind(F.struct(g.alias("g"), run.alias("run")), short)
+        return bind(F.struct(g.alias("g"), bind(marks, run_of).alias("run")), short)
+
+    def run_of(marks: Column) -> Column:
+        return F.coalesce(*[F.when(marks.contains("0" * n), F.struct(F.instr(marks, "0" * n).alias("at"), F.lit(n).alias("n"))) for n in range(8, 1, -1)])
 
     def short(k: Column) -> Column:
         g, at, n = k["g"], k["run"]["at"], k["run"]["n"]
@@ -173,6 +175,16 @@ def problem(a: Column, prefix: Column) -> Column:
     return bind(F.struct(a.alias("x"), prefix.alias("p")), of)
 
 
+def device_facts(text, prefix) -> Column:
+    """struct(canonical, base, code, severity) of an IPv6 address, parsed once: its text, its network's, and its host problem; fields are NULL for other text."""
+    t, p = _col(text), _col(prefix)
+
+    def of(k: Column) -> Column:
+        return bind(problem(k["six"], k["p"]), lambda bad: F.struct(text_of(k["six"]).alias("canonical"), text_of(network(k["six"], k["p"])).alias("base"), bad["code"].alias("code"), bad["severity"].alias("severity")))
+
+    return bind(F.struct(parse(t).alias("six"), p.cast("int").alias("p")), lambda k: F.when(k["six"].isNotNull(), of(k)))
+
+
 def ip_facts(text, prefix) -> Column:
     """struct(version, canonical, packed, code, severity): 4 or 16 bytes; for IPv6 also the host problem with that prefix."""
     t, p = _col(text), _col(prefix)

@@ -32,23 +32,24 @@ def _at(group: str, *rest) -> Column:
 def _address(fam: int, f: Column, prefix: Column) -> Column:
     """struct(canonical, base, code, severity, version) of an address field of a family; canonical NULL if it is none."""
     text = F.when(f["kind"] == "STRING", f["text"])
+    # bound, as a field that is read from an expression evaluates it anew
     if fam == 6:
-        facts = ipv6.ip_facts(text, prefix)
-        return F.struct(
-            F.when(facts["version"] == 6, facts["canonical"]).alias("canonical"),
-            F.when(facts["version"] == 6, ipv6.network_of(text, prefix)).alias("base"),
-            F.when(facts["version"] == 6, facts["code"]).alias("code"),
-            F.when(facts["version"] == 6, facts["severity"]).alias("severity"),
-            facts["version"].alias("version"),
+        version = F.when(addr.is_ipv4(text), 4)
+        return addr.bind(
+            ipv6.device_facts(text, prefix),
+            lambda k: F.struct(*[k[n].alias(n) for n in ("canonical", "base", "code", "severity")], F.when(k["canonical"].isNotNull(), 6).otherwise(version).alias("version")),
         )
-    value = addr.ip_to_int(text)
-    bad = addr.bind(F.struct(value.alias("v"), prefix.alias("p")), lambda k: addr.host_problem(k["v"], k["p"]))
-    return F.struct(
-        F.when(value.isNotNull(), text).alias("canonical"),
-        addr.int_to_ip(addr.network_of(value, prefix)).alias("base"),
-        bad["code"].alias("code"),
-        bad["severity"].alias("severity"),
-        addr.ip_version(text).alias("version"),
+    known = F.struct(text.alias("text"), addr.ip_to_int(text).alias("v"), prefix.alias("p"))
+    known = addr.bind(known, lambda k: F.struct(k["text"].alias("text"), k["v"].alias("v"), k["p"].alias("p"), addr.host_problem(k["v"], k["p"]).alias("bad")))
+    return addr.bind(
+        known,
+        lambda k: F.struct(
+            F.when(k["v"].isNotNull(), k["text"]).alias("canonical"),
+            addr.int_to_ip(addr.network_of(k["v"], k["p"])).alias("base"),
+            k["bad"]["code"].alias("code"),
+            k["bad"]["severity"].alias("severity"),
+            F.when(k["v"].isNotNull(), 4).otherwise(addr.ip_version(k["text"])).alias("version"),
+        ),
     )
 
 
@@ -214,7 +215,7 @@ def link_ends(links: DataFrame, known: DataFrame, fam: int, require_ipv4: bool)
 def _hex_of(fam: int, canonical: Column) -> Column:
     if fam == 4:
         return F.lower(F.lpad(F.hex(addr.ip_to_int(canonical)), 32, "0"))
-    return F.lower(F.hex(ipv6.ip_facts(canonical, F.lit(None).cast("int"))["packed"]))
+    return ipv6.hex32(ipv6.parse(canonical))
 
 
 def _link_rules(ends: DataFrame, fam: int) -> DataFrame:
