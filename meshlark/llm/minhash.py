@@ -361,7 +361,9 @@ def links(docs: DataFrame, nodes: DataFrame, keyed: DataFrame, share: int = 85,
     left = left.join(_own(sets, left.select("node").distinct()), "node", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * 100 >= F.col("n") * share)
     more = cut(_compared(cut(_unsettled(left.select("key", "node", "n"), linked)), sets, share))
     if not more.isEmpty():
-        linked = cut(components(found.unionByName(more)))
+        # the classes found so far are stars already, so few rounds are left
+        known = found if linked is None else linked.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        linked = cut(components(known.unionByName(more)))
     return none if linked is None else linked
 
 

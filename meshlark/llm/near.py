@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import minhash, simhash
-from .common import mix, store
+from .common import cut, mix, store
 
 SHINGLE, SHARE = 5, 80
 #: Fingerprints of a text, and bits in which one of two texts' may differ.
@@ -87,7 +87,8 @@ def similar_classes(docs: DataFrame, k: int = SHINGLE, share: int = SHARE) -> tu
     some = nodes.where("n > 0")
     marks = some.select("node", "n", F.explode(F.array_distinct("fps")).alias("fp"))
     classes = simhash.fingerprint_classes(marks.select("fp", F.col("node").alias("doc_id")), RADIUS)
-    keyed = marks.join(classes.select("fp", F.col("root").alias("key")), "fp").select("key", "node", "n").distinct()
+    # read four times below, each time with all joins of the classes if it were not cut
+    keyed = cut(marks.join(classes.select("fp", F.col("root").alias("key")), "fp").select("key", "node", "n").distinct())
     linked = minhash.links(docs, some, keyed, share, k)
     grouped = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # ids before none; of sets with the same least id any will do, so the least node
