@@ -16,9 +16,8 @@ LINK_FIELDS = ("network_address", "prefix_length", "subnet_mask", "source_ip", "
 
 
 def kind_of(v: Column) -> Column:
-    """NULL for an absent value or JSON null."""
-    name = F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
-    return F.when(v.isNotNull() & (name != "VOID"), name)
+    """NULL for an absent value or JSON null; ``v`` is evaluated once, which matters where it is cut out of a document."""
+    return F.get(F.regexp_extract_all(F.schema_of_variant(v), F.lit(r"^(?!VOID)[A-Z]+"), F.lit(0)), F.lit(0))
 
 
 def field(v: Column, path: str) -> Column:
@@ -42,15 +41,15 @@ def read(spark, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.input_file_name().alias("arch_id"), F.col("value").alias("raw"))
 
 
-def parse(raw: DataFrame) -> DataFrame:
-    """(arch_id, raw) -> (arch_id, raw, doc: variant, finite: boolean).
+def parse(raw: DataFrame, *more: str) -> DataFrame:
+    """(arch_id, raw) -> (arch_id, raw, doc: variant, finite: boolean), and the columns named in ``more``.
 
     ``doc`` is NULL for text that is not JSON, repeats a key or has NaN; ``finite`` is
     false where a number overflows, which the parser lets through.
     """
     numbers = F.regexp_extract_all(F.regexp_replace("raw", r'"(?:[^"\\]|\\.)*"', '""'), F.lit(r"-?[0-9]+(?:\.[0-9]+)?[eE]\+?[0-9]+"), F.lit(0))
     large = F.exists(numbers, lambda x: F.abs(x.try_cast("double")) > 1.7976931348623157e308)
-    return raw.select("arch_id", "raw", F.try_parse_json("raw").alias("doc"), (~large).alias("finite"))
+    return raw.select("arch_id", "raw", F.try_parse_json("raw").alias("doc"), (~large).alias("finite"), *more)
 
 
 def _items(docs: DataFrame, group: str) -> DataFrame:
