@@ -93,9 +93,9 @@ def segments(devices: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame
     routes, only links of one network are.  Segments are numbered by their first link.
     Hosts are devices that need an address there.
     """
-    ends = link_ends(devices, links)
+    ends = cut(link_ends(devices, links))
     routed = routing_layer2(ends).withColumn("routes", F.lit(True))
-    ends = ends.join(routed, ["arch_id", "device"], "left").withColumn("routes", F.coalesce("routes", F.lit(False)))
+    ends = cut(ends.join(routed, ["arch_id", "device"], "left").withColumn("routes", F.coalesce("routes", F.lit(False))))  # read four times below
     net = F.coalesce(F.concat(F.lit("4 "), F.col("net")), F.concat(F.lit("6 "), F.col("net6")))
     # a link and the meeting points it has: a bipartite graph, so a switch with many links costs one edge for each
     spot = ends.where(F.col("layer2") & (~F.col("routes") | net.isNotNull())).select("arch_id", "pos", F.concat_ws("\n", F.col("device"), F.when(F.col("routes"), net)).alias("spot"))

@@ -13,7 +13,7 @@ from ..operators import allocation, corrections, graph, plan, review, search, va
 from ..sources import cards, sinks
 from ..sources.topology import typed_block
 from . import planted
-from .lineage import spread
+from .lineage import cut, spread
 from .views import dotted
 
 MINIS = 8
@@ -303,7 +303,7 @@ SELECT arch_id, segment_no, hosts, prefix, CASE WHEN whole <= 1024 THEN {dotted(
 def planted_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broadcast segments with routing switches and router boundaries among them."""
     devices, links = planted.tables(spark, sf_dir)
-    known = validation._known(devices)
+    known = cut(validation._known(devices))
     return graph.segments(known, validation.valid_links(links, known))[0].select("arch_id", "segment", "link_id", "pos")
 
 
