@@ -6,6 +6,8 @@ SQL states each rule anew over the flat tables, so that it knows nothing of the
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,26 +21,83 @@ DEVICE4, DEVICE6 = ("ip", "prefix", "mask", "base"), ("ip6", "prefix6", "mask6",
 FIELD = {"ip": "ip_address", "prefix": "prefix_length", "mask": "subnet_mask", "base": "network_address", "source_ip": "source_ip", "target_ip": "target_ip"}
 
 
-def _cases(column: str, cases: dict, default: str) -> str:
+def _bytes(number: str) -> str:
+    """``dotted`` for Spark, without divisions, each of which comes with checks."""
+    parts = f"shiftright({number}, 24)", f"shiftright({number}, 16) & 255", f"shiftright({number}, 8) & 255", f"({number}) & 255"
+    return "concat(" + ", '.', ".join(f"CAST({p} AS STRING)" for p in parts) + ")"
+
+
+class _Address(NamedTuple):
+    """A BIGINT expression to be shown as a dotted address, NULL unless ``when`` holds."""
+
+    value: str
+    when: str | None = None
+
+    def sql(self, shown: str) -> str:
+        return f"CASE WHEN {self.when} THEN {shown} END" if self.when else shown
+
+
+def _cases(column: str, cases: dict, default: str, dialect: str) -> str:
     """cases: (number, pos) -> SQL text."""
-    whens = " ".join(f"WHEN f = {f} AND pos = {pos} THEN {value}" for (f, pos), value in cases.items())
+    at = "f = {} AND pos = {}".format if dialect == "duckdb" else lambda f, pos: f"place = {8 * f + pos}"
+    whens = " ".join(f"WHEN {at(*case)} THEN {value}" for case, value in cases.items())
     return f"CASE {whens} ELSE {default} END AS {column}" if cases else f"{default} AS {column}"
 
 
+def _fields(text: dict[str, dict], default: dict, dialect: str) -> tuple[list[str], list[str]]:
+    """Columns of numbers that the rows need first, and a ``_text`` column for each field.
+
+    For Spark a field's addresses are numbers first and dotted once: with a dotted form
+    for each case the generated method is too large for the JVM to compile.
+    """
+    numbers, fields = [], []
+    is_address = lambda v: isinstance(v, _Address)
+    for n in default:
+        if dialect == "duckdb":
+            shown = lambda v: v.sql(dotted(v.value, dialect)) if is_address(v) else v
+            fields.append(_cases(f"{n}_text", {at: shown(v) for at, v in text[n].items()}, shown(default[n]), dialect))
+        elif not any(is_address(v) for v in (default[n], *text[n].values())):
+            fields.append(_cases(f"{n}_text", text[n], default[n], dialect))
+        else:  # what is no address by default is NULL
+            numbers.append(_cases(f"{n}_no", {at: v.sql(v.value) for at, v in text[n].items() if is_address(v)}, default[n].sql(default[n].value) if is_address(default[n]) else default[n], dialect))
+            fields.append(_cases(f"{n}_text", {at: v for at, v in text[n].items() if not is_address(v)}, _bytes(f"{n}_no"), dialect))
+    return numbers, fields
+
+
+def _documents(dialect: str) -> tuple[str, dict[str, str]]:
+    """The documents (k, f, p), and SQL for their start, group and parity, which for Spark are columns, as is their mask."""
+    c = _common(dialect)
+    rows = f"SELECT c_custkey AS k, CAST(c_custkey % {CASES} AS INT) AS f, CAST(CASE WHEN c_custkey % {CASES} = 59 THEN 30 ELSE 20 + c_custkey % 7 END AS INT) AS p FROM customer"
+    if dialect == "duckdb":
+        return rows, c
+    return f"SELECT *, {c['start']} AS first_ip, {c['group']} AS first_ip6, {_bytes("4294967296 - shiftleft(CAST(1 AS BIGINT), 32 - p)")} AS own_mask, {c['even']} AS even FROM ({rows}) k", c | {"start": "first_ip", "group": "first_ip6", "even": "even"}
+
+
+def _numbered(case: str, numbers: list[str]) -> str:
+    return f"(SELECT *, {', '.join(numbers)} FROM (SELECT *, coalesce(8 * f + pos, -1) AS place FROM {case}) x) n" if numbers else case
+
+
 def _common(dialect: str) -> dict[str, str]:
     s = DIALECT[dialect]["str"]
     low_hex = "lower(hex({0}))" if dialect == "spark" else "lower(to_hex({0}))"
-    return {"s": s, "group": f"concat('2001:db8:', {low_hex.format('(k % 60000 + 4096)')}, '::')", "start": "(167772160 + k % 4000 * CAST(4096 AS BIGINT))"}
+    return {"s": s, "group": f"concat('2001:db8:', {low_hex.format('(k % 60000 + 4096)')}, '::')", "start": "(167772160 + k % 4000 * CAST(4096 AS BIGINT))", "even": "k % 2 = 0"}
+
+
+def _shown(names: tuple[str, ...], dialect: str) -> list[str]:
+    """The fields of both blocks, NULL where there is no block; ``tables`` drops those blocks whole."""
+    if dialect == "spark":
+        return [f"{n}_text AS {n}" for n in names]
+    return [f"CASE WHEN is_object AND {'has_net6' if n.endswith('6') else 'has_net'} THEN {n}_text END AS {n}" for n in names]
 
 
 def devices_sql(dialect: str) -> str:
     """(k, f, p, pos, is_object, id, name, type, has_net, has_net6, a column and a kind for each field of both blocks)."""
-    c = _common(dialect)
+    documents, c = _documents(dialect)
     s, start, group = c["s"], c["start"], c["group"]
-    ip = lambda v: dotted(f"({start} + {v})", dialect)
-    host, bit = "role <> 'switch'", "shiftleft(CAST(1 AS BIGINT), 32 - p)" if dialect == "spark" else "(1::BIGINT << (32 - p))"
-    mask = dotted(f"(4294967296 - {bit})", dialect)
-    own = lambda v: f"CASE WHEN {host} THEN {v} END"
+    ip = lambda v: _Address(f"({start} + {v})")
+    host, bit = "pos <> 1" if dialect == "spark" else "role <> 'switch'", "shiftleft(CAST(1 AS BIGINT), 32 - p)" if dialect == "spark" else "(1::BIGINT << (32 - p))"
+    mask = "own_mask" if dialect == "spark" else dotted(f"(4294967296 - {bit})", dialect)
+    own = lambda v: _Address(v.value, host) if isinstance(v, _Address) else f"CASE WHEN {host} THEN {v} END"
     text = {"ip": {(9, 2): "NULL", (10, 2): "'10.0.0.256'", (11, 2): "'7'", (12, 2): "'010.0.0.1'", (13, 2): ip("0"), (14, 2): ip(f"{bit} - 1"), (15, 2): "'127.0.0.1'", (16, 2): "'255.255.255.0'", (17, 2): "'169.254.1.2'", (18, 2): ip("1"), (19, 2): ip("10")}}
     text["prefix"] = {(20, 2): "NULL", (21, 2): "'33'", (22, 2): "'24'", (23, 2): "'24.0'"}
     text["mask"] = {(24, 2): "NULL", (25, 2): "'255.0.255.0'", (26, 2): "'abc'", (27, 2): "'255.255.255.252'", (28, 2): "'5'"}
@@ -47,15 +106,19 @@ def devices_sql(dialect: str) -> str:
     text["prefix6"], text["mask6"], text["base6"] = {(38, 2): "'129'"}, {(37, 2): "'255.255.0.0'"}, {(39, 2): "'2001:db8:ffff::'"}
     default = {"ip": own(ip("1 + pos")), "prefix": own(f"CAST(p AS {s})"), "mask": own(mask), "base": own(ip("0")), "ip6": f"concat({group}, CAST(1 + pos AS {s}))", "prefix6": "'64'", "mask6": "NULL", "base6": group}
     kind = {"ip": {(11, 2): "'BIGINT'"}, "prefix": {(22, 2): "'STRING'", (23, 2): "'DECIMAL'"}, "mask": {(28, 2): "'BIGINT'"}}
-    fields = [_cases(f"{n}_text", text[n], default[n]) for n in (*DEVICE4, *DEVICE6)]
-    kinds = [_cases(f"{n}_kind", kind.get(n, {}), "'BIGINT'" if n.startswith("prefix") else "'STRING'") for n in (*DEVICE4, *DEVICE6)]
-    inner = f"""SELECT k, f, p, pos, NOT (f = 1 AND pos = 4) AS is_object, {_cases("id", {(2, 4): "NULL", (3, 4): "'pc1'", (4, 3): "'  '"}, "key")}, {_cases("name", {(5, 2): "NULL", (6, 3): "' pC1 '"}, "upper(key)")},
- {_cases("type", {(7, 2): "NULL"}, "role")}, NOT (f = 8 AND pos = 2) AS has_net, k % 2 = 0 AND {host} AS has_net6, {", ".join(fields)}, {", ".join(kinds)}
-FROM (SELECT c_custkey AS k, CAST(c_custkey % {CASES} AS INT) AS f, CAST(CASE WHEN c_custkey % {CASES} = 59 THEN 30 ELSE 20 + c_custkey % 7 END AS INT) AS p FROM customer) c
+    numbers, fields = _fields(text, default, dialect)
+    kinds = [_cases(f"{n}_kind", kind.get(n, {}), "'BIGINT'" if n.startswith("prefix") else "'STRING'", dialect) for n in (*DEVICE4, *DEVICE6)]
+    case = f"""({documents}) c
 CROSS JOIN (SELECT 0 AS pos, 'r' AS key, 'router' AS role UNION ALL SELECT 1, 'sw', 'switch' UNION ALL SELECT 2, 'pc1', 'pc' UNION ALL SELECT 3, 'pc2', 'pc' UNION ALL SELECT 4, 'srv', 'server') r"""
+    inner = f"""SELECT k, f, p, pos, NOT (f = 1 AND pos = 4) AS is_object, {_cases("id", {(2, 4): "NULL", (3, 4): "'pc1'", (4, 3): "'  '"}, "key", dialect)}, {_cases("name", {(5, 2): "NULL", (6, 3): "' pC1 '"}, "upper(key)", dialect)},
+ {_cases("type", {(7, 2): "NULL"}, "role", dialect)}, NOT (f = 8 AND pos = 2) AS has_net, {c["even"]} AND {host} AS has_net6, {", ".join(fields)}, {", ".join(kinds)}
+FROM {_numbered(case, numbers)}"""
     gone = lambda c, on: f"CASE WHEN is_object AND {on} THEN {c} END AS {c}"
-    shown = [f"CASE WHEN is_object AND {'has_net6' if n.endswith('6') else 'has_net'} THEN {n}_text END AS {n}" for n in (*DEVICE4, *DEVICE6)]
-    known = [f"CASE WHEN is_object AND {'has_net6' if n.endswith('6') else 'has_net'} AND {n}_text IS NOT NULL THEN {n}_kind END AS {n}_kind" for n in (*DEVICE4, *DEVICE6)]
+    shown = _shown((*DEVICE4, *DEVICE6), dialect)
+    if dialect == "spark":
+        known = [f"CASE WHEN {n}_text IS NOT NULL THEN {n}_kind END AS {n}_kind" for n in (*DEVICE4, *DEVICE6)]
+    else:
+        known = [f"CASE WHEN is_object AND {'has_net6' if n.endswith('6') else 'has_net'} AND {n}_text IS NOT NULL THEN {n}_kind END AS {n}_kind" for n in (*DEVICE4, *DEVICE6)]
     return f"SELECT k, f, p, pos, is_object, {gone('id', 'true')}, {gone('name', 'true')}, {gone('type', 'true')}, is_object AND has_net AS has_net, is_object AND has_net6 AS has_net6, {', '.join([*shown, *known])} FROM ({inner}) d"
 
 
@@ -64,9 +127,9 @@ LINK4, LINK6 = ("base", "prefix", "mask", "source_ip", "target_ip"), ("base6", "
 
 def links_sql(dialect: str) -> str:
     """(k, f, p, pos, is_object, id, source, target, has_net, has_net6, the fields of both blocks and their kinds)."""
-    c = _common(dialect)
+    documents, c = _documents(dialect)
     s, start, group = c["s"], c["start"], c["group"]
-    ip = lambda v: dotted(f"({start} + {v})", dialect)
+    ip = lambda v: _Address(f"({start} + {v})")
     bit = "shiftleft(CAST(1 AS BIGINT), 32 - p)" if dialect == "spark" else "(1::BIGINT << (32 - p))"
     far = "16777216"  # a network of its own, 11.x
     place = "CASE pos WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END"
@@ -75,14 +138,15 @@ def links_sql(dialect: str) -> str:
         "source_ip": {(53, 3): "NULL", (54, 3): "'bad'", (55, 3): ip("12288"), (56, 3): ip(f"{far} + 5"), (57, 3): ip(f"{far} + 5")}, "target_ip": {(56, 2): ip("20"), (56, 3): ip(f"{far} + 20"), (60, 3): ip("1")},
         "base6": {}, "prefix6": {}, "mask6": {}, "source_ip6": {}, "target_ip6": {(60, 3): f"concat({group}, '1')"},
     }
-    default = {"base": ip("0"), "prefix": f"CAST(p AS {s})", "mask": dotted(f"(4294967296 - {bit})", dialect), "source_ip": ip(f"1 + {place}"), "target_ip": "NULL", "base6": group, "prefix6": "'64'", "mask6": "NULL", "source_ip6": f"concat({group}, CAST(1 + {place} AS {s}))", "target_ip6": "NULL"}
-    fields = [_cases(f"{n}_text", text[n], default[n]) for n in (*LINK4, *LINK6)]
-    inner = f"""SELECT k, f, p, pos, NOT (f = 45 AND pos = 3) AS is_object, {_cases("id", {(41, 3): "NULL", (42, 3): "'l0'"}, f"concat('l', CAST(pos AS {s}))")}, {_cases("source", {(43, 3): "'nope'", (44, 3): "'sw'", (58, 3): "'pc1'"}, "source_key")},
- {_cases("target", {(60, 3): "'r'"}, "'sw'")}, NOT (f = 46 AND pos = 3) AS has_net, k % 2 = 0 AS has_net6, {", ".join(fields)}
-FROM (SELECT c_custkey AS k, CAST(c_custkey % {CASES} AS INT) AS f, CAST(CASE WHEN c_custkey % {CASES} = 59 THEN 30 ELSE 20 + c_custkey % 7 END AS INT) AS p FROM customer) c
+    default = {"base": ip("0"), "prefix": f"CAST(p AS {s})", "mask": "own_mask" if dialect == "spark" else dotted(f"(4294967296 - {bit})", dialect), "source_ip": ip(f"1 + {place}"), "target_ip": "NULL", "base6": group, "prefix6": "'64'", "mask6": "NULL", "source_ip6": f"concat({group}, CAST(1 + {place} AS {s}))", "target_ip6": "NULL"}
+    numbers, fields = _fields(text, default, dialect)
+    case = f"""({documents}) c
 CROSS JOIN (SELECT 0 AS pos, 'r' AS source_key UNION ALL SELECT 1, 'pc1' UNION ALL SELECT 2, 'pc2' UNION ALL SELECT 3, 'srv') r"""
+    inner = f"""SELECT k, f, p, pos, NOT (f = 45 AND pos = 3) AS is_object, {_cases("id", {(41, 3): "NULL", (42, 3): "'l0'"}, f"concat('l', CAST(pos AS {s}))", dialect)}, {_cases("source", {(43, 3): "'nope'", (44, 3): "'sw'", (58, 3): "'pc1'"}, "source_key", dialect)},
+ {_cases("target", {(60, 3): "'r'"}, "'sw'", dialect)}, NOT (f = 46 AND pos = 3) AS has_net, {c["even"]} AS has_net6, {", ".join(fields)}
+FROM {_numbered(case, numbers)}"""
     gone = lambda c: f"CASE WHEN is_object THEN {c} END AS {c}"
-    shown = [f"CASE WHEN is_object AND {'has_net6' if n.endswith('6') else 'has_net'} THEN {n}_text END AS {n}" for n in (*LINK4, *LINK6)]
+    shown = _shown((*LINK4, *LINK6), dialect)
     return f"SELECT k, f, p, pos, is_object, {gone('id')}, {gone('source')}, {gone('target')}, is_object AND has_net AS has_net, is_object AND has_net6 AS has_net6, {', '.join(shown)} FROM ({inner}) l"
 
 

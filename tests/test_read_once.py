@@ -1,5 +1,9 @@
 """What is dear to derive is derived once, however often it is read."""
 
+import contextlib
+import io
+import re
+
 import pytest
 
 from meshlark.operators import graph, validation
@@ -32,3 +36,18 @@ def test_segments_read_devices_and_links_once(documents):
     assert {tuple(r) for r in found.collect()} == want and placed.count()
     read = devices_seen.value, links_seen.value
     assert read == (known.count(), links.count())
+
+
+def test_planted_tables_are_compiled(spark, sf_dir):
+    """The JVM leaves methods of over 8,000 bytes to its interpreter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        devices, links = planted.tables(spark, sf_dir)
+        for rows in (devices, links, validation._known(devices)):
+            shown = io.StringIO()
+            with contextlib.redirect_stdout(shown):
+                rows.explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
