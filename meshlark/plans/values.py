@@ -11,7 +11,7 @@ from ..functions.text import named, pointer, quoted
 from ..operators import contracts, fusion, plan, readiness
 from ..sources import detections, sinks, topology
 from . import planted
-from .lineage import checkpoint_folder, spread
+from .lineage import checkpoint_folder, cut, spread
 from .views import dotted
 
 
@@ -177,7 +177,7 @@ PARSED_SQL = planted.READINESS_SQL + f" UNION ALL {_CASES}"
 def written_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings written twice to one place in the shared folder, and read again."""
     path = f"{spark.sparkContext.getCheckpointDir() or checkpoint_folder(spark)}/findings-of-{abs(hash(sf_dir))}"
-    found = readiness.check(*planted.tables(spark, sf_dir))
+    found = cut(readiness.check(*planted.tables(spark, sf_dir)))  # written twice below
     sinks.write_findings(found.where("code = 'isolated_device'"), path)
     sinks.write_findings(found, path)
     return spark.read.parquet(path).select("arch_id", "code", "path")

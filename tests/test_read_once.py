@@ -6,8 +6,8 @@ import re
 
 import pytest
 
-from meshlark.operators import graph, validation
-from meshlark.plans import lineage, planted
+from meshlark.operators import graph, readiness, validation
+from meshlark.plans import lineage, planted, values
 
 
 def _counted(df):
@@ -51,3 +51,13 @@ def test_planted_tables_are_compiled(spark, sf_dir):
             assert sizes and max(sizes) < 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_findings_written_twice_are_found_once(spark, sf_dir, documents, monkeypatch):
+    rows, seen = zip(*[_counted(t) for t in documents], strict=True)
+    readiness.check(*rows).write.format("noop").mode("overwrite").save()
+    once = [s.value for s in seen]
+    monkeypatch.setattr(planted, "tables", lambda *_: rows)
+    assert values.written_findings(spark, sf_dir).count()
+    twice = [s.value for s in seen]
+    assert all(n - m <= m for n, m in zip(twice, once, strict=True))
