@@ -7,7 +7,7 @@ import re
 import pytest
 
 from meshlark.operators import graph, readiness, validation
-from meshlark.plans import lineage, planted, values
+from meshlark.plans import entries, lineage, planted, values
 
 
 def _counted(df):
@@ -61,3 +61,10 @@ def test_findings_written_twice_are_found_once(spark, sf_dir, documents, monkeyp
     assert values.written_findings(spark, sf_dir).count()
     twice = [s.value for s in seen]
     assert all(n - m <= m for n, m in zip(twice, once, strict=True))
+
+
+def test_readdressed_devices_are_derived_once(spark, sf_dir, documents, monkeypatch):
+    devices, seen = _counted(documents[0])
+    monkeypatch.setattr(planted, "tables", lambda *_: (devices, documents[1]))
+    entries.readdressed_documents(spark, sf_dir)
+    assert seen.value == documents[0].count()
