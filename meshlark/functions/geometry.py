@@ -189,7 +189,10 @@ def seg_rect_distance(s: Column, r: Column) -> Column:
 
 
 def ray_rect_entry(origin: Column, direction: Column, r: Column) -> Column:
-    """Distance along a ray to the rectangle; 0 inside it, NULL if the ray misses."""
+    """How many times ``direction`` goes into the way to the rectangle: the distance, if its length is 1; 0 inside, NULL if the ray misses.
+
+    A ray that only touches a corner may miss it by rounding once its direction is divided by its length.
+    """
     x = _slab(origin["x"], direction["x"], r["x1"], r["x2"])
     y = _slab(origin["y"], direction["y"], r["y1"], r["y2"])
     first, last = F.greatest(F.lit(0.0), x[0], y[0]), F.least(x[1], y[1])  # greatest and least skip NULL

@@ -394,13 +394,13 @@ def segment_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     x2, y2 = F.when(F.col("k") % 6 == 0, F.col("bx1")).otherwise(F.col("bx2") + 40), F.when(F.col("k") % 6 == 1, F.col("by1")).otherwise(F.col("by2") - 60)
     p, q, r = G.point(F.col("bx1"), F.col("by1")), G.point(x2, y2), G.point(F.col("ax2"), F.col("by2"))
     s, other = G.segment(p, q), G.segment(G.point(F.col("ax1"), F.col("ay1")), G.point(F.col("ax2"), F.col("ay2")))
-    cut = G.clip_segment_to_rect(s, a)
+    way, cut = G.point(q["x"] - p["x"], q["y"] - p["y"]), G.clip_segment_to_rect(s, a)
     line = F.array(p, q, r)
     middle, near = G.polyline_midpoint(line), G.rect_polyline(a, G.polyline_segments(line))
     round6 = lambda c: F.round(c, 6)
     return rows.select(
         "k", G.segments_intersect(s, other).alias("crosses"), round6(cut["p1"]["x"]).alias("cx1"), round6(cut["p1"]["y"]).alias("cy1"), round6(cut["p2"]["x"]).alias("cx2"), round6(cut["p2"]["y"]).alias("cy2"), round6(G.seg_rect_distance(s, a)).alias("away"),
-        round6(G.ray_rect_entry(p, G.unit(p, q), a)).alias("entry"), round6(G.polyline_length(line)).alias("length"), round6(middle["x"]).alias("mx"), round6(middle["y"]).alias("my"), round6(near["distance"]).alias("nearest"), near["index"].alias("nearest_at"),
+        round6(G.ray_rect_entry(p, way, a) * G.dist(p, q)).alias("entry"), round6(G.polyline_length(line)).alias("length"), round6(middle["x"]).alias("mx"), round6(middle["y"]).alias("my"), round6(near["distance"]).alias("nearest"), near["index"].alias("nearest_at"),
     )
 
 

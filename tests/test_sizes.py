@@ -48,6 +48,15 @@ def test_nearest_segment_of_equal_ones_is_the_first(spark, tmp_path):
     assert [tuple(r) for r in values.segment_geometry(spark, str(tmp_path)).select("nearest", "nearest_at").collect()] == rows
 
 
+def test_a_ray_that_touches_a_corner_enters_as_in_sql(spark, tmp_path):
+    pq.write_table(pa.table({"p_partkey": pa.array([44843, 56356], pa.int64()), "p_size": pa.array([27, 37], pa.int32())}), tmp_path / "part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    rows = db.execute(f"SELECT k, entry FROM ({catalogue.oracle_sql()['segment_geometry']}) ORDER BY k").fetchall()
+    assert [tuple(r) for r in values.segment_geometry(spark, str(tmp_path)).select("k", "entry").orderBy("k").collect()] == rows
+    assert all(entry is not None for _, entry in rows)
+
+
 def test_a_prefixed_address_is_matched_once(spark):
     df = spark.createDataFrame([("192.168.1.9/24",), ("192.168.1.9",), (None,)], "t string").select(addr.normalize_cidr(F.col("t")).alias("c"))
     assert df._jdf.queryExecution().toString().split("== Physical")[0].count("RLIKE") < 10
