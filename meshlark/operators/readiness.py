@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import addr
 from ..functions.text import named, quoted
+from ..plans.lineage import cut
 from .findings import explode_findings, finding, gather
 
 DEVICES, LINKS, GRAPH = 10, 20, 30
+DEVICE_FIELDS = ("ip_address", "prefix_length", "subnet_mask", "network_address")
 
 
 def _at(group: str, *rest: str) -> Column:
@@ -32,9 +34,13 @@ def prefix(f: Column) -> Column:
 
 
 def parsed(items: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Adds _<field>: addresses as numbers, the prefix as an integer; parsed once, so that rules stay small expressions."""
-    net = F.col("network")
-    return items.withColumns({f"_{f}": prefix(net[f]) if f == "prefix_length" else ip(net[f]) for f in fields})
+    """Adds _<field>: addresses as numbers, the prefix as an integer; parsed once, so that rules stay small expressions.
+
+    All addresses go through one expression: written out for each, the generated method is too large for the JVM to compile.
+    """
+    net, addresses = F.col("network"), [f for f in fields if f != "prefix_length"]
+    rows = items.withColumn("_ips", F.transform(F.array(*[net[f] for f in addresses]), ip))
+    return rows.withColumns({f"_{f}": prefix(net[f]) if f == "prefix_length" else F.get("_ips", F.lit(addresses.index(f))) for f in fields}).drop("_ips")
 
 
 def _mask_rules(p: Column, seq: int, path: Column, active: Column) -> list[Column]:
@@ -65,16 +71,20 @@ def _missing(net: Column, fields: tuple[str, ...], seq: int, base: str, group: s
 
 def first_ids(items: DataFrame) -> DataFrame:
     """Adds ``nth``: how many items before, in the document, have the same usable id (0: none)."""
-    same = Window.partitionBy("arch_id", "id").orderBy("pos")
-    usable = items.where(F.col("is_object") & named(F.col("id"))).withColumn("nth", F.row_number().over(same) - 1)
-    rest = items.where(~(F.col("is_object") & named(F.col("id")))).withColumn("nth", F.lit(None).cast("int"))
-    return usable.unionByName(rest)
+    usable = F.coalesce(F.col("is_object") & named(F.col("id")), F.lit(False))
+    same = Window.partitionBy("arch_id", F.when(usable, F.col("id")), F.when(~usable, F.col("pos"))).orderBy("pos")  # an item without an id is alone
+    return items.withColumn("nth", F.when(usable, F.row_number().over(same) - 1))
+
 
+def device_rows(devices: DataFrame) -> DataFrame:
+    """What the rules read of devices: their place among equal ids, and parsed fields."""
+    return parsed(first_ids(devices.drop("network6")), DEVICE_FIELDS)
 
-def device_findings(devices: DataFrame) -> DataFrame:
-    d = parsed(first_ids(devices), ("ip_address", "prefix_length", "subnet_mask", "network_address"))
+
+def device_findings(d: DataFrame) -> DataFrame:
+    """Findings on ``device_rows``."""
     obj, net = F.col("is_object"), F.col("network")
-    nulls = [net[f]["kind"].isNull() for f in ("ip_address", "prefix_length", "subnet_mask", "network_address")]
+    nulls = [net[f]["kind"].isNull() for f in DEVICE_FIELDS]
     empty, partial = nulls[0] & nulls[1] & nulls[2] & nulls[3], nulls[0] | nulls[1] | nulls[2] | nulls[3]
     checked = obj & net.isNotNull() & ~(addr.is_layer2(F.col("type")) & empty)
     full = checked & ~partial
@@ -88,7 +98,7 @@ def device_findings(devices: DataFrame) -> DataFrame:
         finding(obj & ~named(F.col("name")), 2, "missing_device_name", _at("devices", "name"), "Give this device a nonempty display name, such as R1."),
         finding(obj & ~named(F.col("type")), 3, "missing_device_type", _at("devices", "type"), "Specify the device type, such as pc, router, server or switch."),
         finding(obj & net.isNull(), 4, "missing_device_network", _at("devices", "network"), "Provide a network object; use null values for fields that do not apply."),
-        *_missing(net, ("ip_address", "prefix_length", "subnet_mask", "network_address"), 5, "network", "devices", checked),
+        *_missing(net, DEVICE_FIELDS, 5, "network", "devices", checked),
         *_ip_rules(net["ip_address"]["kind"], i, 6, "invalid_ip_address", _at("devices", "network", "ip_address"), full),
         _prefix_rule(7, _at("devices", "network", "prefix_length"), full),
         *_mask_rules(p, 8, _at("devices", "network", "subnet_mask"), full),
@@ -106,21 +116,29 @@ def device_findings(devices: DataFrame) -> DataFrame:
 
 def known_devices(devices: DataFrame) -> DataFrame:
     """Devices that links can refer to, the first of each id: (arch_id, device_id, device_pos, role, main_ip)."""
+    return _known(parsed(first_ids(devices), ("ip_address", "prefix_length")))
+
+
+def _known(rows: DataFrame) -> DataFrame:
     net = F.col("network")
     full = F.lit(True)
-    for f in ("ip_address", "prefix_length", "subnet_mask", "network_address"):
+    for f in DEVICE_FIELDS:
         full = full & net[f]["kind"].isNotNull()
-    first = first_ids(devices).where("nth = 0")
-    main = F.when(full & prefix(net["prefix_length"]).isNotNull(), ip(net["ip_address"]))
+    first = rows.where("nth = 0")
+    main = F.when(full & F.col("_prefix_length").isNotNull(), F.col("_ip_address"))
     return first.select("arch_id", F.col("id").alias("device_id"), F.col("pos").alias("device_pos"), F.lower(F.coalesce("type", F.lit(""))).alias("role"), main.alias("main_ip"))
 
 
 def endpoints(links: DataFrame, devices: DataFrame) -> DataFrame:
     """Both ends of each link, with the device they refer to: one equi-join for all link rules."""
-    ends = first_ids(links).where("is_object").withColumn("side", F.explode(F.array(F.lit("source"), F.lit("target"))))
+    return _ends(first_ids(links), known_devices(devices))
+
+
+def _ends(links: DataFrame, known: DataFrame) -> DataFrame:
+    ends = links.where("is_object").withColumn("side", F.explode(F.array(F.lit("source"), F.lit("target"))))
     mine = lambda a, b: F.when(F.col("side") == "source", a).otherwise(b)
     ends = ends.withColumn("device_id", mine(F.col("source"), F.col("target"))).withColumn("end_ip", mine(F.col("network")["source_ip"], F.col("network")["target_ip"]))
-    return ends.join(known_devices(devices), ["arch_id", "device_id"], "left")
+    return ends.join(known, ["arch_id", "device_id"], "left").withColumn("_end", ip(F.col("end_ip")))
 
 
 def _link_rows(rows: DataFrame) -> DataFrame:
@@ -132,7 +150,13 @@ def _link_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_good", good).withColumns({"_net_base": F.when(F.col("_good"), F.col("_network_address")), "_net_prefix": F.when(F.col("_good"), F.col("_prefix_length"))})
 
 
+def link_rows(links: DataFrame) -> DataFrame:
+    """What the rules read of links: their place among equal ids, and the parsed network."""
+    return _link_rows(first_ids(links.drop("network6")))
+
+
 def link_findings(links: DataFrame, ends: DataFrame) -> DataFrame:
+    """Findings on ``link_rows`` and their ends."""
     obj, net = F.col("is_object"), F.col("network")
     checked = obj & net.isNotNull()
     base, full = F.col("_net_base"), F.col("_full")
@@ -154,12 +178,11 @@ def link_findings(links: DataFrame, ends: DataFrame) -> DataFrame:
             "network_address must be the canonical network base for this prefix (no host bits set).",
         ),
     ]
-    alone = explode_findings(_link_rows(first_ids(links)), LINKS, F.col("pos"), rules)
+    alone = explode_findings(links, LINKS, F.col("pos"), rules)
     known = F.col("device_pos").isNotNull()
     side, end = F.col("side"), F.col("end_ip")
     at_side = F.concat(_at("links"), F.lit("/"), side)
     at_ip = F.concat(_at("links"), F.lit("/network/"), side, F.lit("_ip"))
-    ends = _link_rows(ends).withColumn("_end", ip(end))
     value, p = F.col("_end"), F.col("_net_prefix")
     who = quoted(F.col("device_id"))
     given = known & checked & end["kind"].isNotNull()
@@ -180,11 +203,10 @@ def valid_ends(ends: DataFrame) -> DataFrame:
     return ends.withColumn("_known", F.count("device_pos").over(both)).where("nth = 0 and _known = 2 and source <> target").drop("_known")
 
 
-def graph_findings(devices: DataFrame, ends: DataFrame) -> DataFrame:
-    known = known_devices(devices)
+def graph_findings(known: DataFrame, ends: DataFrame) -> DataFrame:
     links = valid_ends(ends).groupBy("arch_id", "device_id").agg(F.count(F.lit(1)).alias("n_links"))
     # addresses count even on links that are otherwise invalid
-    used = ends.where(F.col("device_pos").isNotNull() & F.col("network").isNotNull()).select("arch_id", "device_id", ip(F.col("end_ip")).alias("ip")).where("ip is not null")
+    used = ends.where(F.col("device_pos").isNotNull() & F.col("network").isNotNull()).select("arch_id", "device_id", F.col("_end").alias("ip")).where("ip is not null")
     used = used.join(known.select("arch_id", "device_id", "main_ip"), ["arch_id", "device_id"]).groupBy("arch_id", "device_id").agg(F.max(F.col("ip") == F.col("main_ip")).alias("main_used"))
     all_of = known.join(links, ["arch_id", "device_id"], "left").join(used, ["arch_id", "device_id"], "left")
     path = F.concat(F.lit("/devices/"), F.col("device_pos").cast("string"))
@@ -212,8 +234,11 @@ def document_findings(headers: DataFrame) -> DataFrame:
 
 def check(devices: DataFrame, links: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """All readiness findings of all documents; a document without any is ready."""
-    ends = endpoints(links, devices)
-    parts = [device_findings(devices), link_findings(links, ends), graph_findings(devices, ends)]
+    # each is read by several rules; what they read is parsed before, so that the JVM compiles the rules
+    devices, links = cut(device_rows(devices)), cut(link_rows(links))
+    known = _known(devices)
+    ends = cut(_ends(links, known))
+    parts = [device_findings(devices), link_findings(links, ends), graph_findings(known, ends)]
     if headers is not None:
         parts.insert(0, document_findings(headers))
     return gather(*parts)

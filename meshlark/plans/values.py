@@ -166,7 +166,7 @@ def _raw(devices: DataFrame, links: DataFrame) -> DataFrame:
 def parsed_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readiness findings of documents read from JSON text, odd ones among them."""
     odd = spark.read.parquet(f"{sf_dir}/nation.parquet").select((-1 - F.col("n_nationkey")).cast("long").alias("arch_id"), F.element_at(F.array(*[F.lit(x) for x in ODD_RAW]), (F.col("n_nationkey") % len(ODD_RAW) + 1).cast("int")).alias("raw"))
-    docs = topology.parse(_raw(*planted.tables(spark, sf_dir)).unionByName(odd))
+    docs = topology.parse(cut(_raw(*planted.tables(spark, sf_dir)).unionByName(odd)))  # devices, links and headers are each read from it
     return readiness.check(topology.devices(docs), topology.links(docs), topology.headers(docs)).select("arch_id", "code", "path")
 
 

@@ -53,6 +53,37 @@ def test_planted_tables_are_compiled(spark, sf_dir):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def _largest_method(df):
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        df.explain("codegen")
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())))
+
+
+def test_readiness_rules_are_compiled(spark, documents):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        devices, links = readiness.device_rows(documents[0]), readiness.link_rows(documents[1])
+        ends = readiness._ends(links, readiness._known(devices))
+        stored = [lineage.cut(df) for df in (devices, links, ends)]
+        found = readiness.device_findings(stored[0]), readiness.link_findings(*stored[1:]), readiness.graph_findings(readiness._known(stored[0]), stored[2])
+        assert all(_largest_method(df) < 8000 for df in (devices, links, ends, *found))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_parsed_documents_are_derived_once(spark, sf_dir, documents, monkeypatch):
+    rows, seen = zip(*[_counted(t) for t in documents], strict=True)
+    monkeypatch.setattr(planted, "tables", lambda *_: rows)
+    assert values.parsed_readiness(spark, sf_dir).count()
+    assert [s.value for s in seen] == [t.count() for t in documents]
+
+
+def test_an_item_without_an_id_is_no_repeat(spark):
+    rows = spark.createDataFrame([("a", p, True, i) for p, i in enumerate(["x", None, "x", " ", None, "x"])] + [("b", 0, True, "x"), ("a", 6, False, "x")], "arch_id string, pos int, is_object boolean, id string")
+    assert {(r.arch_id, r.pos): r.nth for r in readiness.first_ids(rows).collect()} == {("a", 0): 0, ("a", 1): None, ("a", 2): 1, ("a", 3): None, ("a", 4): None, ("a", 5): 2, ("b", 0): 0, ("a", 6): None}
+
+
 def test_findings_written_twice_are_found_once(spark, sf_dir, documents, monkeypatch):
     rows, seen = zip(*[_counted(t) for t in documents], strict=True)
     readiness.check(*rows).write.format("noop").mode("overwrite").save()
