@@ -50,11 +50,20 @@ def json_faults(text: pd.Series) -> pd.Series:
 
 def check_raw(raw: DataFrame) -> DataFrame:
     """(arch_id, raw) -> readiness findings; a document with values that JSON does not allow has these alone."""
-    docs = topology.parse(raw)
-    objects = docs.where(topology.kind_of(F.col("doc")) == "OBJECT").select("arch_id", F.explode(json_faults("raw")).alias("x"))
+    return _check(_with_faults(raw))
+
+
+def _with_faults(raw: DataFrame) -> DataFrame:
+    """(arch_id, raw, faults), stored: raw text is read several times.  Text that is no JSON object has no faults."""
+    rows = topology.parse(raw).select("arch_id", "raw", (topology.kind_of(F.col("doc")) == "OBJECT").alias("object"), json_faults("raw").alias("faults"))
+    return cut(rows.select("arch_id", "raw", F.when(F.col("object"), F.col("faults")).alias("faults")))
+
+
+def _check(rows: DataFrame) -> DataFrame:
+    objects = rows.select("arch_id", F.explode("faults").alias("x"))
     message = F.when(F.col("x.code") == "json_nesting_limit", f"JSON nesting must not exceed {DEPTH} levels; cycles are invalid.").otherwise("Use JSON values with finite numbers only.")
-    bad = cut(explode_findings(objects, 0, F.lit(0), [finding(F.lit(True), 0, F.col("x.code"), F.col("x.path"), message)]))
-    clean = docs.join(bad.select("arch_id").distinct(), "arch_id", "left_anti")
+    bad = explode_findings(objects, 0, F.lit(0), [finding(F.lit(True), 0, F.col("x.code"), F.col("x.path"), message)])
+    clean = topology.parse(rows.where("faults is null or size(faults) = 0"))
     return gather(bad, readiness.check(topology.devices(clean), topology.links(clean), topology.headers(clean)))
 
 

@@ -79,6 +79,13 @@ def test_parsed_documents_are_derived_once(spark, sf_dir, documents, monkeypatch
     assert [s.value for s in seen] == [t.count() for t in documents]
 
 
+def test_raw_documents_are_derived_once(spark, sf_dir, documents, monkeypatch):
+    rows, seen = zip(*[_counted(t) for t in documents], strict=True)
+    monkeypatch.setattr(planted, "tables", lambda *_: rows)
+    assert entries.raw_readiness(spark, sf_dir).count()
+    assert [s.value for s in seen] == [t.count() for t in documents]
+
+
 def test_an_item_without_an_id_is_no_repeat(spark):
     rows = spark.createDataFrame([("a", p, True, i) for p, i in enumerate(["x", None, "x", " ", None, "x"])] + [("b", 0, True, "x"), ("a", 6, False, "x")], "arch_id string, pos int, is_object boolean, id string")
     assert {(r.arch_id, r.pos): r.nth for r in readiness.first_ids(rows).collect()} == {("a", 0): 0, ("a", 1): None, ("a", 2): 1, ("a", 3): None, ("a", 4): None, ("a", 5): 2, ("b", 0): 0, ("a", 6): None}
