@@ -81,7 +81,8 @@ def plan_all(raw: DataFrame, cards: DataFrame, offers: DataFrame, models: search
     has no hosting.  ``answers`` (arch_id, content) are reviewers' answers: picked
     limitations of good ones are added, ``problem`` names what is wrong with others.
     """
-    state = cut(ready(raw, check_raw(raw)))
+    raw = _with_faults(raw)
+    state = cut(ready(raw, _check(raw)))
     docs = topology.parse(state.where("ready").select("arch_id", "raw"))
     devices, links = cut(topology.devices(docs)), cut(topology.links(docs))
     hosting = plan.select_hosting(devices, links, offers)
