@@ -164,12 +164,12 @@ def bindings(parsed: DataFrame, groups: DataFrame, devices: DataFrame) -> tuple[
     w = Window.partitionBy("image_id", "group_no", "side")
     parts = F.collect_list("semantic").over(w)
     joint = F.exp(F.aggregate(parts, F.log("_group"), lambda a, s: a + F.log(s)) / (F.size(parts) + 1))
-    within = settle(within, joint)
+    within = cut(settle(within, joint))
     grouped = within.where("device_id is not null").groupBy("image_id", "group_no", "side", "device_id").agg(
         F.max("ip").alias("ip"), F.max(F.when(F.col("kind") != "subnet_mask", F.col("prefix"))).alias("own"), F.max(F.when(F.col("kind") == "subnet_mask", F.col("text"))).alias("drawn"),
         F.max("confidence").alias("confidence"), F.array_sort(F.collect_list("text_id")).alias("text_ids"), F.max("version").alias("version"),
     )
-    alone = associate(items.join(placed.select("image_id", "text_id"), ["image_id", "text_id"], "left_anti"), devices, matching.ADDRESS_GAP)
+    alone = cut(associate(items.join(placed.select("image_id", "text_id"), ["image_id", "text_id"], "left_anti"), devices, matching.ADDRESS_GAP))
     single = alone.where("device_id is not null").join(items.select("image_id", "text_id", "ip", "prefix", "kind", "text", "version"), ["image_id", "text_id"])
     single = single.select("image_id", "device_id", "ip", F.when(F.col("kind") != "subnet_mask", F.col("prefix")).alias("own"), F.when(F.col("kind") == "subnet_mask", F.col("text")).alias("drawn"), "confidence", F.array("text_id").alias("text_ids"), "version")
     every = cut(grouped.select(*single.columns).unionByName(single))
@@ -208,7 +208,7 @@ def links(cables: DataFrame, devices: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(s.isNull() & e.isNull(), "no_device_at_either_endpoint")
         .when(s == e, "both_endpoints_on_same_device")
     )
-    rows = rows.withColumn("reason", reason)
+    rows = cut(rows.withColumn("reason", reason))  # for links and for what is refused
     both_known = s.isNotNull() & e.isNotNull()
     good = rows.where("reason is null").withColumn("source", F.when(both_known, F.least(s, e)).otherwise(F.coalesce(s, e))).withColumn("target", F.when(both_known, F.greatest(s, e)))
     good = good.withColumn("link_id", number("link", F.row_number().over(Window.partitionBy("image_id").orderBy("candidate_id"))))
@@ -307,7 +307,7 @@ def fuse(devices: DataFrame, texts: DataFrame, cables: DataFrame) -> dict[str, D
     suffixes = cut(resolve_suffixes(parsed, good, labels, devices))
     out = {"devices": devices, "parsed": parsed, "groups": groups, "names": named, "bindings": held, "links": good, "refused": refused, "labels": labels, "suffixes": suffixes}
     out["nodes"] = nodes(devices, parsed, named)
-    out["addresses"] = addresses(held, suffixes)
+    out["addresses"] = cut(addresses(held, suffixes))
     out["ends"], out["edges"] = minimal_links(good, labels, out["addresses"])
     out["unresolved"] = unresolved(parsed, named, address_texts, held, labels, suffixes)
     return out

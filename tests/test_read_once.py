@@ -6,8 +6,8 @@ import re
 
 import pytest
 
-from meshlark.operators import graph, readiness, validation
-from meshlark.plans import entries, lineage, planted, values
+from meshlark.operators import fusion, graph, readiness, validation
+from meshlark.plans import entries, lineage, planted, scenes, values
 
 
 def _counted(df):
@@ -86,6 +86,14 @@ def test_raw_documents_are_derived_once(spark, sf_dir, documents, monkeypatch):
     assert [s.value for s in seen] == [t.count() for t in documents]
 
 
+def test_cables_are_matched_once_for_links_and_refusals(spark, sf_dir):
+    devices, _, cables = scenes.drawings(spark, sf_dir)
+    cables, seen = _counted(lineage.cut(cables))
+    good, refused = fusion.links(cables, devices)
+    read = seen.value
+    assert good.count() and refused.count() and seen.value == read > 0
+
+
 def test_an_item_without_an_id_is_no_repeat(spark):
     rows = spark.createDataFrame([("a", p, True, i) for p, i in enumerate(["x", None, "x", " ", None, "x"])] + [("b", 0, True, "x"), ("a", 6, False, "x")], "arch_id string, pos int, is_object boolean, id string")
     assert {(r.arch_id, r.pos): r.nth for r in readiness.first_ids(rows).collect()} == {("a", 0): 0, ("a", 1): None, ("a", 2): 1, ("a", 3): None, ("a", 4): None, ("a", 5): 2, ("b", 0): 0, ("a", 6): None}
